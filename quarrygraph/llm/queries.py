@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op1_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op3_best_fit_packing
+from .simhash import op9_simhash_near_dedup
+from .token_counts import op7_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op7_token_counts": op7_token_counts,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

@@ -134,7 +134,9 @@ class RankWordCoder(WordCoder):
             vocabulary = json.load(f)["model"]["vocab"]
         to_byte = {c: b for b, c in enumerate(byte_characters())}
         ranks = {bytes(to_byte[c] for c in piece): i for piece, i in vocabulary.items()}
-        self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
+        self._core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self._encode = self._core.encode_ordinary
 
     def encode_new(self, keys: Iterable[str]) -> dict[str, bytes]:
         encode, Array = self._encode, array.array
