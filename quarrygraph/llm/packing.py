@@ -56,7 +56,7 @@ def _two(free: np.ndarray, room: int) -> list[int]:
     at = np.searchsorted(have, room - have, side="right") - 1
     partner = np.where(at >= 0, have[at], 0)
     alone = (partner == have) & (free[have] < 2)
-    lower = np.where(at >= 1, have[at - 1], 0)
+    lower = np.where(at >= 1, have[np.maximum(at - 1, 0)], 0)
     partner = np.where(alone, lower, partner)
     total = np.where(partner > 0, have + partner, 0)
     best = int(total.argmax())
