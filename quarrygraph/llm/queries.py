@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op1_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op3_best_fit_packing
+from .quality import OP8_SQL, op8_quality_rules
 from .simhash import op9_simhash_near_dedup
 from .token_counts import op7_token_counts
 
@@ -18,10 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op7_token_counts": op7_token_counts,
+        "op8_quality_rules": op8_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op8_quality_rules": OP8_SQL, "op10_exact_dedup": OP10_SQL}
