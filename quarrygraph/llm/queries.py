@@ -12,12 +12,14 @@ from .packing import op3_best_fit_packing
 from .quality import OP8_SQL, op8_quality_rules
 from .simhash import op9_simhash_near_dedup
 from .token_counts import op7_token_counts
+from .url_filter import op6_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op6_url_filters": op6_url_filters,
         "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
