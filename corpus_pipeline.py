@@ -1,15 +1,78 @@
-"""A pipeline over `documents` built of the training-data operators."""
+"""A pipeline over `documents`: quality rules, exact and near deduplication, removal of repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as
+the next stage's docs; all but the last return the columns of `documents`. Rows are told apart by
+their place in the table a stage reads, so null and repeated ids are documents like others.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrygraph.llm.exact_dedup import exact_dedup
+from quarrygraph.llm.packing import pack
+from quarrygraph.llm.quality import DEFAULT_POLICY, fails, ledger
+from quarrygraph.llm.simhash import similar_groups
+from quarrygraph.llm.suffix_dedup import suffix_dedup
+from quarrygraph.llm.words import DEFAULT_VOCABULARY
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule of the default policy."""
+    return ledger(docs.select(*COLUMNS)).filter(~fails(DEFAULT_POLICY)).select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of texts that are equal but for white space: the longest, then the least id."""
+    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    dropped = exact_dedup(rows, row_col="_row").filter("not kept").select("_row")
+    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similarity 0.8 or more in five-word shingles links: the first in the table."""
+    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    dropped = similar_groups(rows, "_row").filter("id <> group").select(F.col("id").alias("_row"))
+    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of any 100-byte string that starts earlier; bytes cut out of a character go with it."""
+    return suffix_dedup(docs.select(*COLUMNS), carry=("lang", "source")).select(
+        "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars")
+    )
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of at most 1024 tokens."""
+    return pack(docs, public_tokenizers.path(DEFAULT_VOCABULARY))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("suffix_array_dedup", repeated_passages),
+    ("best_fit_packing", packing),
+]
 
-STAGES: list = []
+#: SimHash, suffix order and tokens are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all of `documents`, each stage written to the shared folder and read again."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    place = f"{folder}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        docs = spark.read.parquet(f"{place}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -75,6 +75,7 @@ def exact_dedup(
     text_col: str = "text",
     bits_per_row: int = 8,
     max_filter_bytes: int = 64 << 20,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Which rows of `docs` repeat another's text, white space aside.
 
@@ -82,6 +83,8 @@ def exact_dedup(
     when identical without the characters [\\x20\\x09-\\x0D]; of equal texts the row with the most
     code points in its original text stays, then the least id, then any one of fully equal rows.
 
+    With row_col, a unique long of each row, that column comes too and settles ties of equal ids.
+
     Null text counts as empty; a null id ranks last; an empty table gives no rows; other columns
     are ignored, so their names cannot clash. The broadcast filter takes bits_per_row bits a row
     and never more than max_filter_bytes: with more rows than that holds, more of them shuffle
@@ -93,8 +96,8 @@ def exact_dedup(
             F.col(id_col).cast("long").alias("id"),
             F.char_length(text).alias("n"),
             F.unhex(F.sha2(F.translate(text, WHITE, ""), 256)).alias("sha"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         )
-        .select("*", F.monotonically_increasing_id().alias("row"))
         .withColumns({"h1": F.xxhash64("sha").bitwiseAND(_LAST), "h2": F.xxhash64("sha", F.lit(1)).bitwiseAND(_LAST)})
     )
     rows = digests.count()
@@ -124,10 +127,10 @@ def exact_dedup(
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "row",
     )
-    return out.union(
-        sure.select("id", "id", F.lit(1).cast("long"), F.lit(True), F.lower(F.hex("sha")))
-    )
+    every = out.union(sure.select("id", "id", F.lit(1).cast("long"), F.lit(True), F.lower(F.hex("sha")), "row"))
+    return every.withColumnRenamed("row", row_col) if row_col else every.drop("row")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

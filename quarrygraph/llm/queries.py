@@ -11,6 +11,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op3_best_fit_packing
 from .quality import OP8_SQL, op8_quality_rules
 from .simhash import op9_simhash_near_dedup
+from .suffix_dedup import op2_suffix_array_dedup
 from .token_counts import op7_token_counts
 from .url_filter import op6_url_filters
 
@@ -18,6 +19,7 @@ from .url_filter import op6_url_filters
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_url_filters": op6_url_filters,
         "op7_token_counts": op7_token_counts,

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, left_join_by_size, table
+from .common import components, cut, left_join_by_size, partitions, table
 
 SEED = 42
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -108,3 +108,116 @@ def near_duplicates(
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+# Similarity far from 1 puts more bits between two fingerprints than a ball can cover, so it takes
+# several short fingerprints: similar texts then come within the radius in one of them.
+TABLE_BITS = 32
+
+
+def signature(text: str, words: int, tables: int) -> bytes:
+    """SimHash of the set of shingles, 32 bits for each table."""
+    parts = text.encode("utf-8", "replace").translate(_UPPER).split()
+    n = len(parts) - words + 1
+    if n <= 1:
+        shingles = [b" ".join(parts)]
+    else:
+        joined, size = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        start = np.r_[0, np.cumsum(size[:-1] + 1)]
+        shingles = [joined[a:b] for a, b in zip(start.tolist(), (start + size)[words - 1 :].tolist())]
+    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles)], np.uint64)
+    out = []
+    for t in range((tables + 1) // 2):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), _STEP):
+            m = _mixed(h[at : at + _STEP], t)
+            ones += np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").tobytes())
+    return b"".join(out)[: 4 * tables]
+
+
+def _mixed(h: np.ndarray, t: int) -> np.ndarray:
+    """A further hash of hashes: the finalizer of splitmix64 from another start for each t."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64((0x9E3779B97F4A7C15 * (t + 1)) % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """Bits in which signatures of two sets of one size and this Jaccard similarity are expected to differ, and half a deviation."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(bits * p + 0.5 * (bits * p * (1 - p)) ** 0.5)
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 16) -> DataFrame:
+    """(id, group) of every row: the least id of the texts that links of `similarity` or more reach.
+
+    Each text has `tables` fingerprints of 32 bits, and every fingerprint emits its ball of radius 1;
+    texts that meet on a variant of the same table are verified by all the bits together. Pairs of
+    similarity 0.8 meet with a chance of 87 %, of 0.85 with 98 %, of 0.9 with over 99.9 %. Texts that
+    meet link to the least of them and to their neighbour in order, never all with all.
+
+    Null text counts as empty; texts of fewer than `words` words are one shingle. Ids must be unique
+    and not null; an empty table gives no rows; other columns are ignored.
+    """
+    buckets = partitions(docs) * 4
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(t.as_py() or "", words, tables) for t in b.column(1)], pa.binary())], names=["id", "sig"])
+
+    signed = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, sig binary"))
+    distinct = cut(signed.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("size")))
+    masks = np.array([0, *(1 << i for i in range(TABLE_BITS))], np.uint64)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            if not len(ids):
+                continue
+            fp = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(len(ids), tables).astype(np.uint64)
+            variant = (fp + (np.arange(tables, dtype=np.uint64) << np.uint64(TABLE_BITS)))[:, :, None] ^ masks
+            variant, owner = variant.reshape(-1), np.repeat(ids, tables * len(masks))
+            bucket = (_mixed(variant, 7) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            variant, owner, bucket = variant[order], owner[order], bucket[order]
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = [*first[1:].tolist(), len(bucket)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[first]), *(pa.array([x[a:z].tobytes() for a, z in zip(first.tolist(), ends)], pa.binary()) for x in (variant, owner))],
+                names=["bucket", "variants", "owners"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        variant, owner = (np.concatenate([np.frombuffer(x, "<i8") for x in t[c].to_pylist()]) for c in ("variants", "owners"))
+        order = np.lexsort((owner, variant))
+        variant, owner = variant[order], owner[order]
+        new = np.r_[True, variant[1:] != variant[:-1]]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        rest = np.flatnonzero(~new)
+        pairs = np.unique(np.concatenate([np.stack([owner[head[rest]], owner[rest]]), np.stack([owner[rest - 1], owner[rest]])], axis=1), axis=1)
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    met = (
+        distinct.select("least", "sig").mapInArrow(emit, "bucket int, variants binary, owners binary")
+        .groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    )
+    most = bits_apart(similarity, TABLE_BITS * tables)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(near)), b.column(1).filter(pa.array(near))], names=["a", "b"])
+
+    left = distinct.select(F.col("least").alias("a"), F.col("sig").alias("x"))
+    right = distinct.select(F.col("least").alias("b"), F.col("sig").alias("y"))
+    linked = met.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    roots = components(linked)
+    classes = cut(distinct.join(roots, F.col("least") == F.col("node"), "left").select("sig", "size", F.coalesce("root", "least").alias("group")))
+    rows = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return left_join_by_size(signed, classes, "sig", "size", rows).select("id", "group")
