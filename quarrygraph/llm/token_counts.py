@@ -10,7 +10,7 @@ budgets are answered from these tables without encoding anything again.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -56,15 +56,12 @@ class PrefixCounter(RankWordCoder):
                 break
         return count[1:]
 
-    def encode_new(self, keys: Iterable[str]) -> dict:
-        out = {}
-        for k in keys:
-            counts: list[int] = []
-            for w in _PATTERN.findall(word_of(k)):
-                done = counts[-1] if counts else 0
-                counts += [done + n for n in self.prefixes(w.encode())]
-            out[k] = bytes(counts) if counts[-1] < 256 else np.array(counts, np.uint32)
-        return out
+    def encode_key(self, key: str):
+        counts: list[int] = []
+        for w in _PATTERN.findall(word_of(key)):
+            done = counts[-1] if counts else 0
+            counts += [done + n for n in self.prefixes(w.encode())]
+        return bytes(counts) if counts[-1] < 256 else np.array(counts, np.uint32)
 
     def tables(self, text: str) -> list[tuple[str, list]]:
         """(part, tables of its words) for each ordinary part of the text; a special token has none."""
@@ -73,11 +70,7 @@ class PrefixCounter(RankWordCoder):
             if i % 2:
                 out.append((part, None))
                 continue
-            keys = keys_of(part)
-            found = list(map(self.table.get, keys))
-            if None in found:
-                self.table.update(self.encode_new({k for k, f in zip(keys, found) if f is None}))
-                found = list(map(self.table.__getitem__, keys))
+            found = list(map(self.table.__getitem__, keys_of(part)))
             out.append((part, found))
         return out
 

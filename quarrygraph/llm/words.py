@@ -14,16 +14,14 @@ from __future__ import annotations
 import array
 import json
 import os
-import re
 from collections.abc import Iterable
 
 import public_tokenizers
 import regex
 
-#: What may not stand in a text that is cut at single spaces and line feeds only: other white
-#: space, or white space beside white space or an end of the text.
-_OTHER = re.compile(r"[^\S \n]")
-_BESIDE = re.compile(r"[ \n](?:[ \n]|\Z)")
+#: White space other than space and line feed, by any definition of white space.
+_OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER_WIDE = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -33,19 +31,19 @@ def keys_of(segment: str) -> list[str]:
     """The keys of a text without special tokens, in order."""
     if not segment:
         return []
-    if segment[0] in " \n" or _OTHER.search(segment) or _BESIDE.search(segment):
-        out = []
-        for w in _PATTERN.findall(segment):
-            out.append(w[1:] if w[0] == " " and len(w) > 1 and w[1] != " " else " " + w)
-        return out
-    first, *rest = segment.split("\n")
-    out = first.split(" ")
-    out[0] = " " + out[0]
-    for line in rest:
-        out.append(" \n")
-        parts = line.split(" ")
-        parts[0] = " " + parts[0]
-        out += parts
+    out = None if any(c in segment for c in _OTHER) or not segment.isascii() and any(c in segment for c in _OTHER_WIDE) else []
+    if out is not None:
+        for line in segment.split("\n"):
+            parts = line.split(" ")
+            if "" in parts:  # white space beside white space or at an end
+                out = None
+                break
+            parts[0] = " " + parts[0]
+            out += parts
+            out.append(" \n")
+    if out is None:
+        return [w[1:] if w[0] == " " and len(w) > 1 and w[1] != " " else " " + w for w in _PATTERN.findall(segment)]
+    out.pop()
     return out
 
 
@@ -137,10 +135,34 @@ class RankWordCoder(WordCoder):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self._core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self._encode = self._core.encode_ordinary
+        self.table = _Filling(self.encode_key)
 
     def encode_new(self, keys: Iterable[str]) -> dict[str, bytes]:
-        encode, Array = self._encode, array.array
-        return {k: Array("I", encode(k[1:] if k[0] == " " else " " + k)).tobytes() for k in keys}
+        return {k: self.encode_key(k) for k in keys}
+
+    def encode_key(self, key: str) -> bytes:
+        return array.array("I", self._encode(key[1:] if key[0] == " " else " " + key)).tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.table) > self.limit:
+            self.table.clear()
+        get, out = self.table.__getitem__, []
+        for text in texts:
+            parts = self.segments(text)
+            out.append(b"".join([b"".join(map(get, keys_of(part))) if i % 2 == 0 else self.specials[part] for i, part in enumerate(parts)]))
+        return out
+
+
+class _Filling(dict):
+    """A table that makes a missing entry itself."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
 def byte_characters() -> list[str]:
