@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .chat import OP4_SQL, op4_chat_formatting
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .packing import op3_best_fit_packing
 from .quality import OP8_SQL, op8_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_chat_formatting": op4_chat_formatting,
         "op6_url_filters": op6_url_filters,
         "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op8_quality_rules": OP8_SQL, "op10_exact_dedup": OP10_SQL}
