@@ -1,15 +1,656 @@
-"""Registry of the reference-derived queries and their oracle SQL."""
+"""Registry of the queries over the test tables, each with its SQL where SQL can express it.
+
+The operators work on code tables. The test tables hold no source code, so each query maps their
+columns to the operator's: parts are definitions (name, kind by type, parent by brand), parts that
+follow each other in an order are call edges, events are a call log, documents are files.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import stats as S
+from .functions import text as T
+from .operators import aggregates as A
+from .operators import clones as C
+from .operators import graph as G
+from .operators import grep
+from .operators import ledger as L
+from .operators import relational as R
+from .operators import retrieval as V
+from .operators import verify as Y
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the test tables as code tables -------------------------------------------------------------
+
+
+def defs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("parent"), F.col("p_partkey").alias("fid"), F.col("p_size").alias("start"))
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    """(order, src, dst): each part and the next one in its order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return rows.where("dst is not null and src <> dst")
+
+
+CALLS = """basket AS (SELECT l_orderkey, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem),
+calls AS (SELECT l_orderkey, src, dst FROM basket WHERE dst IS NOT NULL AND src <> dst)"""
+GRAPH = CALLS + """,
+e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM calls GROUP BY src, dst)"""
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return calls(spark, d).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+# --- lookups -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CALLS}, n AS (SELECT dst, count(*) AS calls, count(DISTINCT src) AS callers FROM calls GROUP BY dst)
+SELECT dst AS partkey, p_name AS name, p_type AS kind, calls, callers FROM n JOIN part ON dst = p_partkey ORDER BY calls DESC, dst LIMIT 20""")
+def top_callees(spark, d):
+    counts = A.edge_counts(calls(spark, d), "src", "dst").groupBy("dst").agg(F.sum("n").alias("calls"), F.count("*").alias("callers"))
+    info = defs(spark, d).select(F.col("fid").alias("dst"), "name", "kind")
+    return counts.join(info, "dst").orderBy(F.desc("calls"), "dst").limit(20).select(F.col("dst").alias("partkey"), "name", "kind", "calls", "callers")
+
+
+@query("SELECT p_name AS name, p_type AS kind, p_brand AS parent, p_partkey AS fid FROM part WHERE p_name = 'red widget'")
+def find_symbol_exact(spark, d):
+    return R.find_exact(defs(spark, d), "red widget").select("name", "kind", "parent", "fid")
+
+
+@query("SELECT p_name AS name, p_type AS kind, p_partkey AS fid FROM part WHERE p_name IN ('red widget', 'old rod', 'no such name')")
+def find_symbol_batch(spark, d):
+    names = spark.createDataFrame([("red widget",), ("old rod",), ("no such name",)], "name string")
+    return R.find_batch(defs(spark, d), names).select("name", "kind", "fid")
+
+
+@query("SELECT p_name AS name, p_partkey AS fid FROM part WHERE regexp_matches(p_name, '^r.*w.dget$')")
+def find_symbol_glob(spark, d):
+    return R.find_glob(defs(spark, d), "r*w?dget").select("name", "fid")
+
+
+@query("SELECT p_name AS name, p_partkey AS fid FROM part WHERE p_name LIKE 'small%' AND p_type = 'LARGE' AND p_brand = 'Brand#4'")
+def find_symbol_filtered(spark, d):
+    return R.filtered(R.find_glob(defs(spark, d), "small*"), kind="LARGE", parent="Brand#4").select("name", "fid")
+
+
+@query("SELECT count(*) AS pre_filter_count, count(*) FILTER (WHERE p_type = 'LARGE') AS match_count FROM part WHERE p_name LIKE 'red%'")
+def find_symbol_prefilter_count(spark, d):
+    return R.filter_counts(R.find_glob(defs(spark, d), "red*"), F.col("kind") == "LARGE")
+
+
+@query(f"""WITH {CALLS}, r AS (SELECT dst, count(*) AS rank FROM calls GROUP BY dst),
+m AS (SELECT p_name AS name, p_partkey AS fid, coalesce(rank, 0) AS rank FROM part LEFT JOIN r ON dst = p_partkey WHERE p_name LIKE '%widget')
+SELECT name, fid, rank, (SELECT count(*) FROM m) > 25 AS truncated FROM m ORDER BY rank DESC, name, fid LIMIT 25""")
+def find_symbol_ranked(spark, d):
+    rank = calls(spark, d).groupBy(F.col("dst").alias("fid")).agg(F.count("*").alias("rank"))
+    found = R.find_glob(defs(spark, d), "*widget").join(rank, "fid", "left").select("name", "fid", F.coalesce("rank", F.lit(0)).alias("rank"))
+    return R.top(found, 25, F.desc("rank"), F.col("name"), F.col("fid"))
+
+
+@query("SELECT p_partkey AS fid, p_brand || '::' || p_name AS qualified, p_name AS segment, CAST(ceil(strlen(p_name) / 3.0) AS BIGINT) AS cost FROM part WHERE p_partkey < 500")
+def qualified_names(spark, d):
+    x = defs(spark, d).where("fid < 500").withColumn("qualified", T.qualified_name(F.col("name"), F.col("parent")))
+    return x.select("fid", "qualified", T.final_segment(F.col("qualified")).alias("segment"), T.token_cost(F.col("name")).alias("cost"))
+
+
+@query(f"""WITH {CALLS} SELECT l_orderkey AS site, src AS caller, p_name AS caller_name, p_type AS caller_kind FROM calls JOIN part ON p_partkey = src WHERE dst = 7""")
+def find_callers(spark, d):
+    info = defs(spark, d).select(F.col("fid").alias("src"), F.col("name").alias("caller_name"), F.col("kind").alias("caller_kind"))
+    return calls(spark, d).where("dst = 7").join(info, "src", "left").select(F.col("l_orderkey").alias("site"), F.col("src").alias("caller"), "caller_name", "caller_kind")
+
+
+@query("SELECT o_orderkey AS callee, o_orderstatus AS status FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def unresolved_refs(spark, d):
+    refs = read(spark, d, "orders").select(F.col("o_orderkey").alias("callee"), F.col("o_orderstatus").alias("status"))
+    return R.unresolved(refs, read(spark, d, "lineitem").select(F.col("l_orderkey").alias("name")))
+
+
+@query("SELECT count(*) AS resolved FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def resolved_refs(spark, d):
+    refs = read(spark, d, "orders").select(F.col("o_orderkey").alias("callee"))
+    return R.resolve(refs, read(spark, d, "lineitem").select(F.col("l_orderkey").alias("name"))).agg(F.count("*").alias("resolved"))
+
+
+SPANS = """s AS (SELECT user_id, event_id AS span_id, epoch_us(ts) AS a, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 9000000000000000) AS b FROM events WHERE event_type = 'signup')"""
+
+
+def _spans(spark, d):
+    e = read(spark, d, "events").where("event_type = 'signup'").select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("a"))
+    return e.select("user_id", F.col("event_id").alias("span_id"), "a", F.coalesce(F.lead("a").over(Window.partitionBy("user_id").orderBy("a", "event_id")), F.lit(9000000000000000)).alias("b"))
+
+
+@query(f"""WITH {SPANS}, p AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'),
+j AS (SELECT event_id, span_id, row_number() OVER (PARTITION BY event_id ORDER BY b - a, a, span_id) AS n FROM p JOIN s ON p.user_id = s.user_id AND a <= t AND t < b)
+SELECT p.event_id, p.user_id, j.span_id AS enclosing_span_id FROM p LEFT JOIN j ON p.event_id = j.event_id AND n = 1""")
+def enclosing_span(spark, d):
+    sites = read(spark, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp))").alias("t"))
+    return R.enclosing(sites, _spans(spark, d), "user_id", "t", "a", "b", ["event_id"], ["span_id"]).select("event_id", "user_id", "enclosing_span_id")
+
+
+@query(f"""WITH {SPANS} SELECT event_id FROM events e WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND s.b - s.a < 86400000000 AND a <= epoch_us(ts) AND epoch_us(ts) <= b)""")
+def within_symbol_semi(spark, d):
+    sites = read(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", F.expr("unix_micros(cast(ts as timestamp))").alias("t"))
+    return R.within(sites, _spans(spark, d).where("b - a < 86400000000"), "user_id", ("t", "t"), ("a", "b")).select("event_id")
+
+
+@query("""WITH f AS (SELECT p_name, p_partkey, p_type, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) AS n FROM part)
+SELECT p_name AS name, p_partkey AS fid, p_type AS kind FROM f WHERE n = 1""")
+def first_definition(spark, d):
+    return R.first_per(defs(spark, d), ["name"], "start", "fid").select("name", "fid", "kind")
+
+
+@query(f"""WITH {CALLS}, c AS (SELECT DISTINCT src, dst FROM calls WHERE src < 20), k AS (SELECT src, dst, p_name, CAST(ceil(strlen(p_name) / 3.0) AS BIGINT) AS cost FROM c JOIN part ON p_partkey = dst),
+r AS (SELECT src, dst, cost, CAST(sum(cost) OVER w AS BIGINT) AS running_cost, row_number() OVER w AS position FROM k WINDOW w AS (PARTITION BY src ORDER BY cost, dst ROWS UNBOUNDED PRECEDING))
+SELECT src AS anchor, dst AS node, cost, running_cost, position FROM r WHERE running_cost <= 40 OR position = 1""")
+def dependency_closure_budgeted(spark, d):
+    anchors = defs(spark, d).where("fid < 20").select(F.col("fid").alias("node"))
+    deps = G.closure(calls(spark, d), anchors).join(defs(spark, d).select(F.col("fid").alias("node"), "name"), "node").withColumn("cost", T.token_cost(F.col("name")))
+    return A.budget_prefix(deps, F.col("cost"), 40, [F.col("cost"), F.col("node")], ["anchor"]).select("anchor", "node", "cost", "running_cost", F.col("position").cast("long").alias("position"))
+
+
+@query("""WITH a AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY lang) AS any_id FROM documents WHERE doc_id < 300)
+SELECT doc_id, coalesce((SELECT min(text) FROM documents x WHERE x.doc_id = a.doc_id AND x.n_chars < 400), (SELECT min(text) FROM documents x WHERE x.doc_id = (SELECT min(y.doc_id) FROM documents y WHERE y.lang = a.lang AND y.n_chars < 400))) AS doc FROM a""")
+def docs_preferred(spark, d):
+    docs = read(spark, d, "documents")
+    wanted = docs.where("doc_id < 300").select(F.col("lang").alias("name"), F.col("doc_id").alias("fid"))
+    have = docs.where("n_chars < 400").select(F.col("lang").alias("name"), F.col("doc_id").alias("fid"), "text")
+    return R.docs_preferred(wanted, have).select(F.col("fid").alias("doc_id"), "doc")
+
+
+# --- set operations ------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT l_partkey AS name, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey < 3000 GROUP BY 1), w AS (SELECT l_partkey AS name, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey < 3000 GROUP BY 1)
+SELECT coalesce(o.name, w.name) AS name, o.n AS old_value, w.n AS new_value, CASE WHEN w.n IS NULL THEN 'removed' WHEN o.n IS NULL THEN 'added' WHEN o.n <> w.n THEN 'changed' ELSE 'same' END AS change
+FROM o FULL OUTER JOIN w ON o.name = w.name""")
+def edit_diff_full_outer(spark, d):
+    by = lambda f: read(spark, d, "lineitem").where(f"l_returnflag = '{f}' and l_orderkey < 3000").groupBy(F.col("l_partkey").alias("name")).agg(F.count("*").alias("n"))
+    return R.full_diff(by("A"), by("R"), ["name"], "n")
+
+
+@query("""WITH i AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 7 <> 0), x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT coalesce(i.k, x.k) AS path, CASE WHEN x.k IS NULL THEN 'removed' ELSE 'touched' END AS op FROM i FULL OUTER JOIN x ON i.k = x.k WHERE i.k IS NULL OR x.k IS NULL OR i.v <> x.v""")
+def reconcile_rescan(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("content_hash"))
+    disk = o.where("path % 5 <> 0").withColumn("content_hash", F.when(F.col("path") % 11 == 0, "X").otherwise(F.col("content_hash")))
+    return R.reconcile(o.where("path % 7 <> 0"), disk)
+
+
+@query("""WITH u AS (SELECT p_name AS name, 0 AS pool, p_partkey AS fid FROM part WHERE p_type = 'SMALL' UNION ALL SELECT p_name, 1, p_partkey FROM part WHERE p_type = 'PROMO'),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pool, fid) AS n FROM u) SELECT name, fid FROM r WHERE n = 1""")
+def candidate_union(spark, d):
+    pool = lambda k: defs(spark, d).where(F.col("kind") == k).select("name", "fid")
+    return R.union_first([pool("SMALL"), pool("PROMO")], "name")
+
+
+@query("SELECT DISTINCT p_name AS name FROM part WHERE p_type = 'SMALL' EXCEPT SELECT p_name FROM part WHERE p_type = 'PROMO' AND p_size > 25")
+def set_difference(spark, d):
+    x = defs(spark, d)
+    return x.where("kind = 'SMALL'").select("name").distinct().join(x.where("kind = 'PROMO' and start > 25"), "name", "left_anti")
+
+
+# --- aggregates and windows ------------------------------------------------------------------------
+
+
+@query(f"WITH {CALLS} SELECT src, dst, count(*) AS n FROM calls GROUP BY src, dst HAVING count(*) > 1")
+def edge_counts(spark, d):
+    return A.edge_counts(calls(spark, d), "src", "dst").where("n > 1")
+
+
+@query("""SELECT p_name AS name, count(*) AS def_count, arg_min(p_type, p_partkey) AS first_kind, count(*) > 5 AS ubiquitous FROM part GROUP BY p_name""")
+def def_counts(spark, d):
+    return A.def_counts(defs(spark, d), "name", "kind", "fid")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def lang_counts(spark, d):
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_type AS kind, count(*) AS n, count(DISTINCT p_name) AS names FROM part GROUP BY p_type")
+def kind_counts(spark, d):
+    return defs(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+
+
+@query("SELECT source, count(*) AS files, CASE WHEN sum(n_chars) < 1000 THEN 'lt_1k' WHEN sum(n_chars) < 10000 THEN '1k_to_10k' WHEN sum(n_chars) < 100000 THEN '10k_to_100k' ELSE 'gt_100k' END AS bucket FROM documents GROUP BY source")
+def size_bucket(spark, d):
+    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), T.size_bucket(F.sum("n_chars")).alias("bucket"))
+
+
+@query("""SELECT o_custkey AS file, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS defs FROM orders WHERE o_custkey < 200 GROUP BY 1
+UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey < 200 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+def files_with_defs(spark, d):
+    got = read(spark, d, "orders").select(F.col("o_custkey").alias("file"), "o_orderpriority").dropDuplicates().groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("o_orderpriority")), ",").alias("defs"))
+    return read(spark, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("file")).join(got, "file", "left")
+
+
+LAT = "SELECT event_type AS method, CAST(round(value * 1000) AS BIGINT) AS us, user_id % 10 <> 0 AS ok, event_id FROM events"
+
+
+def _calls_log(spark, d):
+    return read(spark, d, "events").select(F.col("event_type").alias("method"), F.round(F.col("value") * 1000).cast("long").alias("us"), (F.col("user_id") % 10 != 0).alias("ok"), "event_id")
+
+
+@query(f"""WITH l AS ({LAT}), g AS (SELECT method, quantile_disc(us, 0.5) AS p50, quantile_disc(us, 0.95) AS p95, quantile_disc(us, 0.99) AS p99, CAST(sum(us) AS BIGINT) // count(us) AS mean, max(us) AS max, count(*) AS ok_count FROM l WHERE ok GROUP BY method)
+SELECT a.method, a.count, p50, p95, p99, mean, max, ok_count FROM (SELECT method, count(*) AS count FROM l GROUP BY method) a LEFT JOIN g ON a.method = g.method""")
+def latency_percentiles(spark, d):
+    return A.latency_stats(_calls_log(spark, d), ["method"], "us", "ok")
+
+
+@query(f"""WITH l AS ({LAT}), h AS (SELECT method, least(CAST(floor(log2(greatest(us, 1)) + 1e-12) AS INTEGER), 18) AS bucket, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT method, bucket, n, CAST(sum(n) OVER (PARTITION BY method ORDER BY bucket) AS BIGINT) AS running FROM h""")
+def latency_histogram(spark, d):
+    return A.histogram(_calls_log(spark, d), ["method"], F.col("us"))
+
+
+@query(f"""WITH l AS ({LAT}), h AS (SELECT method, least(CAST(floor(log2(greatest(us, 1)) + 1e-12) AS INTEGER), 18) AS bucket, count(*) AS n FROM l GROUP BY 1, 2),
+r AS (SELECT method, bucket, sum(n) OVER (PARTITION BY method ORDER BY bucket) AS running, sum(n) OVER (PARTITION BY method) AS total FROM h)
+SELECT method, min(CAST(1 << bucket AS BIGINT) // 1000) FILTER (WHERE running >= ceil(total * 0.5)) AS p50_ms, min(CAST(1 << bucket AS BIGINT) // 1000) FILTER (WHERE running >= ceil(total * 0.99)) AS p99_ms FROM r GROUP BY method""")
+def latency_histogram_p50_p99(spark, d):
+    return A.histogram_percentiles(A.histogram(_calls_log(spark, d), ["method"], F.col("us")), ["method"], {"p50_ms": 0.5, "p99_ms": 0.99})
+
+
+@query(f"""WITH l AS ({LAT}), w AS (SELECT method, event_id, list(us) OVER (PARTITION BY method ORDER BY event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS x FROM l)
+SELECT method, event_id, list_sort(x)[(len(x) - 1) // 2 + 1] AS rolling_median FROM w""")
+def rolling_median16(spark, d):
+    return A.rolling_lower_median(_calls_log(spark, d), "us", ["event_id"], ["method"]).select("method", "event_id", "rolling_median")
+
+
+@query("SELECT event_type AS method, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT NULL, count(*) FROM events")
+def call_counters(spark, d):
+    return A.call_counters(_calls_log(spark, d), "method")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS n, round(count(*) FILTER (WHERE event_type = 'error') * 1.0 / count(*), 6) AS rate FROM events GROUP BY user_id")
+def error_rate(spark, d):
+    return read(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("n"), F.round(S.rate(F.count_if(F.col("event_type") == "error"), F.count("*")), 6).alias("rate"))
+
+
+@query("SELECT round(coalesce(sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END) * 1.0 / nullif(count(*), 0), 0), 6) AS hit_rate FROM events")
+def cache_hit_rate(spark, d):
+    hit = F.col("event_type").isin("click", "view").cast("int")
+    return read(spark, d, "events").agg(F.round(A.hit_rate(hit, 1 - hit), 6).alias("hit_rate"))
+
+
+@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, sum(o_totalprice) AS toks, count(*) AS sessions FROM orders GROUP BY 1), s AS (SELECT strftime(l_shipdate, '%Y-%m') AS m, avg(l_quantity) AS loc, sum(l_quantity) AS diff_lines FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1)
+SELECT m.m, round(toks * 1.0 / nullif(diff_lines, 0), 1) AS tokens_per_diff_line, sessions, round(loc, 4) AS loc FROM m LEFT JOIN s ON m.m = s.m""")
+def monthly_ledger(spark, d):
+    monthly = read(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.sum("o_totalprice").alias("toks"), F.count("*").alias("sessions"))
+    entropy = read(spark, d, "lineitem").where("l_shipdate < timestamp_ntz'2000-01-01'").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("m")).agg(F.avg("l_quantity").alias("loc"), F.sum("l_quantity").alias("diff_lines"))
+    return monthly.join(entropy, "m", "left").select("m", F.round(F.try_divide("toks", F.nullif("diff_lines", F.lit(0.0))), 1).alias("tokens_per_diff_line"), "sessions", F.round("loc", 4).alias("loc"))
+
+
+@query("""WITH r AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, event_id, value FROM r WHERE n = 1""")
+def keep_last_upsert(spark, d):
+    return R.keep_last(read(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-04-20 00:00:00' - INTERVAL 90 DAY")
+def ttl_retention(spark, d):
+    return R.retained(read(spark, d, "events"), "ts", 90, F.lit("2024-04-20 00:00:00").cast("timestamp_ntz")).select("event_id", "event_type")
+
+
+@query("SELECT user_id, event_type AS method, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1, 2")
+def telemetry_maps(spark, d):
+    e = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return e.select("user_id", F.explode(F.map_filter("m", lambda k, v: k.isin("click", "view", "error") & (v > 0))).alias("method", "n"))
+
+
+@query("""SELECT source, count(*) FILTER (WHERE quality = 1) AS successes, count(*) AS n, round(count(*) FILTER (WHERE quality = 1) * 1.0 / count(*), 6) AS p,
+round(greatest(0, ((count(*) FILTER (WHERE quality = 1) * 1.0 / count(*) + 3.8416 / (2 * count(*))) - 1.96 * sqrt(count(*) FILTER (WHERE quality = 1) * 1.0 / count(*) * (1 - count(*) FILTER (WHERE quality = 1) * 1.0 / count(*)) / count(*) + 3.8416 / (4.0 * count(*) * count(*)))) / (1 + 3.8416 / count(*))), 6) AS lo,
+round(least(1, ((count(*) FILTER (WHERE quality = 1) * 1.0 / count(*) + 3.8416 / (2 * count(*))) + 1.96 * sqrt(count(*) FILTER (WHERE quality = 1) * 1.0 / count(*) * (1 - count(*) FILTER (WHERE quality = 1) * 1.0 / count(*)) / count(*) + 3.8416 / (4.0 * count(*) * count(*)))) / (1 + 3.8416 / count(*))), 6) AS hi
+FROM labels JOIN documents USING (doc_id) GROUP BY source""")
+def wilson_by_arm(spark, d):
+    x = A.wilson_by(read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id"), ["source"], F.col("quality") == 1)
+    return x.select("source", "successes", "n", *[F.round(c, 6).alias(c) for c in ("p", "lo", "hi")])
+
+
+@query("SELECT count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS b01, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b10 FROM labels")
+def mcnemar_counts(spark, d):
+    x = read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
+    return A.mcnemar(x.select("doc_id", F.col("a").alias("ok")), x.select("doc_id", F.col("b").alias("ok")), "doc_id", "ok").select("b01", "b10")
+
+
+@query()
+def mcnemar_p_value(spark, d):
+    x = read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
+    return A.mcnemar(x.select("doc_id", F.col("a").alias("ok")), x.select("doc_id", F.col("b").alias("ok")), "doc_id", "ok")
+
+
+@query("""WITH b AS (SELECT l_partkey AS k, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), c AS (SELECT l_partkey AS k, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+SELECT coalesce(b.k, c.k) AS k, m AS metric, CASE WHEN b.k IS NULL THEN 'new' WHEN c.k IS NULL THEN 'missing' WHEN m = 'n' AND abs(c.n - b.n) <= b.n * 0.25 + 1e-9 THEN 'pass' WHEN m = 'q' AND c.q <= b.q * 1.1 + 1e-9 THEN 'pass' ELSE 'regression' END AS kind
+FROM b FULL OUTER JOIN c ON b.k = c.k JOIN (SELECT unnest(['n', 'q', 'presence']) AS m) ON (m = 'presence') = (b.k IS NULL OR c.k IS NULL)""")
+def baseline_compare(spark, d):
+    side = lambda s: read(spark, d, "lineitem").where(f"l_linestatus = '{s}'").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"))
+    return A.compare_metrics(side("F"), side("O"), "k", {"n": 25.0}, {"q": 10.0}, [])
+
+
+@query("""WITH s AS (SELECT CASE WHEN b.p = 0 THEN 0.0 ELSE (b.p - b.q) / b.p * 100 END AS s, p, q FROM (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS p, count(*) * 5 AS q FROM lineitem GROUP BY 1) b)
+SELECT count(*) AS tasks, CAST(sum(p) AS BIGINT) AS baseline_tokens, CAST(sum(q) AS BIGINT) AS our_tokens, round(quantile_cont(s, 0.5), 6) AS median_saved FROM s""")
+def token_reduction(spark, d):
+    tasks = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("p"), (F.count("*") * 5).alias("q"))
+    return A.token_reduction(tasks, "p", "q").withColumn("median_saved", F.round("median_saved", 6))
+
+
+@query("""SELECT role, count(*) AS n, list_sort(list(length(text)))[count(*) // 2 + 1] AS median_chars, CAST(sum(length(text)) AS BIGINT) AS chars, max(turn) - min(turn) AS span FROM conversations GROUP BY role""")
+def tool_use_by_role(spark, d):
+    c = read(spark, d, "conversations").withColumn("n_chars", F.char_length("text").cast("long"))
+    return c.groupBy("role").agg(F.count("*").alias("n"), A.upper_median("n_chars").alias("median_chars"), F.sum("n_chars").alias("chars"), (F.max("turn") - F.min("turn")).alias("span"))
+
+
+# --- graph -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CALLS}, n AS (SELECT src, dst, count(*) AS refs FROM calls GROUP BY 1, 2), u AS (SELECT p_name, count(*) > 5 AS ubiq FROM part GROUP BY 1)
+SELECT src, dst, refs, round((CASE WHEN strlen(p.p_name) >= 8 AND regexp_matches(p.p_name, '[_-]|[a-z][A-Z]') THEN 10.0 ELSE 1.0 END) * (CASE WHEN starts_with(p.p_name, '_') THEN 0.1 ELSE 1.0 END) * (CASE WHEN ubiq THEN 0.1 ELSE 1.0 END) * (CASE WHEN p.p_name = 'red widget' THEN 10.0 ELSE 1.0 END) * (CASE WHEN src < 10 THEN 50.0 ELSE 1.0 END) * sqrt(refs), 6) AS weight
+FROM n JOIN part p ON p.p_partkey = dst JOIN u ON u.p_name = p.p_name""")
+def edge_weights(spark, d):
+    names = defs(spark, d).select(F.col("fid").alias("dst"), "name")
+    ubiq = A.def_counts(defs(spark, d), "name", "kind", "fid").select("name", "ubiquitous")
+    n = A.edge_counts(calls(spark, d), "src", "dst").withColumnRenamed("n", "refs").join(names, "dst").join(ubiq, "name")
+    w = T.edge_weight(F.col("name"), F.col("refs"), F.col("name") == "red widget", F.col("ubiquitous"), F.col("src") < 10)
+    return n.select("src", "dst", "refs", F.round(w, 6).alias("weight"))
+
+
+def _pagerank_sql(k: int, teleport: str) -> str:
+    steps = [GRAPH, f"nodes AS (SELECT p_partkey AS node FROM part), o AS (SELECT src, sum(weight) AS out FROM e GROUP BY src), t AS ({teleport}), r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
+    for i in range(k):
+        steps.append(f"""r{i + 1} AS (SELECT t.node, (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT src FROM o))) * t.p + 0.85 * coalesce(m.s, 0) AS rank
+FROM t LEFT JOIN (SELECT e.dst AS node, sum(r.rank * e.weight / o.out) AS s FROM e JOIN o ON e.src = o.src JOIN r{i} r ON r.node = e.src GROUP BY e.dst) m ON m.node = t.node)""")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT node, round(rank, 7) AS rank FROM r{k}"
+
+
+@query(_pagerank_sql(10, "SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS p FROM nodes"))
+def pagerank_k10(spark, d):
+    nodes = defs(spark, d).select(F.col("fid").alias("node"))
+    return G.pagerank(edges(spark, d), nodes, iterations=10, tolerance=0.0).select("node", F.round("rank", 7).alias("rank"))
+
+
+@query(_pagerank_sql(5, "SELECT node, CASE WHEN node < 10 THEN 0.1 ELSE 0 END AS p FROM nodes"))
+def pagerank_personalized_k5(spark, d):
+    nodes = defs(spark, d).select(F.col("fid").alias("node"))
+    liked = nodes.where("node < 10").withColumn("weight", F.lit(10.0))
+    return G.pagerank(edges(spark, d), nodes, liked, iterations=5, tolerance=0.0).select("node", F.round("rank", 7).alias("rank"))
+
+
+@query(_pagerank_sql(3, "SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS p FROM nodes"))
+def pagerank_distributed_k3(spark, d):
+    nodes = defs(spark, d).select(F.col("fid").alias("node"))
+    return G.pagerank(edges(spark, d), nodes, iterations=3, tolerance=0.0, driver_edges=0).select("node", F.round("rank", 7).alias("rank"))
+
+
+@query("""WITH x AS (SELECT l_suppkey AS src, l_partkey AS part, count(*) AS n FROM lineitem GROUP BY 1, 2), home AS (SELECT l_partkey AS part, min(l_suppkey) AS dst FROM lineitem GROUP BY 1)
+SELECT src, dst, CAST(sum(n) AS BIGINT) AS refs, count(*) AS idents FROM x JOIN home ON x.part = home.part WHERE src <> dst GROUP BY 1, 2""")
+def file_graph_edges(spark, d):
+    li = read(spark, d, "lineitem")
+    uses = li.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("part")).agg(F.count("*").alias("n"))
+    home = li.groupBy(F.col("l_partkey").alias("part")).agg(F.min("l_suppkey").alias("dst"))
+    return uses.join(home, "part").where("src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("refs"), F.count("*").alias("idents"))
+
+
+_REACH = f"""WITH RECURSIVE {GRAPH}, walk(anchor, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey IN (1, 2, 3) UNION SELECT w.anchor, e.src, w.depth + 1 FROM walk w JOIN e ON e.dst = w.node WHERE w.depth < 2)"""
+
+
+@query(_REACH + " SELECT anchor, node, min(depth) AS depth FROM walk WHERE NOT (anchor = node) GROUP BY 1, 2")
+def impact_depth2(spark, d):
+    anchors = defs(spark, d).where("fid in (1, 2, 3)").select(F.col("fid").alias("node"))
+    return G.reach_back(edges(spark, d), anchors, 2)
+
+
+@query(_REACH + """, m AS (SELECT anchor, node, min(depth) AS depth FROM walk WHERE anchor <> node GROUP BY 1, 2)
+SELECT anchor, depth, count(*) AS n, count(*) FILTER (WHERE p_type = 'PROMO') AS promo FROM m JOIN part ON p_partkey = node GROUP BY 1, 2""")
+def impact_filtered(spark, d):
+    anchors = defs(spark, d).where("fid in (1, 2, 3)").select(F.col("fid").alias("node"))
+    got = G.reach_back(edges(spark, d), anchors, 2).join(defs(spark, d).select(F.col("fid").alias("node"), "kind"), "node")
+    return got.groupBy("anchor", "depth").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "PROMO").alias("promo"))
+
+
+@query(f"""WITH {GRAPH} SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node""")
+def fan_in_out(spark, d):
+    return G.degrees(edges(spark, d))
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[tT][hH][eE] [oO][nN]')) AS hits FROM documents WHERE regexp_matches(text, '[tT][hH][eE] [oO][nN]')")
+def grep_literal_ci(spark, d):
+    p = grep.literal_regex("the on")
+    return read(spark, d, "documents").where(F.col("text").rlike(p)).select("doc_id", F.regexp_count("text", F.lit(p)).cast("long").alias("hits"))
+
+
+@query("SELECT doc_id, m AS match, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'th[aeiou]+t?ion')) AS m FROM documents) GROUP BY 1, 2")
+def grep_regex(spark, d):
+    return grep.matches(read(spark, d, "documents"), "th[aeiou]+t?ion", ["doc_id"]).groupBy("doc_id", "match").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, i AS ordinal, strlen(m[i]) AS bytes FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?sm)^The .{1,20}?\\n') AS m FROM documents))")
+def grep_multiline(spark, d):
+    x = grep.matches(read(spark, d, "documents"), r"^The .{1,20}?\n", ["doc_id"], multiline=True)
+    return x.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), (F.col("end") - F.col("start")).cast("long").alias("bytes"))
+
+
+@query("""SELECT doc_id, CAST(i AS BIGINT) AS line, l[i] AS line_text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(l[i], 'License')""")
+def grep_line_numbers(spark, d):
+    x = grep.line_matches(read(spark, d, "documents"), "License", ["doc_id"])
+    return x.select("doc_id", F.col("line").cast("long").alias("line"), "line_text")
+
+
+@query("""WITH m AS (SELECT doc_id, n_chars, len(regexp_extract_all(text, 'stupid|idiot|moron')) AS hits FROM documents) SELECT doc_id, hits, n_chars FROM m WHERE hits > 0 ORDER BY hits DESC, n_chars DESC, doc_id LIMIT 50""")
+def grep_limit_ranked(spark, d):
+    p = "stupid|idiot|moron"
+    x = read(spark, d, "documents").where(F.col("text").rlike(p)).select("doc_id", F.regexp_count("text", F.lit(p)).cast("long").alias("hits"), "n_chars")
+    return x.orderBy(F.desc("hits"), F.desc("n_chars"), "doc_id").limit(50)
+
+
+@query("""SELECT page_id, i AS ordinal, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages))""")
+def structural_links(spark, d):
+    x = grep.structural(read(spark, d, "pages"), "a", ["page_id"], attribute="href")
+    return x.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("captures")["href"][0].alias("href"))
+
+
+@query("SELECT lower(m) AS ident, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS m FROM documents WHERE lang = 'en') GROUP BY 1 HAVING count(*) > 20")
+def identifier_scan(spark, d):
+    ids = read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("m"))
+    return ids.groupBy(F.lower("m").alias("ident")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("n > 20")
+
+
+@query("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE contains(lower(text), 'licensed under')")
+def doc_contains(spark, d):
+    return R.doc_contains(read(spark, d, "documents").withColumnRenamed("text", "doc"), "Licensed Under").join(read(spark, d, "labels"), "doc_id").select("doc_id", "quality")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages) SELECT page_id, CASE WHEN regexp_matches(u, '\\.tmp$|~$') THEN 'skip:editor_swap' WHEN regexp_matches(u, '\\.(pem|key)$') THEN 'skip:secrets'
+WHEN NOT regexp_matches(lower(u), '/[^/.][^/]*\\.(md|json|xml|html5)$') THEN 'skip:unsupported_extension' ELSE 'index_full' END AS decision FROM p""")
+def classify_path(spark, d):
+    u = F.regexp_replace("url", r"[?#].*$", "")
+    return read(spark, d, "pages").select("page_id", T.classify_path(u).alias("decision"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(source || '/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.pem' WHEN doc_id % 10 = 1 THEN '/.npmrc' WHEN doc_id % 10 = 2 THEN '/.env.local' ELSE '.rs' END, '(^|/)\\.env(\\..*)?$|\\.(pem|p12|pfx|key|kdbx|jks|crt|cer)$|(^|/)\\.npmrc$')")
+def secrets_filter(spark, d):
+    tail = F.when(F.col("doc_id") % 10 == 0, ".pem").when(F.col("doc_id") % 10 == 1, "/.npmrc").when(F.col("doc_id") % 10 == 2, "/.env.local").otherwise(".rs")
+    x = read(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), tail).alias("path"))
+    return x.where(T.classify_path(F.col("path")) == "skip:secrets").select("doc_id")
+
+
+@query("""SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents WHERE doc_id < 400""")
+def read_range(spark, d):
+    return read(spark, d, "documents").where("doc_id < 400").select("doc_id", grep.read_range(F.col("text"), 2, 3).alias("lines"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), g AS (SELECT line, count(*) AS sites, count(DISTINCT doc_id) AS spread, length(line) AS mass FROM l WHERE length(line) >= 40 GROUP BY line HAVING count(*) >= 2)
+SELECT md5(line) AS cluster_id, CAST(mass AS BIGINT) AS mass, sites, spread, CAST(mass * spread AS BIGINT) AS score FROM g""")
+def repeated_lines(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("char_length(line) >= 40").withColumn("mass", F.char_length("line").cast("long"))
+    return C.clone_groups(lines, "line", "doc_id", "mass").select("cluster_id", "mass", "sites", "spread", "score")
+
+
+@query("SELECT md5(text) AS cluster_id, CAST(length(text) AS BIGINT) AS mass, count(*) AS sites, count(DISTINCT source) AS spread, CAST(length(text) * count(DISTINCT source) AS BIGINT) AS score FROM documents GROUP BY text HAVING count(*) >= 2")
+def clone_groups(spark, d):
+    x = read(spark, d, "documents").withColumn("mass", F.char_length("text").cast("long"))
+    return C.clone_groups(x, "text", "source", "mass").select("cluster_id", "mass", "sites", "spread", "score")
+
+
+@query()
+def clone_maximal(spark, d):
+    x = read(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("char_length(line) >= 40")
+    return C.maximal_clones(x.select(F.md5("line").alias("hash"), F.char_length("line").alias("mass"), F.concat_ws("/", "source", "doc_id").alias("path"), F.col("i").alias("start"), F.col("i").alias("end")))
+
+
+# --- retrieval ---------------------------------------------------------------------------------------
+
+_TOK = """q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: strlen(x) >= 5)) AS w FROM benchmark),
+c AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: strlen(x) >= 5)) AS w FROM documents WHERE lang = 'en'),
+cw AS (SELECT doc_id, unnest(w) AS t FROM c), qw AS (SELECT item_id, unnest(w) AS t FROM q),
+i AS (SELECT t, count(DISTINCT doc_id) AS df, ln((1.0 + (SELECT count(*) FROM c)) / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM cw GROUP BY t)"""
+
+
+def _words(c):
+    return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: F.octet_length(x) >= 5))
+
+
+def _idf(spark, d):
+    docs = read(spark, d, "documents").where("lang = 'en'").select("doc_id", _words("text").alias("w"))
+    words = docs.select("doc_id", F.explode("w").alias("t"))
+    return words, A.idf(words, "doc_id", "t", docs.count())
+
+
+@query(f"WITH {_TOK} SELECT t, df, round(idf, 6) AS idf FROM i WHERE df > 5")
+def semantic_idf(spark, d):
+    return _idf(spark, d)[1].where("df > 5").select("t", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""WITH {_TOK}, s AS (SELECT item_id, doc_id, round(sum(idf), 4) AS score FROM qw JOIN cw ON qw.t = cw.t JOIN i ON i.t = cw.t GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS position FROM s) SELECT item_id, doc_id, score, position FROM r WHERE position <= 10""")
+def semantic_topk(spark, d):
+    return _topk(spark, d, 10)
+
+
+def _topk(spark, d, k):
+    words, idf = _idf(spark, d)
+    q = read(spark, d, "benchmark").select("item_id", F.explode(_words("text")).alias("t"))
+    scored = q.join(idf, "t").join(words, "t").groupBy("item_id", "doc_id").agg(F.round(F.sum("idf"), 4).alias("score"))
+    return V.top_k(scored, k, "item_id", "doc_id").select("item_id", "doc_id", "score", F.col("position").cast("long").alias("position"))
+
+
+@query(f"""WITH {_TOK}, s AS (SELECT item_id, doc_id, round(sum(idf), 4) AS score FROM qw JOIN cw ON qw.t = cw.t JOIN i ON i.t = cw.t GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS position FROM s), k AS (SELECT * FROM r WHERE position <= 10),
+rel AS (SELECT b.item_id, x.doc_id FROM benchmark b JOIN documents x ON contains(x.text, b.text)),
+h AS (SELECT k.item_id, min(position) AS f, count(*) AS hits FROM k JOIN rel ON k.item_id = rel.item_id AND k.doc_id = rel.doc_id GROUP BY 1),
+p AS (SELECT b.item_id, f, hits, b.item_id IN (SELECT item_id FROM rel) AS ans FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id)
+SELECT round(avg(CASE WHEN f IS NULL THEN 0 ELSE 1.0 / f END), 6) AS mrr, round(avg(CASE WHEN f IS NULL THEN 0.0 ELSE 1.0 END), 6) AS coverage, round(avg(CASE WHEN f IS NULL THEN 0.0 ELSE 1.0 END) FILTER (WHERE ans), 6) AS answerable_coverage, round(avg(coalesce(hits, 0) / 10.0), 6) AS precision_at_k FROM p""")
+def mrr_coverage(spark, d):
+    bench = read(spark, d, "benchmark").select("item_id", "text")
+    # Texts meet only where they share their first five-letter-or-longer words, then are compared whole.
+    key = lambda c: F.element_at(F.regexp_extract_all(c, F.lit("[A-Za-z]{5,}"), F.lit(0)), 2)
+    b = bench.withColumn("w", key(F.col("text"))).withColumnRenamed("text", "needle")
+    words = read(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0)))).alias("w"))
+    relevant = words.join(b, "w").where(F.contains("text", "needle")).select("item_id", "doc_id").distinct()
+    got = V.quality(_topk(spark, d, 10), relevant, bench, 10, "item_id", "doc_id")
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
+@query("""WITH t AS (SELECT DISTINCT p_name FROM part WHERE p_partkey < 40), n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT p_name AS target, name, levenshtein(p_name, name) AS distance FROM t, n WHERE p_name <> name),
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, name) AS position FROM d WHERE distance <= 4) SELECT target, name, distance, position FROM r WHERE position <= 5""")
+def near_miss_candidates(spark, d):
+    names = defs(spark, d).select("name").distinct()
+    x = Y.candidates(defs(spark, d).where("fid < 40").select(F.col("name").alias("target")).distinct(), names.withColumn("rank", F.lit(0.0)), distance=F.levenshtein("target", "name"), most=4, limit=5)
+    return x.select("target", "name", F.col("distance").cast("long").alias("distance"), F.col("position").cast("long").alias("position"))
+
+
+@query()
+def near_miss_osa(spark, d):
+    names = defs(spark, d).select("name").distinct().withColumn("rank", F.lit(0.0))
+    return Y.candidates(defs(spark, d).where("fid < 40").select(F.col("name").alias("target")).distinct(), names)
+
+
+@query("""WITH r AS (SELECT source, CASE WHEN quality IS NULL THEN 'indeterminate' WHEN quality = 1 THEN 'exact' ELSE 'not_found' END AS res FROM documents LEFT JOIN labels USING (doc_id))
+SELECT source, count(*) FILTER (WHERE res = 'not_found') AS numerator, count(*) FILTER (WHERE res <> 'indeterminate') AS denominator, count(*) FILTER (WHERE res = 'indeterminate') AS excluded,
+round(count(*) FILTER (WHERE res = 'not_found') * 1.0 / nullif(count(*) FILTER (WHERE res <> 'indeterminate'), 0), 6) AS rate, round(1 - count(*) FILTER (WHERE res = 'not_found') * 1.0 / nullif(count(*) FILTER (WHERE res <> 'indeterminate'), 0), 6) AS grounding FROM r GROUP BY source""")
+def grounding_rate(spark, d):
+    res = F.when(F.col("quality").isNull(), "indeterminate").when(F.col("quality") == 1, "exact").otherwise("not_found")
+    x = A.resolution_rates(read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left").withColumn("resolution", res), ["source"])
+    return x.select("source", "numerator", "denominator", "excluded", F.round("rate", 6).alias("rate"), F.round("grounding", 6).alias("grounding"))
+
+
+@query("""WITH i AS (SELECT DISTINCT url AS path FROM pages), s AS (SELECT path, list_filter(regexp_split_to_array(path, '[:.]'), lambda x: x <> '') AS seg FROM i)
+SELECT path, CASE WHEN seg[-1] IN (SELECT url_tail FROM (SELECT DISTINCT regexp_extract(url, '[^.]*$') AS url_tail FROM pages WHERE page_id % 3 = 0)) THEN 'exact' WHEN len(seg) > 1 THEN 'indeterminate' ELSE 'not_found' END AS resolution FROM s""")
+def verify_imports(spark, d):
+    pages = read(spark, d, "pages")
+    names = pages.where("page_id % 3 = 0").select(F.regexp_extract("url", "[^.]*$", 0).alias("name"))
+    return R.resolve_imports(pages.select(F.col("url").alias("path")).distinct(), names)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND n IS NULL THEN 'critical' WHEN o_orderstatus = 'P' THEN 'warning' ELSE 'info' END AS severity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey < 2000""")
+def finding_severity(spark, d):
+    n = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    x = read(spark, d, "orders").where("o_orderkey < 2000").join(n, "o_orderkey", "left")
+    sev = F.when((F.col("o_orderstatus") == "F") & F.col("n").isNull(), "critical").when(F.col("o_orderstatus") == "P", "warning").otherwise("info")
+    return x.select(F.col("o_orderkey").alias("id"), sev.alias("severity"))
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS critical, count(*) FILTER (WHERE o_orderstatus = 'P') AS warning, count(*) FILTER (WHERE o_orderstatus = 'O') AS info FROM orders")
+def severity_counts(spark, d):
+    sev = F.when(F.col("o_orderstatus") == "F", "critical").when(F.col("o_orderstatus") == "P", "warning").otherwise("info")
+    return A.severity_counts(read(spark, d, "orders").select(sev.alias("severity")))
+
+
+@query("""WITH l AS (SELECT o_custkey AS repo, CAST(sum(o_totalprice) AS BIGINT) // 1000 AS added, count(*) * 60 AS removed FROM orders GROUP BY 1) SELECT repo, added - removed AS net, CASE WHEN added - removed >= 1500 THEN 'block' WHEN added - removed >= 500 THEN 'warn' ELSE 'pass' END AS action FROM l""")
+def net_lines_gate(spark, d):
+    x = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.expr("cast(round(sum(o_totalprice)) as bigint) div 1000").alias("added"), (F.count("*") * 60).alias("removed"))
+    return L.net_lines_gate(x, ["repo"], warn=500, block=1500).select("repo", "net", "action")
+
+
+_LEX = "['that', 'entity', 'there', 'stand', 'for']"
+
+
+@query("""WITH q AS (SELECT ['there', 'that', 'der', 'que'] AS w), t AS (SELECT doc_id, n_chars, list_distinct(regexp_split_to_array(lower(regexp_replace(text, '([a-z])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+')) AS w FROM documents WHERE lang = 'en'),
+s AS (SELECT doc_id, n_chars, len(list_filter(['there', 'that', 'der', 'que'], lambda x: list_contains(w, x))) * 0.6 / 4 AS score FROM t),
+r AS (SELECT doc_id, round(score, 6) AS score, CAST(ceil(n_chars / 4.0) AS BIGINT) AS cost FROM s WHERE score > 0),
+b AS (SELECT *, CAST(sum(cost) OVER (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_cost FROM r) SELECT doc_id, score, cost, running_cost FROM b WHERE running_cost <= 50000""")
+def lexical_context_budget(spark, d):
+    q = F.array(*[F.lit(w) for w in ("there", "that", "der", "que")])
+    x = read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.round(V.lexical_score(q, F.lit(""), F.col("text"), F.lit("")), 6).alias("score"), F.ceil(F.col("n_chars") / 4).alias("cost")).where("score > 0")
+    best = x.orderBy(F.desc("score"), "doc_id").limit(50_000)
+    return A.budget_prefix(best, F.col("cost"), 50_000, [F.desc("score"), F.col("doc_id")], keep_first=False).select("doc_id", "score", "cost", "running_cost")
+
+
+@query()
+def semantic_score(spark, d):
+    names = defs(spark, d).where("fid < 400").groupBy("name").agg(F.min("kind").alias("kind"), F.min("parent").alias("file"))
+    cand = names.select("name", "file", F.lit(0.0).alias("rank"), F.lit(None).cast("string").alias("doc"), "kind", F.lit("public").alias("visibility"))
+    q = spark.createDataFrame([("q1", "where is the small widget handled"), ("q2", "red plates and rings")], "query string, text string")
+    return V.top_k(V.score(q, cand), 10)
