@@ -10,7 +10,8 @@ budgets are answered from these tables without encoding anything again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +23,13 @@ from .common import table
 from .words import _PATTERN, DEFAULT_VOCABULARY, RankWordCoder, batched, keys_of, word_of
 
 
+#: Words of up to so many bytes take the pass together, one column of bytes at a time.
+_WIDE = 24
+_SLOTS = 1 << 19
+_PAIRS = 1 << 21
+_LAST_COUNT = itemgetter(-1)
+
+
 class PrefixCounter(RankWordCoder):
     """Tables of token counts at every prefix of a word, in UTF-8 bytes."""
 
@@ -29,14 +37,105 @@ class PrefixCounter(RankWordCoder):
 
     def __init__(self, path: str, limit: int = 1_000_000) -> None:
         super().__init__(path, limit)
+        self.table, self._parts = {}, {}
         self._longest = max(map(len, self.ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
         self._single = self._core.encode_single_piece
+        self._pair_keys, self._pair_ok, self._pairs = np.full(_PAIRS, -1, np.int64), np.zeros(_PAIRS, bool), 0
+        short = [p for p in self.ranks if len(p) <= _WIDE]
+        hashes = self._hashes(short)
+        self._slot_hash, self._slot_id, self._probes = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int64), 1
+        for piece, h in zip(short, hashes.tolist()):
+            at = h % _SLOTS
+            for step in range(_SLOTS):
+                if self._slot_id[at] < 0:
+                    break
+                at = (at + 1) % _SLOTS
+            self._probes = max(self._probes, step + 1)
+            self._slot_hash[at], self._slot_id[at] = h, self.ranks[piece]
+
+    @staticmethod
+    def _step(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        h = (h ^ (byte.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+    def _hashes(self, pieces: list[bytes]) -> np.ndarray:
+        size = np.array(list(map(len, pieces)))
+        data = np.frombuffer(b"".join(p.ljust(_WIDE, b"\0") for p in pieces), np.uint8).reshape(-1, _WIDE)
+        h, out = np.zeros(len(pieces), np.uint64), np.zeros(len(pieces), np.uint64)
+        for i in range(_WIDE):
+            h = self._step(h, data[:, i])
+            out[size == i + 1] = h[size == i + 1]
+        return out
+
+    def _tokens(self, h: np.ndarray) -> np.ndarray:
+        """The token of each hash, -1 if none has it."""
+        at = (h % np.uint64(_SLOTS)).astype(np.int64)
+        out = np.where(self._slot_hash[at] == h, self._slot_id[at], -1)
+        for step in range(1, self._probes):
+            again = np.flatnonzero((out < 0) & (self._slot_id[at] >= 0))
+            if not len(again):
+                break
+            at[again] = (at[again] + 1) % _SLOTS
+            out[again] = np.where(self._slot_hash[at[again]] == h[again], self._slot_id[at[again]], -1)
+        return out
+
+    def _stand(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether each two tokens, side by side, encode to themselves."""
+        key = first * (1 << 20) + second
+        at = self._pair_place(key)
+        new = np.unique(key[self._pair_keys[at] != key])
+        if len(new):
+            self._pairs += len(new)
+            if self._pairs > _PAIRS // 2:
+                self._pair_keys[:], self._pairs = -1, 0
+                return self._stand(first, second)
+            single, piece = self._single, self.bytes_of
+            ok = [single(piece[x] + piece[y]) == [x, y] for x, y in zip((new >> 20).tolist(), (new & ((1 << 20) - 1)).tolist())]
+            left, ok = new, np.array(ok)
+            while len(left):
+                where = self._pair_place(left)
+                self._pair_keys[where] = left
+                won = self._pair_keys[where] == left
+                self._pair_ok[where[won]] = ok[won]
+                left, ok = left[~won], ok[~won]
+            at = self._pair_place(key)
+        return self._pair_ok[at]
+
+    def _pair_place(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each pair, or the first free one where it belongs."""
+        with np.errstate(over="ignore"):
+            at = ((key * np.int64(0x1E3779B97F4A7C15)) >> np.int64(20)) & (_PAIRS - 1)
+        while True:
+            held = self._pair_keys[at]
+            other = np.flatnonzero((held != key) & (held != -1))
+            if not len(other):
+                return at
+            at[other] = (at[other] + 1) & (_PAIRS - 1)
+
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
+        """Tables of words of one length, from 1 to _WIDE bytes: the pass over all of them at once."""
+        n, size = len(pieces), len(pieces[0])
+        data = np.frombuffer(b"".join(pieces), np.uint8).reshape(n, size)
+        count, last = np.zeros((n, size + 1), np.uint8), np.zeros((n, size + 1), np.int64)
+        for start in range(size):
+            h = np.zeros(n, np.uint64)
+            for end in range(start + 1, size + 1):
+                h = self._step(h, data[:, end - 1])
+                token = self._tokens(h)
+                rows = np.flatnonzero(token >= 0)
+                if start and len(rows):
+                    rows = rows[self._stand(last[rows, start], token[rows])]
+                count[rows, end], last[rows, end] = count[rows, start] + 1, token[rows]
+        joined = np.ascontiguousarray(count[:, 1:]).tobytes()
+        return [joined[i : i + size] for i in range(0, n * size, size)]
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Tokens in each prefix of a word that the split pattern leaves whole, from 1 byte to all."""
-        rank, pairs, longest = self.ranks.get, self._pairs, self._longest
-        count, last = [0], [-1]
+        known = self._parts.get(piece)
+        if known is not None:
+            return list(known)
+        rank, longest, single, piece_of = self.ranks.get, self._longest, self._single, self.bytes_of
+        count, last, stands = [0], [-1], {}
         for i in range(1, len(piece) + 1):
             for j in range(max(0, i - longest), i):
                 t = rank(piece[j:i])
@@ -44,52 +143,79 @@ class PrefixCounter(RankWordCoder):
                     continue
                 if j:
                     both = (last[j], t)
-                    ok = pairs.get(both)
-                    if ok is None:
-                        if len(pairs) > 2_000_000:
-                            pairs.clear()
-                        ok = pairs[both] = self._single(self.bytes_of[last[j]] + self.bytes_of[t]) == [last[j], t]
-                    if not ok:
+                    if both not in stands:
+                        stands[both] = single(piece_of[both[0]] + piece_of[t]) == [*both]
+                    if not stands[both]:
                         continue
                 count.append(count[j] + 1)
                 last.append(t)
                 break
         return count[1:]
 
-    def encode_key(self, key: str):
-        counts: list[int] = []
-        for w in _PATTERN.findall(word_of(key)):
-            done = counts[-1] if counts else 0
-            counts += [done + n for n in self.prefixes(w.encode())]
-        return bytes(counts) if counts[-1] < 256 else np.array(counts, np.uint32)
-
-    def tables(self, text: str) -> list[tuple[str, list]]:
-        """(part, tables of its words) for each ordinary part of the text; a special token has none."""
-        out = []
-        for i, part in enumerate(self.segments(text)):
-            if i % 2:
-                out.append((part, None))
-                continue
-            found = list(map(self.table.__getitem__, keys_of(part)))
-            out.append((part, found))
+    def encode_new(self, keys: Iterable[str]) -> dict:
+        """The table of each key; words that are new take the pass together, by length."""
+        parts, out, mixed = self._parts, {}, {}
+        if len(parts) > self.limit:
+            parts.clear()
+        by_size: dict[int, tuple[list[str], list[bytes]]] = {}
+        fresh: set[bytes] = set()
+        for k in keys:
+            if k.isalpha():
+                w = (" " + k).encode()
+                if len(w) <= _WIDE:
+                    names, words = by_size.setdefault(len(w), ([], []))
+                    names.append(k)
+                    words.append(w)
+                else:
+                    mixed[k] = [w]
+            else:
+                mixed[k] = ws = [w.encode() for w in _PATTERN.findall(word_of(k))]
+                fresh.update(w for w in ws if len(w) <= _WIDE and w not in parts)
+        for names, words in by_size.values():
+            for at in range(0, len(words), 1 << 15):
+                out.update(zip(names[at : at + (1 << 15)], self._together(words[at : at + (1 << 15)])))
+        sized: dict[int, list[bytes]] = {}
+        for w in fresh:
+            sized.setdefault(len(w), []).append(w)
+        for words in sized.values():
+            for at in range(0, len(words), 1 << 15):
+                some = words[at : at + (1 << 15)]
+                parts.update(zip(some, self._together(some)))
+        for k, ws in mixed.items():
+            counts = list(parts.get(ws[0]) or self.prefixes(ws[0]))
+            for w in ws[1:]:
+                done = counts[-1]
+                counts += [done + n for n in parts.get(w) or self.prefixes(w)]
+            out[k] = bytes(counts) if counts[-1] < 256 else np.array(counts, np.uint32)
         return out
 
-    def count(self, text: str, limit: int) -> tuple[int, int]:
-        """(tokens of the text, bytes of the longest whole-character prefix with at most `limit` tokens)."""
+    def count(self, texts: list[str], limit: int) -> list[tuple[int, int]]:
+        """(tokens, bytes of the longest whole-character prefix with at most `limit` tokens) of each text."""
         if len(self.table) > self.limit:
             self.table.clear()
-        parts = self.tables(text)
-        total = sum(1 if t is None else sum([w[-1] for w in t]) for _, t in parts)
+        table = self.table
+        split = [[(part, None if i % 2 else keys_of(part)) for i, part in enumerate(self.segments(t))] for t in texts]
+        new: set[str] = set()
+        for doc in split:
+            for _, keys in doc:
+                if keys is not None:
+                    new.update(keys)
+        table.update(self.encode_new([k for k in new if k not in table]))
+        return [self._cut(text, doc, limit) for text, doc in zip(texts, split)]
+
+    def _cut(self, text: str, doc: list[tuple[str, list[str] | None]], limit: int) -> tuple[int, int]:
+        get = self.table.__getitem__
+        total = int(sum([1 if keys is None else sum(map(_LAST_COUNT, map(get, keys))) for _, keys in doc]))
         if total <= limit:
             return total, len(text.encode())
         left, at = limit, 0
-        for part, words in parts:
-            if words is None:
+        for part, keys in doc:
+            if keys is None:
                 if not left:
                     break
                 left, at = left - 1, at + len(part.encode())
                 continue
-            for w in words:
+            for w in map(get, keys):
                 if w[-1] > left:
                     at += max((i for i in range(1, len(w) + 1) if w[i - 1] <= left), default=0)
                     break
@@ -97,7 +223,7 @@ class PrefixCounter(RankWordCoder):
             else:
                 continue
             break
-        return int(total), len(text.encode()[:at].decode("utf-8", "ignore").encode())
+        return total, len(text.encode()[:at].decode("utf-8", "ignore").encode())
 
     def counts_at_characters(self, text: str) -> np.ndarray:
         """The token count of text[:i] for i from 1 to len(text), as an encode of each prefix gives it.
@@ -160,10 +286,10 @@ def token_counts(
             ids = b.column(0).to_pylist()
             for first, texts in batched(b.column(1).to_pylist()):
                 rows = []
-                for i, text in zip(ids[first:], texts):
-                    n, fits = coder.count(text, limit)
+                for i, text, (n, fits) in zip(ids[first:], texts, coder.count(texts, limit)):
                     size = fits if n <= limit else len(text.encode())
-                    rows.append((i, size, n, n > limit, fits) + (coder.counts_at_characters(text).tolist(),) * every_prefix)
+                    row = (i, size, n, n > limit, fits)
+                    rows.append((*row, coder.counts_at_characters(text).tolist()) if every_prefix else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, schema)
