@@ -1,10 +1,16 @@
 """Schemas of the tables: the code index, the ledger, telemetry and evaluation records."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as t
 
+_TYPES = {
+    "INT": t.IntegerType(), "BIGINT": t.LongType(), "STRING": t.StringType(), "BOOLEAN": t.BooleanType(), "DOUBLE": t.DoubleType(), "FLOAT": t.FloatType(),
+    "TIMESTAMP": t.TimestampType(), "ARRAY<STRING>": t.ArrayType(t.StringType()), "MAP<STRING,BIGINT>": t.MapType(t.StringType(), t.LongType()),
+}
 
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(text)
+
+def _ddl(text: str) -> t.StructType:
+    """A schema from `name TYPE, ...`; needs no session, unlike StructType.fromDDL."""
+    return t.StructType([t.StructField(n, _TYPES[k]) for n, k in (c.split(" ", 1) for c in text.split(", "))])
 
 
 FILES = _ddl("fid INT, path STRING, content_hash STRING, mtime_ns BIGINT, lang STRING, parse_status STRING, oversize BOOLEAN")
