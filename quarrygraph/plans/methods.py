@@ -195,7 +195,7 @@ def verify_edit(ix: Index, edits: DataFrame, most: int = Y.FILES_PER_EDIT) -> tu
     shape = lambda df: df.groupBy("parent", "name").agg(F.first("arity").alias("arity"))
     from ..sources.extract import extract
 
-    fresh = extract(kept.select(F.xxhash64("path").cast("int").alias("fid"), "path", F.col("content").alias("text"))).where("record = 'def'")
+    fresh = extract(kept.select(F.xxhash64("path").alias("fid"), "path", F.col("content").alias("text"))).where("record = 'def'")
     before = extract(old.select("fid", "path").distinct().join(ix.texts, "fid")).where("record = 'def'")
     sites = ix.placed(ix.refs).select("callee", "path", F.col("start_line").alias("line"))
     findings = Y.verify_edit(shape(before), shape(fresh), sites, ix.defs, kept)

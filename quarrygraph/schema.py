@@ -13,10 +13,10 @@ def _ddl(text: str) -> t.StructType:
     return t.StructType([t.StructField(n, _TYPES[k]) for n, k in (c.split(" ", 1) for c in text.split(", "))])
 
 
-FILES = _ddl("fid INT, path STRING, content_hash STRING, mtime_ns BIGINT, lang STRING, parse_status STRING, oversize BOOLEAN")
-DEFS = _ddl("name STRING, fid INT, start INT, end INT, start_line INT, end_line INT, visibility STRING, kind STRING, parent STRING, signature STRING")
-REFS = _ddl("callee STRING, fid INT, start INT, end INT, start_line INT, end_line INT, caller STRING, kind STRING, arity INT")
-DOCS = _ddl("name STRING, fid INT, text STRING")
+FILES = _ddl("fid BIGINT, path STRING, content_hash STRING, mtime_ns BIGINT, lang STRING, parse_status STRING, oversize BOOLEAN")
+DEFS = _ddl("name STRING, fid BIGINT, start INT, end INT, start_line INT, end_line INT, visibility STRING, kind STRING, parent STRING, signature STRING")
+REFS = _ddl("callee STRING, fid BIGINT, start INT, end INT, start_line INT, end_line INT, caller STRING, kind STRING, arity INT")
+DOCS = _ddl("name STRING, fid BIGINT, text STRING")
 FILE_EVENTS = _ddl("seq BIGINT, op STRING, path STRING, text STRING")
 TASKS = _ddl("session_id STRING, repo STRING, branch STRING, started_at STRING, ended_at STRING, base_rev STRING, head_rev STRING, lines_added INT, lines_removed INT, files_touched INT, tokens_out INT, context_peak INT, turns INT")
 GATE_EVENTS = _ddl("ts STRING, repo STRING, branch STRING, net INT, added INT, removed INT, warn INT, block INT, action STRING, override_reason STRING, session_id STRING")

@@ -21,7 +21,7 @@ from ..functions import text as T
 
 OVERSIZE = 4 << 20
 RECORDS = (
-    "fid INT, record STRING, name STRING, kind STRING, parent STRING, visibility STRING, start INT, end INT, start_line INT, end_line INT, "
+    "fid BIGINT, record STRING, name STRING, kind STRING, parent STRING, visibility STRING, start INT, end INT, start_line INT, end_line INT, "
     "signature STRING, arity INT, params ARRAY<STRING>, returns STRING, caller STRING, text STRING, status STRING"
 )
 _COLUMNS = [c.split()[0] for c in RECORDS.split(", ")]
@@ -360,7 +360,8 @@ def extract(files: DataFrame) -> DataFrame:
             for r in b.itertuples():
                 rows += records(r.fid, r.text, r.lang) if r.text is not None else [{"fid": r.fid, "record": "file", "status": "partial"}]
             df = pd.DataFrame(rows, columns=_COLUMNS)
-            for c in ("fid", "start", "end", "start_line", "end_line", "arity"):
+            df["fid"] = df["fid"].astype("Int64")
+            for c in ("start", "end", "start_line", "end_line", "arity"):
                 df[c] = df[c].astype("Int32")
             yield df.astype(object).where(df.notna(), None)
 

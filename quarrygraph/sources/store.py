@@ -37,7 +37,7 @@ def scan_tree(spark: SparkSession, root: str, ignore_lines: list[str] = ()) -> D
     rel = F.regexp_replace(F.col("path"), "^(file:)?/*" + re.escape(root.strip("/")) + "/*", "")
     ignored = rel.rlike(ignore_regex(list(ignore_lines)))
     kept = raw.select(rel.alias("path"), "length", "modificationTime", "content").where(T.classify_path(F.col("path"), ignored) == "index_full")
-    return kept.select(F.xxhash64("path").cast("int").alias("fid"), "path", F.when(F.col("length") <= OVERSIZE, F.decode("content", "UTF-8")).otherwise(F.lit("")).alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    return kept.select(F.xxhash64("path").alias("fid"), "path", F.when(F.col("length") <= OVERSIZE, F.decode("content", "UTF-8")).otherwise(F.lit("")).alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
 def build(files: DataFrame) -> dict[str, DataFrame]:

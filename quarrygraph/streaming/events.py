@@ -34,7 +34,7 @@ def last_operations(batch: DataFrame) -> DataFrame:
 
 def apply_batch(tables: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
     """The snapshot after a batch of events."""
-    last = last_operations(batch).select(F.xxhash64("path").cast("int").alias("fid"), "path", "op", F.coalesce("text", F.lit("")).alias("text"))
+    last = last_operations(batch).select(F.xxhash64("path").alias("fid"), "path", "op", F.coalesce("text", F.lit("")).alias("text"))
     return store.upsert(tables, last.where("op = 'touched'").select("fid", "path", "text"), last.where("op = 'removed'").select("fid"))
 
 
@@ -52,13 +52,14 @@ def maintain(events: DataFrame, folder: str, checkpoint: str, trigger: dict | No
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": DEBOUNCE})).start()
 
 
-def late_references(stream: DataFrame, ttl: str = "7 days") -> DataFrame:
+def late_references(stream: DataFrame, ttl: str | None = "7 days") -> DataFrame:
     """(name, fid, start, resolved): references of a stream of `def` and `ref` records, resolved when the name is defined.
 
-    References to a name that is not defined yet wait in its state, for `ttl` at most; a name stays
-    known once it was defined.
+    References to a name that is not defined yet wait in its state, for `ttl` after its last record at
+    most; a name stays known as long. Without a ttl state stays for good, which a run over
+    what is available now needs, as timeouts would keep it going.
     """
-    millis = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    millis = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else 0
 
     def resolve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -73,12 +74,13 @@ def late_references(stream: DataFrame, ttl: str = "7 days") -> DataFrame:
             starts += refs["start"].tolist()
         out = pd.DataFrame({"name": [key[0]] * len(fids), "fid": fids, "start": starts})
         state.update((known, [] if known else fids, [] if known else starts))
-        state.setTimeoutDuration(millis)
+        if millis:
+            state.setTimeoutDuration(millis)
         if known and len(out):
             yield out
 
     return stream.groupBy("name").applyInPandasWithState(
-        resolve, "name STRING, fid INT, start INT", "known BOOLEAN, fids ARRAY<INT>, starts ARRAY<INT>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        resolve, "name STRING, fid BIGINT, start INT", "known BOOLEAN, fids ARRAY<BIGINT>, starts ARRAY<INT>", "append", GroupStateTimeout.ProcessingTimeTimeout if millis else GroupStateTimeout.NoTimeout)
 
 
 def rolling_counters(calls: DataFrame) -> DataFrame:

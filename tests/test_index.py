@@ -135,7 +135,7 @@ def test_context_and_questions(ix, spark):
 
 
 def test_snapshots_and_stream(ix, spark, tmp_path):
-    base = spark.createDataFrame([(0, "a.py", "def a():\n    later()\n"), (1, "b.py", "def b():\n    a()\n")], "fid int, path string, text string").withColumn("fid", F.xxhash64("path").cast("int"))
+    base = spark.createDataFrame([(0, "a.py", "def a():\n    later()\n"), (1, "b.py", "def b():\n    a()\n")], "fid int, path string, text string").withColumn("fid", F.xxhash64("path"))
     folder = str(tmp_path / "index")
     store.write(store.build(base), folder, 0)
     assert store.unresolved_count(store.load(spark, folder, 0)).first()[0] == 1
@@ -154,13 +154,13 @@ def test_snapshots_and_stream(ix, spark, tmp_path):
 def test_late_references(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    schema = "name STRING, record STRING, fid INT, start INT"
+    schema = "name STRING, record STRING, fid BIGINT, start INT"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
     (src / "1.json").write_text('{"name":"f","record":"ref","fid":1,"start":5}\n{"name":"g","record":"ref","fid":1,"start":9}\n')
     (src / "2.json").write_text('{"name":"f","record":"def","fid":2,"start":0}\n')
     import os
 
     os.utime(src / "1.json", (1, 1))
-    q = E.late_references(stream).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = E.late_references(stream, None).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("late").collect()] == [("f", 1, 5)]
