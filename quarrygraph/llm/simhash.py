@@ -113,6 +113,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Similarity far from 1 puts more bits between two fingerprints than a ball can cover, so it takes
 # several short fingerprints: similar texts then come within the radius in one of them.
 TABLE_BITS = 32
+#: Nodes whose balls a task holds at once.
+_EMIT = 1024
 
 
 def signature(text: str, words: int, tables: int) -> bytes:
@@ -188,10 +190,8 @@ def _meeting(nodes: DataFrame, tables: int, masks: list[int]) -> DataFrame:
     flips = np.array(masks, np.uint64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, _EMIT) for b in batches for at in range(0, b.num_rows, _EMIT)):
             ids, labels = b.column(0).to_numpy(), b.column(2).to_numpy()
-            if not len(ids):
-                continue
             fp = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(len(ids), tables).astype(np.uint64)
             variant = (fp + (np.arange(tables, dtype=np.uint64) << np.uint64(TABLE_BITS)))[:, :, None] ^ flips
             variant, row = variant.reshape(-1), np.repeat(np.arange(len(ids)), tables * len(flips))
