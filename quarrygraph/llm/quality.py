@@ -62,14 +62,11 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     by_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     bare = F.char_length(F.translate(text, WHITE, ""))
-    return (
-        docs.withColumn("_w", by_words).withColumn("_l", by_lines)
-        .withColumn("_m", F.struct(
-            F.col("_w.n_words"), bare.cast("long").alias("word_chars"),
-            (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            F.col("_l.n_lines"), F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words")))
-        .drop("_w", "_l")
-    )
+    symbols = F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))
+    both = let(F.struct(by_words.alias("w"), by_lines.alias("l")), lambda x: F.struct(
+        x["w"]["n_words"].alias("n_words"), bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+        x["l"]["n_lines"].alias("n_lines"), x["l"]["n_dup_lines"].alias("n_dup_lines"), x["w"]["n_repeat_words"].alias("n_repeat_words")))
+    return docs.withColumn("_m", both)
 
 
 @dataclass(frozen=True)

@@ -153,16 +153,20 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
 
 def threshold(examples: DataFrame) -> int:
-    """The bin from which on to allow: it makes the rates of rightly allowed and rightly blocked examples sum highest."""
+    """The bin from which on to allow: it makes the rates of rightly allowed and rightly blocked examples sum highest.
+
+    It lies midway between the examples on either side of it. Examples come as counts by bin,
+    of which there are as many as a rounded mean of log ratios has values, however many examples.
+    """
     by = examples.groupBy("bin").agg(F.count_if("allow").alias("yes"), F.count_if(~F.col("allow")).alias("no"))
     bins = sorted((r["bin"], r["yes"], r["no"]) for r in by.collect())
     yes, no = max(1, sum(b[1] for b in bins)), max(1, sum(b[2] for b in bins))
-    best, least, below_yes, below_no = 1.0, -(2**62), 0, 0
+    best, least, below_yes, below_no, last = 1.0, -(2**62), 0, 0, None
     for b, y, n in bins:
         gain = (yes - below_yes) / yes + below_no / no
         if gain > best:
-            best, least = gain, b
-        below_yes, below_no = below_yes + y, below_no + n
+            best, least = gain, b if last is None else (last + b + 1) // 2
+        below_yes, below_no, last = below_yes + y, below_no + n, b
     if below_no / no > best:
         least = bins[-1][0] + 1
     return least
