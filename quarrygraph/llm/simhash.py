@@ -175,17 +175,20 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words:
     distinct = cut(signed.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("size")))
     most = bits_apart(similarity, TABLE_BITS * tables)
     nodes = distinct.select("least", "sig")
-    equal = cut(_verified(_meeting(nodes.withColumn("label", F.col("least")), tables, [0]), nodes, most))
+    equal = cut(_verified(_meeting(nodes.withColumn("label", F.col("least")), tables, [0], False), nodes, most))
     labels = nodes.join(components(equal), F.col("least") == F.col("node"), "left").select("least", "sig", F.coalesce("root", "least").alias("label"))
-    near = _verified(_meeting(labels, tables, [0, *(1 << i for i in range(TABLE_BITS))]), nodes, most)
+    near = _verified(_meeting(labels, tables, [0, *(1 << i for i in range(TABLE_BITS))], True), nodes, most)
     roots = components(equal.union(near))
     classes = cut(distinct.join(roots, F.col("least") == F.col("node"), "left").select("sig", "size", F.coalesce("root", "least").alias("group")))
     rows = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     return left_join_by_size(signed, classes, "sig", "size", rows).select("id", "group")
 
 
-def _meeting(nodes: DataFrame, tables: int, masks: list[int]) -> DataFrame:
-    """Pairs (a, b) of `nodes` (least, sig, label) of different labels that share a variant, by any of the masks, in a table."""
+def _meeting(nodes: DataFrame, tables: int, masks: list[int], neighbours: bool) -> DataFrame:
+    """Pairs (a, b) of `nodes` (least, sig, label) of different labels that share a variant, by any of the masks, in a table.
+
+    Each pairs with the least that shares it and, with `neighbours`, with the one before in order.
+    """
     buckets = partitions(nodes) * 4
     flips = np.array(masks, np.uint64)
 
@@ -213,7 +216,8 @@ def _meeting(nodes: DataFrame, tables: int, masks: list[int]) -> DataFrame:
         new = np.r_[True, variant[1:] != variant[:-1]]
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         rest = np.flatnonzero(~new)
-        apart, beside = rest[label[head[rest]] != label[rest]], rest[label[rest - 1] != label[rest]]
+        apart = rest[label[head[rest]] != label[rest]]
+        beside = rest[label[rest - 1] != label[rest]] if neighbours else rest[:0]
         pairs = np.unique(np.concatenate([np.stack([owner[head[apart]], owner[apart]]), np.stack([owner[beside - 1], owner[beside]])], axis=1), axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 

@@ -15,6 +15,11 @@ order are the column's Burrows-Wheeler transform), and carries the common prefix
 along. Where a common prefix reaches `length`, neighbours share a window, and all but the first in
 the corpus lose it. Rounds are 2 * length - GRAM, whatever the documents' lengths.
 
+Common grams (a line that a third of all documents have) would fill one bucket. Their number is
+bounded, so a first scan finds them; their occurrences are dealt by gram and surroundings, and
+their strings in four parts by starting column, each dealt by the bytes that all its windows hold.
+Equal parts fold to their first in each task.
+
 Between the steps the collection lies in shuffle and checkpoint files, read and written in order;
 a task holds one bucket of it.
 """
@@ -26,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +40,9 @@ from .common import cut, partitions, table, text_or_empty
 
 LENGTH = 100
 GRAM = 32
+#: A gram with so many occurrences, and a thousandth of all, is common: its strings are dealt by their parts.
+COMMON = 4096
+COMMON_SHARE = 0.001
 _LAST = 2**63 - 1
 _RUN = 1 << 20
 _PLACE = 22
@@ -42,6 +51,7 @@ _BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
 _MIX = [int(x) | 1 for x in _RANDOM.integers(0, 2**64, 8, np.uint64)]
 
 _ANCHORS = [("bucket", pa.int32()), ("gram", pa.binary()), ("around", pa.binary()), ("id", pa.binary()), ("key", pa.binary()), ("pos", pa.binary()), ("size", pa.binary())]
+_STRINGS = [("bucket", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("data", pa.binary())]
 _FOUND = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.int64())])
 
 
@@ -154,10 +164,37 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
         yield ids, keys, texts
 
 
+def common_grams(docs: DataFrame, length: int) -> np.ndarray:
+    """Hashes of grams that anchor COMMON windows or more and COMMON_SHARE of all, so 1 / COMMON_SHARE at most."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for _, _, texts in _documents(batches):
+            _, gram = anchors(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), length)
+            new, n = np.unique(gram, return_counts=True)
+            grams, at = np.unique(np.concatenate([grams, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(grams)).astype(np.int64)
+        often = counts >= max(2, int(counts.sum() * COMMON_SHARE / 2))
+        yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often]), pa.array(np.zeros(int(often.sum()), np.int64))], names=["gram", "n", "total"])
+        yield pa.RecordBatch.from_pydict({"gram": [0], "n": [0], "total": [int(counts.sum())]})
+
+    found = cut(docs.mapInArrow(frequent, "gram long, n long, total long"))
+    total = found.agg(F.sum("total")).first()[0] or 0
+    most = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(COMMON, total * COMMON_SHARE / 2)).orderBy(F.desc("n"), "gram").limit(int(1 / COMMON_SHARE))
+    return np.sort(np.array([r["gram"] for r in most.collect()], np.int64).view(np.uint64))
+
+
+def _parts(side: int, pieces: int) -> list[tuple[int, int]]:
+    """The starting columns 0 to side in `pieces` ranges (first, last)."""
+    edge = np.linspace(0, side + 1, pieces + 1).round().astype(int).tolist()
+    return [(x, y - 1) for x, y in zip(edge, edge[1:])]
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, key, starts, ends) of the bytes to remove from each text of `docs` (id, key, text) that loses any."""
     side = length - GRAM
     buckets = partitions(docs) * 4
+    common = common_grams(docs, length)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, settled = [], []
@@ -183,7 +220,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for i, k, s, e in _by_document(gone, side):
             settled.append((i, k, s, e))
         cols = [c[~repeat] for c in cols]
-        bucket = (cols[0] >> np.uint64(33)).astype(np.int64) % buckets
+        where = np.where(np.isin(cols[0], common), cols[0] ^ cols[1], cols[0])
+        bucket = (where >> np.uint64(33)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         cols, bucket = [c[order] for c in cols], bucket[order]
         cut_at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -215,7 +253,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(_found(i, k, s, e))
             cols = [c[~repeat] for c in cols]
             gram = cols[0]
-            several = np.zeros(len(gram), bool)
+            several = np.isin(gram, common)
             if len(gram):
                 several[1:] |= gram[1:] == gram[:-1]
                 several[:-1] |= gram[1:] == gram[:-1]
@@ -242,28 +280,54 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = cut(by_text(docs.mapInArrow(gather, "bucket int, gram binary, around binary, id binary, key binary, pos binary, size binary").groupBy("bucket").applyInArrow(meet, "id long, key long, start long, end long, gram long")))
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = {int(g) for g in common.view(np.int64)}
+        whole, quarters = [(0, side)], _parts(side, 4)
         for b in batches:
-            for i, k, t, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                data = t.as_py().encode()
-                rows = [(int(np.uint64(a["gram"] % 2**64) >> np.uint64(33)) % buckets, i, k, a["pos"], data[max(0, a["pos"] - side) : a["pos"] + GRAM + side]) for a in asks]
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "id", "key", "pos", "data"])
+            rows, firsts = [], {}
+            texts = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), range(b.num_rows), b.column(3).to_pylist()), key=lambda r: r[:3])
+            for i, k, n, asks in texts:
+                data = b.column(2)[n].as_py().encode()
+                for a in sorted(asks, key=lambda a: a["pos"]):
+                    pos, gram = a["pos"], a["gram"]
+                    spread = gram in few
+                    for lo, hi in quarters if spread else whole:
+                        start, end = pos - side + lo, pos - side + hi + length
+                        part = data[max(0, start) : end]
+                        where = gram
+                        if spread:
+                            if len(part) < length:
+                                continue
+                            if firsts.setdefault((gram, lo, part), (i, k, pos)) != (i, k, pos):
+                                rows.append((int(i) % buckets, i, k, max(0, start), min(end, len(data)), 0, None))
+                                continue
+                            # What every window of this part holds: the bytes from the last start to the first end.
+                            where = xxhash.xxh64_intdigest(data[max(0, pos - side + hi) : max(0, start + length)], gram % 2**32)
+                        rows.append(((where % 2**64 >> 33) % buckets, i, k, pos, lo, hi, part))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*rows), _STRINGS)], names=[f[0] for f in _STRINGS])
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, keys, pos = (t[n].to_numpy() for n in ("id", "key", "pos"))
-        data = t["data"].to_pylist()
-        n, columns = len(data), 2 * side + GRAM
-        strings = np.full((n, columns), -1, np.int16)
-        for i, (p, d) in enumerate(zip(pos.tolist(), data)):
-            skip = side - min(p, side)
-            strings[i, skip : skip + len(d)] = np.frombuffer(d, np.uint8)
-        rank = np.empty(n, np.int64)
-        rank[np.lexsort((pos, keys, ids))] = np.arange(n)
-        row, start, end = _ranges(repeated_windows(strings, rank, length, side + 1), pos - side, length)
-        return pa.Table.from_batches([_found(ids[row], keys[row], start, end)], schema=_FOUND)
+        out = []
+        told = pa.compute.is_null(t["data"])
+        settled, t = t.filter(told), t.filter(pa.compute.invert(told))
+        out.append(_found(*(settled[n].to_numpy().astype(np.int64) for n in ("id", "key", "pos", "lo"))))
+        for lo, hi in sorted(set(zip(t["lo"].to_pylist(), t["hi"].to_pylist()))):
+            some = t.filter(pa.compute.and_(pa.compute.equal(t["lo"], lo), pa.compute.equal(t["hi"], hi)))
+            ids, keys, pos = (some[n].to_numpy() for n in ("id", "key", "pos"))
+            first = pos - side + lo
+            strings = np.full((len(ids), hi - lo + length), -1, np.int16)
+            for i, (at, d) in enumerate(zip(first.tolist(), some["data"].to_pylist())):
+                skip = max(0, -at)
+                strings[i, skip : skip + len(d)] = np.frombuffer(d, np.uint8)
+            rank = np.empty(len(ids), np.int64)
+            rank[np.lexsort((pos, keys, ids))] = np.arange(len(ids))
+            row, start, end = _ranges(repeated_windows(strings, rank, length, hi - lo + 1), first, length)
+            out.append(_found(ids[row], keys[row], start, end))
+        return pa.Table.from_batches(out, schema=_FOUND)
 
     asked = docs.join(first.filter(F.size("asks") > 0).select("id", "key", "asks"), ["id", "key"])
     second = (
-        asked.select("id", "key", "text", "asks").mapInArrow(surroundings, "bucket int, id long, key long, pos long, data binary")
+        asked.select("id", "key", "text", "asks").mapInArrow(surroundings, "bucket int, id long, key long, pos long, lo long, hi long, data binary")
         .groupBy("bucket").applyInArrow(compare, "id long, key long, start long, end long, gram long")
         .select("id", "key", F.array("start").alias("starts"), F.array("end").alias("ends"))
     )

@@ -164,6 +164,24 @@ def test_suffix_dedup(docs, none, length):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_suffix_dedup_of_common_grams(docs, spark, monkeypatch):
+    """With every repeated gram dealt as a common one, the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "COMMON", 2)
+    monkeypatch.setattr(suffix_dedup, "COMMON_SHARE", 1e-5)
+    line = "this very line of some eighty or ninety bytes stands in a good many of all documents ok\n"
+    long = "and here comes a passage of well over one hundred bytes, which a good many of the documents share as a whole, too\n"
+    texts = [(i, words(30) + "\n" + (line if i % 2 else long) + words(30)) for i in range(60)] + list(TEXTS)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    spaces = spark.conf.get("spark.checkpoint.dir") + "/common"
+    df.write.mode("overwrite").parquet(spaces)
+    df = spark.read.parquet(spaces)
+    keyed = df.select(F.coalesce("doc_id", F.lit(1)).alias("id"), F.lit(0).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    assert len(suffix_dedup.common_grams(keyed, 100)) > 5
+    want = brute_suffix(texts, 100)
+    expected = [(i, *want[i if i is not None else 2**63, t or ""]) for i, t in texts]
+    assert rows(suffix_dedup.suffix_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
+
+
 def test_column_construction():
     """Windows found repeated are those an earlier string has at the same column."""
     rng = np.random.default_rng(3)
