@@ -117,8 +117,8 @@ TABLE_BITS = 32
 _EMIT = 1024
 
 
-def signature(text: str, words: int, tables: int) -> bytes:
-    """SimHash of the set of shingles, 32 bits for each table."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of lower-cased words."""
     parts = text.encode("utf-8", "replace").translate(_UPPER).split()
     n = len(parts) - words + 1
     if n <= 1:
@@ -127,7 +127,12 @@ def signature(text: str, words: int, tables: int) -> bytes:
         joined, size = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         start = np.r_[0, np.cumsum(size[:-1] + 1)]
         shingles = [joined[a:b] for a, b in zip(start.tolist(), (start + size)[words - 1 :].tolist())]
-    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles)], np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+
+
+def signature(text: str, words: int, tables: int) -> bytes:
+    """SimHash of the set of shingles, 32 bits for each table."""
+    h = shingle_hashes(text, words)
     out = []
     for t in range((tables + 1) // 2):
         ones = np.zeros(64, np.int64)
@@ -147,18 +152,20 @@ def _mixed(h: np.ndarray, t: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Bits in which signatures of two sets of one size and this Jaccard similarity are expected to differ, and half a deviation."""
+def bits_apart(similarity: float, bits: int, deviations: float) -> int:
+    """Bits in which signatures of two sets of one size and this Jaccard similarity differ: what is expected and some deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(bits * p + 0.5 * (bits * p * (1 - p)) ** 0.5)
+    return round(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 16) -> DataFrame:
     """(id, group) of every row: the least id of the texts that links of `similarity` or more reach.
 
-    Each text has `tables` fingerprints of 32 bits. Texts equal in one of them are verified first, by
-    all the bits together, and form classes. Then every fingerprint emits its ball of radius 1, and
-    texts of different classes that meet on a variant of the same table are verified as well.
+    Each text has `tables` fingerprints of 32 bits. Texts equal in one of them are verified first and
+    form classes. Then every fingerprint emits its ball of radius 1, and texts of different classes
+    that meet on a variant of the same table are verified as well. All the bits together settle
+    pairs three deviations off the threshold; the others, unless linked already, are settled by
+    the similarity of their shingles itself.
     Pairs of similarity 0.8 meet with a chance of 87 %, of 0.85 with 98 %, of 0.9 with over 99.9 %.
     Texts that meet link to the least of them and to their neighbour in order, never all with all,
     and a group of copies has become one class before the balls go out.
@@ -173,12 +180,19 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words:
 
     signed = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, sig binary"))
     distinct = cut(signed.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("size")))
-    most = bits_apart(similarity, TABLE_BITS * tables)
     nodes = distinct.select("least", "sig")
-    equal = cut(_verified(_meeting(nodes.withColumn("label", F.col("least")), tables, [0], False), nodes, most))
-    labels = nodes.join(components(equal), F.col("least") == F.col("node"), "left").select("least", "sig", F.coalesce("root", "least").alias("label"))
-    near = _verified(_meeting(labels, tables, [0, *(1 << i for i in range(TABLE_BITS))], True), nodes, most)
-    roots = components(equal.union(near))
+    bounds = [bits_apart(similarity, TABLE_BITS * tables, d) for d in (-3, 3)]
+    equal = cut(_compared(_meeting(nodes.withColumn("label", F.col("least")), tables, [0], False), nodes, bounds))
+    labels = nodes.join(components(equal.where("sure")), F.col("least") == F.col("node"), "left").select("least", "sig", F.coalesce("root", "least").alias("label"))
+    met = cut(_compared(_meeting(labels, tables, [0, *(1 << i for i in range(TABLE_BITS))], True), nodes, bounds).union(equal))
+    sure = met.where("sure").select("a", "b")
+    linked = cut(components(sure))
+    near = [linked.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in ("a", "b")]
+    open_ = cut(
+        met.where("not sure").select("a", "b").distinct().join(near[0], "a", "left").join(near[1], "b", "left")
+        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    )
+    roots = components(sure.union(_exactly(open_, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, similarity)))
     classes = cut(distinct.join(roots, F.col("least") == F.col("node"), "left").select("sig", "size", F.coalesce("root", "least").alias("group")))
     rows = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     return left_join_by_size(signed, classes, "sig", "size", rows).select("id", "group")
@@ -227,17 +241,41 @@ def _meeting(nodes: DataFrame, tables: int, masks: list[int], neighbours: bool)
     )
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The pairs whose signatures differ in at most `most` bits."""
+def _compared(pairs: DataFrame, nodes: DataFrame, bounds: list[int]) -> DataFrame:
+    """(a, b, sure) of the pairs whose signatures differ in at most the second bound of bits; sure, in at most the first."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            near = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
+            bits = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            near = pa.array(bits <= bounds[1])
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in (b.column(0), b.column(1), pa.array(bits <= bounds[0]))], names=["a", "b", "sure"])
 
     left = nodes.select(F.col("least").alias("a"), F.col("sig").alias("x"))
     right = nodes.select(F.col("least").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sure boolean")
+
+
+def _exactly(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts of `docs` (id, text) whose shingle sets have this Jaccard similarity or more."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py() or "", words).tobytes() for t in b.column(1)], pa.binary())], names=["id", "set"])
+
+    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            near = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
+
+    sets = cut(docs.join(ids, "id").mapInArrow(shingles, "id long, set binary"))
+    left, right = (sets.select(F.col("id").alias(n), F.col("set").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a long, b long")

@@ -284,6 +284,22 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(df.limit(0), "i").count() == 0
 
 
+def test_similar_groups_at_the_threshold(spark):
+    """What links is similar by its shingles themselves, however close to 0.8."""
+    rng = random.Random(8)
+    texts = []
+    for k in (2, 5, 6, 8, 10, 12) * 4:
+        w = words(300).split(" ")
+        at = set(range(7, 7 * k + 7, 7))
+        texts += [" ".join(w), " ".join("q%d" % rng.randint(0, 10**9) if i in at else x for i, x in enumerate(w))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2])]
+    group = {r.id: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(2), "i").collect()}
+    linked = [group[2 * i + 1] == 2 * i for i in range(len(alike))]
+    assert not any(x and not a for x, a in zip(linked, alike))
+    assert sum(x for x, a in zip(linked, alike) if a) >= 0.8 * sum(alike)
+
+
 def plain_quality(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = defaultdict(list)
