@@ -647,8 +647,7 @@ b AS (SELECT *, CAST(sum(cost) OVER (ORDER BY score DESC, doc_id ROWS UNBOUNDED
 def lexical_context_budget(spark, d):
     q = F.array(*[F.lit(w) for w in ("there", "that", "der", "que")])
     x = read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.round(V.lexical_score(q, F.lit(""), F.col("text"), F.lit("")), 6).alias("score"), F.ceil(F.col("n_chars") / 4).alias("cost")).where("score > 0")
-    best = x.orderBy(F.desc("score"), "doc_id").limit(50_000)
-    return A.budget_prefix(best, F.col("cost"), 50_000, [F.desc("score"), F.col("doc_id")], keep_first=False).select("doc_id", "score", "cost", "running_cost")
+    return A.budget_prefix(x, F.col("cost"), 50_000, [F.desc("score"), F.col("doc_id")], keep_first=False, at_least=1).select("doc_id", "score", "cost", "running_cost")
 
 
 @query()

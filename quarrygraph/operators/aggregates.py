@@ -18,11 +18,15 @@ def def_counts(defs: DataFrame, name: str, kind: str, *order: str) -> DataFrame:
     return defs.groupBy(name).agg(F.count("*").alias("def_count"), F.min_by(kind, F.struct(*order)).alias("first_kind")).withColumn("ubiquitous", F.col("def_count") > 5)
 
 
-def budget_prefix(df: DataFrame, cost: Column, budget: int, order: list[Column], by: list[str] = (), keep_first: bool = True) -> DataFrame:
+def budget_prefix(df: DataFrame, cost: Column, budget: int, order: list[Column], by: list[str] = (), keep_first: bool = True, at_least: int = 0) -> DataFrame:
     """Rows in order as long as their running cost stays within the budget; the first stays in any case.
 
-    In ascending order of cost this is also the greedy cut that skips what doesn't fit.
+    In ascending order of cost this is also the greedy cut that skips what doesn't fit. Where every
+    row is known to cost `at_least` something, no more than that many can fit, and a bounded top-k
+    comes before the running sum instead of all rows in one task.
     """
+    if at_least and not by:
+        df = df.orderBy(*order).limit(budget // at_least + 1)
     w = Window.partitionBy(*by).orderBy(*order)
     run = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = df.withColumn("running_cost", run).withColumn("position", F.row_number().over(w))

@@ -27,10 +27,10 @@ def idf_table(features: DataFrame, column: str) -> DataFrame:
 
 
 def score(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query, name, score) of every candidate that a query token touches, and of those it doesn't by rank alone.
+    """(query, name, score) of every candidate that a query token touches.
 
-    `queries` has query (key) and text. Tokens meet candidates through their stems and names, not
-    all with all: what no token touches keeps its baseline and joins only if the query lacks rivals.
+    `queries` has query (key) and text. Tokens meet candidates through their stems; substrings of
+    names and paths are looked for with the questions' tokens, a stated set, at hand in every task.
     """
     f = candidate_features(candidates)
     n = f.count()
@@ -42,7 +42,7 @@ def score(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     tok = tok.join(name_idf, "stem", "left").join(doc_idf, "stem", "left").withColumns({"w": F.coalesce("w", default), "dw": F.coalesce("dw", default)})
     keys = f.select("name", F.explode(F.array_distinct(F.concat(F.array("_name_stem"), "_parts", "_doc"))).alias("stem"))
     touched = tok.select("query", "pos", "stem").join(keys, "stem").select("query", "name").union(
-        tok.select("query", "tok").distinct().join(F.broadcast(f.select("name", "_name", "_file")), F.col("_name").contains(F.col("tok")) | F.col("_file").contains(F.col("tok"))).select("query", "name")).distinct()
+        f.select("name", "_name", "_file").join(F.broadcast(tok.select("query", "tok").distinct()), F.col("_name").contains(F.col("tok")) | F.col("_file").contains(F.col("tok"))).select("query", "name")).distinct()
     pair = touched.join(f, "name").join(tok, "query")
     exact = (F.col("_name") == F.col("tok")) | (F.col("_name_stem") == F.col("stem"))
     part = ~exact & F.array_contains("_parts", F.col("stem"))

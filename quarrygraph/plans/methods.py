@@ -150,7 +150,7 @@ def outline(ix: Index, token_budget: int = 2000, glob: str | None = None, mentio
     if glob:
         x = x.where(T.outline_glob(F.col("path"), glob))
     entry = F.concat(F.col("path"), F.lit("\n"), F.array_join(F.transform("symbols", lambda s: F.concat(F.lit("  "), s["kind"], F.lit(" "), s["name"])), "\n"))
-    return A.budget_prefix(x.withColumn("entry", entry), T.token_cost(F.col("entry")), token_budget, [F.desc("rank"), F.col("path")])
+    return A.budget_prefix(x.withColumn("entry", entry), T.token_cost(F.col("entry")), token_budget, [F.desc("rank"), F.col("path")], at_least=1)
 
 
 def grep(ix: Index, text: str | None = None, regex: str | None = None, ignore_case: bool = True, multiline: bool = False, glob: str | None = None, language: str | None = None, within_symbol: str | None = None, many_defs: bool = False, limit: int = 256) -> DataFrame:
