@@ -656,3 +656,91 @@ def semantic_score(spark, d):
     cand = names.select("name", "file", F.lit(0.0).alias("rank"), F.lit(None).cast("string").alias("doc"), "kind", F.lit("public").alias("visibility"))
     q = spark.createDataFrame([("q1", "where is the small widget handled"), ("q2", "red plates and rings")], "query string, text string")
     return V.top_k(V.score(q, cand), 10)
+
+
+# --- scalar functions ----------------------------------------------------------------------------------
+
+_PATHS = "source || '/' || CASE doc_id % 7 WHEN 0 THEN 'tests/a' WHEN 1 THEN 'b_test' WHEN 2 THEN 'c.spec' WHEN 3 THEN 'contest/d' WHEN 4 THEN 'e_tests' WHEN 5 THEN 'f.test' ELSE 'g' END || doc_id // 7 || CASE doc_id % 5 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.tsx' WHEN 3 THEN '.hpp' ELSE '.MD' END"
+
+
+def _paths(spark, d):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("tests/a", "b_test", "c.spec", "contest/d", "e_tests", "f.test", "g")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".rs", ".py", ".tsx", ".hpp", ".MD")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", "lang", "text", F.concat("source", F.lit("/"), name, F.expr("doc_id div 7").cast("string"), ext).alias("path"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, lower({_PATHS}) AS path FROM documents) SELECT doc_id, regexp_matches(path, '/(tests|test|__tests__)/|^tests?/') OR regexp_matches(regexp_extract(path, '[^/]*$'), '^[^.]*(_test|_tests|_spec)\\.|^[^.]*\\.(test|spec)(\\.|$)') AS is_test FROM p""")
+def test_path_predicate(spark, d):
+    return _paths(spark, d).select("doc_id", T.is_test_path(F.col("path")).alias("is_test"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, lower(regexp_extract({_PATHS}, '[.]([^.]*)$', 1)) AS e FROM documents) SELECT CASE e WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'tsx' THEN 'typescript' WHEN 'hpp' THEN 'cpp' WHEN 'md' THEN 'markdown' END AS language, count(*) AS n FROM p GROUP BY 1""")
+def language_by_extension(spark, d):
+    return _paths(spark, d).groupBy(T.language(F.col("path")).alias("language")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE starts_with({_PATHS}, 'src1/') AND ends_with({_PATHS}, '.py')")
+def outline_glob_filter(spark, d):
+    return _paths(spark, d).where(T.outline_glob(F.col("path"), "src1/**/*.py")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({_PATHS}, '^src[12]/[^/]*[.](rs|py)$')")
+def path_glob_filter(spark, d):
+    return _paths(spark, d).where(F.col("path").rlike(T.path_glob_regex("src[12]/*.{rs,py}"))).select("doc_id")
+
+
+@query("SELECT p_partkey AS fid, w AS word FROM (SELECT p_partkey, unnest(regexp_split_to_array(lower(regexp_replace(p_brand || '_' || p_name || 'XtraLong', '([a-z])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+')) AS w FROM part) WHERE strlen(w) > 1")
+def name_decompose(spark, d):
+    name = F.concat("parent", F.lit("_"), "name", F.lit("XtraLong"))
+    return defs(spark, d).select("fid", F.explode(T.decompose(name)).alias("word"))
+
+
+@query("SELECT t AS token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS t FROM benchmark) WHERE strlen(t) > 1 AND t NOT IN (" + ", ".join(f"'{w}'" for w in dict.fromkeys(T.W.STOPWORDS)) + ") GROUP BY 1")
+def query_tokens(spark, d):
+    return read(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, left(sha256(text), 16) || '@3' AS version FROM documents")
+def content_version(spark, d):
+    from .sources.store import content_version as version
+
+    return read(spark, d, "documents").select("doc_id", version(F.sha2("text", 256), 3).alias("version"))
+
+
+@query("SELECT user_id, sha256('pepper::' || user_id) AS hashed, count(*) AS n FROM events GROUP BY user_id")
+def salted_ids(spark, d):
+    x = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return x.select("user_id", F.sha2(F.concat_ws("::", F.lit("pepper"), F.col("user_id").cast("string")), 256).alias("hashed"), "n")
+
+
+@query("SELECT event_id, epoch_ms(date_trunc('second', ts)) AS ms, strftime(ts, '%Y-%m') AS month FROM events")
+def iso_timestamps(spark, d):
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    return read(spark, d, "events").select("event_id", S.iso_millis(text).alias("ms"), F.substr(text, F.lit(1), F.lit(7)).alias("month"))
+
+
+@query("""SELECT 'files' AS name, count(*) AS n FROM documents UNION ALL SELECT 'defs', count(*) FROM part UNION ALL SELECT 'refs', count(*) FROM lineitem UNION ALL SELECT 'unresolved', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+def index_counts(spark, d):
+    li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
+    parts = {"files": read(spark, d, "documents"), "defs": defs(spark, d), "refs": li, "unresolved": R.unresolved(o.select(F.col("o_orderkey").alias("callee")), li.select(F.col("l_orderkey").alias("name")))}
+    every = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        every = one if every is None else every.union(one)
+    return every
+
+
+@query("""SELECT o_orderpriority AS arm, count(*) AS tasks, count(*) FILTER (WHERE o_orderstatus = 'F') AS successes, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS median_s, list_sort(list(o_totalprice))[least(CAST(floor(count(*) * 0.95) AS BIGINT) + 1, count(*))] AS p95_s, CAST(sum(o_custkey) AS BIGINT) AS input_tokens FROM orders GROUP BY 1""")
+def arm_aggregate(spark, d):
+    from .plans.methods import arm_report
+
+    tasks = read(spark, d, "orders").select(F.col("o_orderpriority").alias("arm"), F.lit("m").alias("model"), (F.col("o_orderstatus") == "F").alias("success"), F.col("o_totalprice").alias("wall_clock_s"), F.col("o_custkey").alias("input_tokens"), F.lit(0).alias("output_tokens"))
+    return arm_report(tasks).select("arm", "tasks", "successes", "median_s", "p95_s", "input_tokens")
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN '/tests/x' ELSE '/src/y' END AS path FROM lineitem WHERE l_orderkey < 1500)
+SELECT l_partkey AS name, count(*) AS calls, count(*) FILTER (WHERE path = '/tests/x') AS from_tests, count(*) > 0 AS would_break FROM f GROUP BY 1""")
+def would_break(spark, d):
+    path = F.when(F.col("l_partkey") % 3 == 0, "/tests/x").otherwise("/src/y")
+    x = read(spark, d, "lineitem").where("l_orderkey < 1500").select(F.col("l_partkey").alias("name"), path.alias("path"))
+    return x.groupBy("name").agg(F.count("*").alias("calls"), F.count_if(T.is_test_path(F.col("path"))).alias("from_tests"), (F.count("*") > 0).alias("would_break"))
