@@ -114,13 +114,15 @@ def identify(
     lang_col: str = "lang",
     per_language: int = 250,
     sample_chars: int = 16 << 20,
+    sample_texts: int = 20_000,
 ) -> DataFrame:
     """The predicted language of every whole text.
 
     Returns id_col, held_out (crc32 of the id as text modulo 4 is 2), lang_pred and score (0 to 1).
     The model learns only from rows that aren't held out and have text, a letter and a language; of
     those from at most `per_language` of each language, chosen by a hash of the id, and at most
-    `sample_chars` characters in all: texts that would pass that are left out whole.
+    `sample_chars` characters and `sample_texts` texts in all, taken from the languages in turn: texts
+    that would pass that are left out whole. Every text is then predicted.
 
     Null text or text without a letter is `und` with score 0, and so is every text if there is
     nothing to learn from. Of equal scores the first language by name wins. A null id isn't held
@@ -134,7 +136,7 @@ def identify(
     sizes = rows.filter(~F.col("out") & F.col("lang").isNotNull() & lettered).select("id", "lang", F.char_length("text").alias("n"), chance.alias("chance"))
     ranked = sizes.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("chance", "id", "n")))
     wanted, room = [], sample_chars
-    for r in ranked.filter(F.col("nth") <= per_language).orderBy("nth", "lang").limit(20_000).collect():
+    for r in ranked.filter(F.col("nth") <= per_language).orderBy("nth", "lang").limit(sample_texts).collect():
         if r["n"] <= room:
             wanted.append((r["id"], r["lang"]))
             room -= r["n"]
