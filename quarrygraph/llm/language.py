@@ -122,7 +122,8 @@ def identify(
     The model learns only from rows that aren't held out and have text, a letter and a language; of
     those from at most `per_language` of each language, chosen by a hash of the id, and at most
     `sample_chars` characters and `sample_texts` texts in all, taken from the languages in turn: texts
-    that would pass that are left out whole. Every text is then predicted.
+    that would pass that are left out whole, and of rows equal in id and
+    language the first text counts. Every text is then predicted.
 
     Null text or text without a letter is `und` with score 0, and so is every text if there is
     nothing to learn from. Of equal scores the first language by name wins. A null id isn't held
@@ -145,7 +146,7 @@ def identify(
     learnt = (
         rows.filter(~F.col("out") & F.col("lang").isNotNull() & lettered)
         .join(F.broadcast(keys.withColumnRenamed("id", "k").withColumnRenamed("lang", "l")), F.col("id").eqNullSafe(F.col("k")) & (F.col("lang") == F.col("l")))
-        .select(chance.alias("chance"), "id", "text", "lang").collect()
+        .groupBy(chance.alias("chance"), "id", "lang").agg(F.min("text").alias("text")).collect()
     ) if wanted else []
     learnt.sort(key=lambda r: (r["chance"], repr(r["id"]), r["text"]))
     model = fit([r["text"] for r in learnt], [r["lang"] for r in learnt]) if learnt else None
