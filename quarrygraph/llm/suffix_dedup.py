@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ GRAM = 32
 COMMON = 4096
 COMMON_SHARE = 0.001
 _LAST = 2**63 - 1
+_KEY = 2**31 - 1
 _RUN = 1 << 20
 _PLACE = 22
 _RANDOM = np.random.default_rng(20240607)
@@ -142,6 +144,19 @@ def _ranges(repeat: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndar
     return row, first[row] + a, first[row] + b - 1 + length
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """`docs` with the column text compressed, as texts travel through shuffles."""
+    at = docs.columns.index("text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(1).compress
+        for b in batches:
+            data = pa.array([press(t.as_py().encode()) for t in b.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([data if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return docs.mapInArrow(pack, ", ".join(f"`{n}` {'binary' if n == 'text' else t}" for n, t in docs.dtypes))
+
+
 def _found(id_, key, start, end, gram=None) -> pa.RecordBatch:
     n = len(id_)
     return pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.nulls(n, pa.int64()) if gram is None else pa.array(gram, pa.int64())], schema=_FOUND)
@@ -209,7 +224,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             lo, hi = np.maximum(at - side, begin), np.minimum(at + GRAM + side, begin + size)
             digest = xxhash.xxh64_intdigest
             around = np.array([digest(joined[a:b], c) for a, b, c in zip(lo.tolist(), hi.tolist(), (at - lo).tolist())], np.uint64)
-            parts.append((gram, around, np.array(ids, np.int64)[doc], np.array(keys, np.int64)[doc], at - begin, size))
+            parts.append((gram, around, np.array(ids, np.int64)[doc], np.array(keys, np.int64)[doc], at - begin, np.minimum(size - (at - begin), 65535)))
         if not parts:
             return
         cols = [np.concatenate(c) for c in zip(*parts)]
@@ -225,7 +240,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         cols, bucket = [c[order] for c in cols], bucket[order]
         cut_at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        types = ("<u8", "<u8", "<i8", "<i8", "<u4", "<u4")
+        types = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u2")
         for a, b in zip(cut_at.tolist(), [*cut_at[1:].tolist(), len(bucket)]):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket[a]], pa.int32()), *(pa.array([c[a:b].astype(t).tobytes()], pa.binary()) for c, t in zip(cols, types))],
@@ -243,8 +258,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(_found(*(np.frombuffer(r[n], d).astype(np.int64) for n, d in (("id", "<i8"), ("key", "<i8"), ("pos", "<u4"), ("size", "<u4")))))
         rows = [r for r in rows if r["gram"] is not None]
         if rows:
-            cols = [np.frombuffer(b"".join([r[n] for r in rows]), d) for n, d in (("gram", "<u8"), ("around", "<u8"), ("id", "<i8"), ("key", "<i8"), ("pos", "<u4"), ("size", "<u4"))]
-            cols = [c.astype(np.int64) if c.dtype == np.uint32 else c for c in cols]
+            cols = [np.frombuffer(b"".join([r[n] for r in rows]), d) for n, d in (("gram", "<u8"), ("around", "<u8"), ("id", "<i8"), ("key", "<u4"), ("pos", "<u4"), ("size", "<u2"))]
+            cols = [c.astype(np.int64) if c.dtype.itemsize < 8 else c for c in cols]
             rows = None
             _, n = np.unique(cols[0], return_counts=True)
             order, repeat = _first_of_equals(cols)
@@ -286,7 +301,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows, firsts = [], {}
             texts = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), range(b.num_rows), b.column(3).to_pylist()), key=lambda r: r[:3])
             for i, k, n, asks in texts:
-                data = b.column(2)[n].as_py().encode()
+                data = zstandard.decompress(b.column(2)[n].as_py())
                 for a in sorted(asks, key=lambda a: a["pos"]):
                     pos, gram = a["pos"], a["gram"]
                     spread = gram in few
@@ -325,7 +340,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(_found(ids[row], keys[row], start, end))
         return pa.Table.from_batches(out, schema=_FOUND)
 
-    asked = docs.join(first.filter(F.size("asks") > 0).select("id", "key", "asks"), ["id", "key"])
+    asked = _packed(docs).join(first.filter(F.size("asks") > 0).select("id", "key", "asks"), ["id", "key"])
     second = (
         asked.select("id", "key", "text", "asks").mapInArrow(surroundings, "bucket int, id long, key long, pos long, lo long, hi long, data binary")
         .groupBy("bucket").applyInArrow(compare, "id long, key long, start long, end long, gram long")
@@ -347,14 +362,14 @@ def _first_of_equals(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_document(cols: list[np.ndarray], side: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(id, key, start, end) of the surroundings of anchors, merged within each document."""
-    _, _, ids, keys, pos, size = cols
+    _, _, ids, keys, pos, room = cols
     if not len(ids):
         return
     order = np.lexsort((pos, keys, ids))
-    ids, keys, pos, size = ids[order], keys[order], pos[order], size[order]
-    start, end = np.maximum(pos - side, 0), np.minimum(pos + GRAM + side, size)
+    ids, keys, pos, room = ids[order], keys[order], pos[order], room[order]
+    start, end = np.maximum(pos - side, 0), pos + np.minimum(GRAM + side, room)
     doc = np.cumsum(np.r_[False, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
-    shift = doc * (int(size.max()) + 2)
+    shift = doc * (int(end.max()) + 2)
     s, e = merged(start + shift, end + shift)
     at = np.searchsorted(start + shift, s)
     yield ids[at], keys[at], s - shift[at], e - shift[at]
@@ -375,7 +390,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = text_or_empty(text_col)
     extra = carry or ()
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), F.struct(F.col(id_col).cast("long").alias("id"), *extra).alias("own"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).bitwiseAND(_KEY).alias("key"), text.alias("text"), F.struct(F.col(id_col).cast("long").alias("id"), *extra).alias("own"))
     spans = repeats(keyed.select("id", "key", "text"), length)
     fields = [pa.field(id_col, pa.int64()), *(pa.field(n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.field("kept_sha256", pa.string())]
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -387,7 +402,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             rows = []
             for own, t, starts, ends in zip(*(b.column(i) for i in range(4))):
-                data, own, s, e = t.as_py().encode(), own.as_py(), [], []
+                data, own, s, e = zstandard.decompress(t.as_py()), own.as_py(), [], []
                 if starts.is_valid:
                     s, e = (x.tolist() for x in merged(np.array(starts.as_py(), np.int64), np.array(ends.as_py(), np.int64)))
                 kept = b"".join([data[a:z] for a, z in zip([0, *e], [*s, len(data)])])
@@ -396,7 +411,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
 
-    return keyed.join(spans, ["id", "key"], "left").select("own", "text", "starts", "ends").mapInArrow(remove, schema)
+    return _packed(keyed).join(spans, ["id", "key"], "left").select("own", "text", "starts", "ends").mapInArrow(remove, schema)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ class PrefixCounter(RankWordCoder):
 
     _made: dict[str, PrefixCounter] = {}
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         super().__init__(path, limit)
         self.table, self._parts = {}, {}
         self._longest = max(map(len, self.ranks))

@@ -60,7 +60,7 @@ class WordCoder:
 
     _made: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -124,7 +124,7 @@ class RankWordCoder(WordCoder):
 
     _made: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         super().__init__(path, limit)
         import tiktoken
 
