@@ -115,6 +115,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TABLE_BITS = 32
 #: Nodes whose balls a task holds at once.
 _EMIT = 1024
+#: Texts of a crowd that are compared with as many at once.
+_TILE = 1024
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -167,8 +169,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words:
     pairs three deviations off the threshold; the others, unless linked already, are settled by
     the similarity of their shingles itself.
     Pairs of similarity 0.8 meet with a chance of 87 %, of 0.85 with 98 %, of 0.9 with over 99.9 %.
-    Texts that meet link to the least of them and to their neighbour in order, never all with all,
-    and a group of copies has become one class before the balls go out.
+    Texts that meet are compared to the least of them and to their neighbour in order first; where
+    four or more share a variant, all that these links leave in different classes are compared
+    after. A group of copies has become one class before the balls go out.
 
     Null text counts as empty; texts of fewer than `words` words are one shingle. Ids must be unique
     and not null; an empty table gives no rows; other columns are ignored.
@@ -183,11 +186,16 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words:
     nodes = distinct.select("least", "sig")
     bounds = [bits_apart(similarity, TABLE_BITS * tables, d) for d in (-3, 3)]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    equal = cut(_compared(_meeting(nodes.withColumn("label", F.col("least")), tables, [0], False), nodes, bounds))
+    equal = cut(_compared(_meeting(nodes.withColumn("label", F.col("least")), tables, [0], False).select("a", "b"), nodes, bounds))
     stars = _settled(equal, None, texts, words, similarity)
     labels = nodes.join(stars, F.col("least") == F.col("node"), "left").select("least", "sig", F.coalesce("root", "least").alias("label"))
-    near = cut(_compared(_meeting(labels, tables, [0, *(1 << i for i in range(TABLE_BITS))], True), nodes, bounds))
+    met = cut(_meeting(labels, tables, [0, *(1 << i for i in range(TABLE_BITS))], True))
+    near = cut(_compared(met.where("crowd is null").select("a", "b"), nodes, bounds))
     roots = _settled(near, stars, texts, words, similarity)
+    crowds = met.where("crowd is not null").select("crowd")
+    if not crowds.isEmpty():
+        labels = nodes.join(roots, F.col("least") == F.col("node"), "left").select("least", "sig", F.coalesce("root", "least").alias("label"))
+        roots = _settled(cut(_crowded(crowds, labels, bounds)), roots, texts, words, similarity)
     classes = cut(distinct.join(roots, F.col("least") == F.col("node"), "left").select("sig", "size", F.coalesce("root", "least").alias("group")))
     rows = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     return left_join_by_size(signed, classes, "sig", "size", rows).select("id", "group")
@@ -197,6 +205,8 @@ def _meeting(nodes: DataFrame, tables: int, masks: list[int], neighbours: bool)
     """Pairs (a, b) of `nodes` (least, sig, label) of different labels that share a variant, by any of the masks, in a table.
 
     Each pairs with the least that shares it and, with `neighbours`, with the one before in order.
+    With `neighbours`, four or more of two labels or more also give a row whose `crowd` holds the
+    ids of all of them, as these pairs are not all there are.
     """
     buckets = partitions(nodes) * 4
     flips = np.array(masks, np.uint64)
@@ -228,11 +238,23 @@ def _meeting(nodes: DataFrame, tables: int, masks: list[int], neighbours: bool)
         apart = rest[label[head[rest]] != label[rest]]
         beside = rest[label[rest - 1] != label[rest]] if neighbours else rest[:0]
         pairs = np.unique(np.concatenate([np.stack([owner[head[apart]], owner[apart]]), np.stack([owner[beside - 1], owner[beside]])], axis=1), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        crowds = []
+        if neighbours:
+            first = np.flatnonzero(new)
+            mixed = np.zeros(len(first), bool)
+            mixed[np.cumsum(new)[apart] - 1] = True
+            ends = np.r_[first[1:], len(new)]
+            many = mixed & (ends - first >= 4)
+            crowds = list({owner[a:z].tobytes() for a, z in zip(first[many].tolist(), ends[many].tolist())})
+        return pa.table({
+            "a": pa.concat_arrays([pa.array(pairs[0]), pa.nulls(len(crowds), pa.int64())]),
+            "b": pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(crowds), pa.int64())]),
+            "crowd": pa.concat_arrays([pa.nulls(pairs.shape[1], pa.binary()), pa.array(crowds, pa.binary())]),
+        })
 
     return (
         nodes.select("least", "sig", "label").mapInArrow(emit, "bucket int, variants binary, owners binary, offsets binary")
-        .groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+        .groupBy("bucket").applyInArrow(meet, "a long, b long, crowd binary").distinct()
     )
 
 
@@ -253,6 +275,70 @@ def _compared(pairs: DataFrame, nodes: DataFrame, bounds: list[int]) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sure boolean")
 
 
+def _crowded(crowds: DataFrame, nodes: DataFrame, bounds: list[int]) -> DataFrame:
+    """(a, b, sure) as of _compared() for all pairs of different labels within a crowd, but for sure ones that other sure ones imply.
+
+    nodes: (least, sig, label). A crowd is compared in squares of _TILE by _TILE texts, which are
+    dealt out one by one; each text is sent once for every square it takes part in.
+    """
+    buckets = partitions(nodes) * 4
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for crowd in b.column(0):
+                ids = np.frombuffer(crowd.as_py(), "<i8")
+                name, tiles = xxhash.xxh64_intdigest(crowd.as_py(), SEED), range(0, len(ids), _TILE)
+                for i in tiles:
+                    for j in tiles[i // _TILE :]:
+                        some = ids[i : i + _TILE] if i == j else np.concatenate([ids[i : i + _TILE], ids[j : j + _TILE]])
+                        square = xxhash.xxh64_intdigest(b"%d %d %d" % (name, i, j), SEED)
+                        side = np.arange(len(some)) >= min(_TILE, len(ids) - i)
+                        n = len(some)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, square % buckets, np.int32)), pa.array(np.full(n, square, np.uint64).view(np.int64)), pa.array(side), pa.array(some)],
+                            names=["bucket", "square", "side", "id"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        square, side, ids, label = (t[c].to_numpy() for c in ("square", "side", "id", "label"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        order = np.lexsort((ids, side, square))
+        square, side, ids, label, sig = square[order], side[order], ids[order], label[order], sig[order]
+        known: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := known.get(x, x)) != x:
+                known[x] = x = known.get(up, up)
+            return x
+
+        sure, unsure = [], []
+        first = np.flatnonzero(np.r_[True, square[1:] != square[:-1]]).tolist()
+        for a, z in zip(first, [*first[1:], len(ids)]):
+            if (label[a:z] == label[a]).all():
+                continue
+            middle = a + int(np.count_nonzero(~side[a:z]))
+            low = middle if middle < z else a
+            for x in range(a, middle):
+                y = np.arange(max(low, x + 1), z)
+                y = y[label[y] != label[x]]
+                bits = np.bitwise_count(sig[y] ^ sig[x]).sum(1, dtype=np.int64)
+                for k in y[bits <= bounds[0]].tolist():
+                    u, v = find(int(label[x])), find(int(label[k]))
+                    if u != v:
+                        known[max(u, v)] = min(u, v)
+                        sure.append((int(ids[x]), int(ids[k])))
+                unsure += [(int(ids[x]), int(ids[k]), int(label[x]), int(label[k])) for k in y[(bits > bounds[0]) & (bits <= bounds[1])].tolist()]
+        left = {(min(a, b), max(a, b)) for a, b, u, v in unsure if find(u) != find(v)}
+        rows = [*((a, b, True) for a, b in sure), *((a, b, False) for a, b in left)]
+        columns = zip(*rows) if rows else ((), (), ())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
+
+    return (
+        crowds.mapInArrow(deal, "bucket int, square long, side boolean, id long")
+        .join(nodes.withColumnRenamed("least", "id"), "id").select("bucket", "square", "side", "id", "label", "sig")
+        .groupBy("bucket").applyInArrow(compare, "a long, b long, sure boolean").distinct()
+    )
+
+
 def _settled(met: DataFrame, stars: DataFrame | None, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root) of the components that compared pairs make, together with those known before.
 

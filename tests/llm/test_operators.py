@@ -300,6 +300,26 @@ def test_similar_groups_at_the_threshold(spark):
     assert sum(x for x, a in zip(linked, alike) if a) >= 0.8 * sum(alike)
 
 
+def test_similar_groups_in_a_crowd(spark, monkeypatch):
+    """Pairs over the threshold that share a variant link inside a large group that shares boilerplate, too."""
+    monkeypatch.setattr(simhash, "_TILE", 16)
+    rng, n = random.Random(5), 600
+    some = lambda k: ["b%d" % rng.randint(0, 10**9) for _ in range(k)]
+    shared = some(300)
+    # Any two have similarity 0.6, text k and text n + k 0.86.
+    one = [shared + some(100) for _ in range(n)]
+    texts = [" ".join(w) for w in [*one, *(w[:-30] + some(30) for w in one)]]
+    place = rng.sample(range(2 * n), 2 * n)
+    signed = np.array([np.frombuffer(simhash.signature(t, 5, 16), "<u4") for t in texts])
+    meet = (np.bitwise_count(signed[:n] ^ signed[n:]) <= 2).any(1)
+    df = spark.createDataFrame(list(zip(place, texts)), "i long, text string").repartition(3)
+    group = {r.id: r.group for r in simhash.similar_groups(df, "i").collect()}
+    linked = np.array([group[place[k]] == group[place[n + k]] for k in range(n)])
+    assert meet.sum() > 0.8 * n and (linked | ~meet).all()
+    for g in set(group.values()):
+        assert sum(x == g for x in group.values()) <= 2
+
+
 def plain_quality(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = defaultdict(list)
