@@ -229,8 +229,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return
         cols = [np.concatenate(c) for c in zip(*parts)]
         parts = None
-        order, repeat = _first_of_equals(cols)
-        cols = [c[order] for c in cols]
+        cols, repeat = _first_of_equals(cols)
         gone = [c[repeat] for c in cols]
         for i, k, s, e in _by_document(gone, side):
             settled.append((i, k, s, e))
@@ -262,8 +261,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = [c.astype(np.int64) if c.dtype.itemsize < 8 else c for c in cols]
             rows = None
             _, n = np.unique(cols[0], return_counts=True)
-            order, repeat = _first_of_equals(cols)
-            cols = [c[order] for c in cols]
+            cols, repeat = _first_of_equals(cols)
             for i, k, s, e in _by_document([c[repeat] for c in cols], side):
                 out.append(_found(i, k, s, e))
             cols = [c[~repeat] for c in cols]
@@ -298,9 +296,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         few = {int(g) for g in common.view(np.int64)}
         whole, quarters = [(0, side)], _parts(side, 4)
         for b in batches:
-            rows, firsts = [], {}
+            rows, firsts, before = [], {}, None
             texts = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), range(b.num_rows), b.column(3).to_pylist()), key=lambda r: r[:3])
             for i, k, n, asks in texts:
+                if (i, k) == before:
+                    continue
+                before = (i, k)
                 data = zstandard.decompress(b.column(2)[n].as_py())
                 for a in sorted(asks, key=lambda a: a["pos"]):
                     pos, gram = a["pos"], a["gram"]
@@ -329,14 +330,18 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for lo, hi in sorted(set(zip(t["lo"].to_pylist(), t["hi"].to_pylist()))):
             some = t.filter(pa.compute.and_(pa.compute.equal(t["lo"], lo), pa.compute.equal(t["hi"], hi)))
             ids, keys, pos = (some[n].to_numpy() for n in ("id", "key", "pos"))
+            # A text that `docs` holds several times counts once.
+            order = np.lexsort((pos, keys, ids))
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (ids, keys, pos)], axis=0)
+            some = some.take(pa.array(order[new]))
+            ids, keys, pos = (c[order[new]] for c in (ids, keys, pos))
             first = pos - side + lo
             strings = np.full((len(ids), hi - lo + length), -1, np.int16)
             for i, (at, d) in enumerate(zip(first.tolist(), some["data"].to_pylist())):
                 skip = max(0, -at)
                 strings[i, skip : skip + len(d)] = np.frombuffer(d, np.uint8)
-            rank = np.empty(len(ids), np.int64)
-            rank[np.lexsort((pos, keys, ids))] = np.arange(len(ids))
-            row, start, end = _ranges(repeated_windows(strings, rank, length, hi - lo + 1), first, length)
+            row, start, end = _ranges(repeated_windows(strings, np.arange(len(ids)), length, hi - lo + 1), first, length)
             out.append(_found(ids[row], keys[row], start, end))
         return pa.Table.from_batches(out, schema=_FOUND)
 
@@ -350,14 +355,20 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans.groupBy("id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
-def _first_of_equals(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """An order by gram, surroundings, id, key, position, and in it which rows have an equal with equal surroundings before them."""
+def _first_of_equals(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """`cols` in order of gram, surroundings, id, key, position, and in it which rows have an equal with equal surroundings before them.
+
+    Rows of one id, key and position are one text that `docs` holds several times: the first stays.
+    """
     gram, around, ids, keys, pos, _ = cols
     order = np.lexsort((pos, keys, ids, around, gram))
-    g, a = gram[order], around[order]
-    repeat = np.zeros(len(order), bool)
-    repeat[1:] = (g[1:] == g[:-1]) & (a[1:] == a[:-1])
-    return order, repeat
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)
+    cols = [c[new] for c in cols]
+    repeat = np.zeros(len(cols[0]), bool)
+    repeat[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+    return cols, repeat
 
 
 def _by_document(cols: list[np.ndarray], side: int) -> Iterator[tuple[np.ndarray, ...]]:

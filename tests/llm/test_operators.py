@@ -182,6 +182,24 @@ def test_suffix_dedup_of_common_grams(docs, spark, monkeypatch):
     assert rows(suffix_dedup.suffix_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("common", [False, True])
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch, common):
+    """Rows equal in id and text, with an id or without one, keep what a single one would."""
+    if common:
+        monkeypatch.setattr(suffix_dedup, "COMMON", 2)
+        monkeypatch.setattr(suffix_dedup, "COMMON_SHARE", 1e-5)
+    alone, odd, shared = words(80), words(80), words(40)
+    part = words(30) + shared + words(30)
+    texts = [(1, alone), (1, alone), (None, odd), (None, odd), (2, part), (2, part), (3, words(20) + shared), (4, words(25) + shared), (4, words(10)), (1, alone)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    df.write.mode("overwrite").parquet(place := spark.conf.get("spark.checkpoint.dir") + "/repeated")
+    want = brute_suffix(texts, 100)
+    expected = [(i, *want[i if i is not None else 2**63, t]) for i, t in texts]
+    assert sum(e[2] == 0 for e in expected) >= 7 and sum(e[2] > 0 for e in expected) == 2
+    got = suffix_dedup.suffix_dedup(spark.read.parquet(place))
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
+
+
 def test_column_construction():
     """Windows found repeated are those an earlier string has at the same column."""
     rng = np.random.default_rng(3)
