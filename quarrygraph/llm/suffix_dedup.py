@@ -45,7 +45,6 @@ GRAM = 32
 COMMON = 4096
 COMMON_SHARE = 0.001
 _LAST = 2**63 - 1
-_KEY = 2**31 - 1
 _RUN = 1 << 20
 _PLACE = 22
 _RANDOM = np.random.default_rng(20240607)
@@ -239,7 +238,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         cols, bucket = [c[order] for c in cols], bucket[order]
         cut_at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        types = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u2")
+        types = ("<u8", "<u8", "<i8", "<i8", "<u4", "<u2")
         for a, b in zip(cut_at.tolist(), [*cut_at[1:].tolist(), len(bucket)]):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket[a]], pa.int32()), *(pa.array([c[a:b].astype(t).tobytes()], pa.binary()) for c, t in zip(cols, types))],
@@ -257,7 +256,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(_found(*(np.frombuffer(r[n], d).astype(np.int64) for n, d in (("id", "<i8"), ("key", "<i8"), ("pos", "<u4"), ("size", "<u4")))))
         rows = [r for r in rows if r["gram"] is not None]
         if rows:
-            cols = [np.frombuffer(b"".join([r[n] for r in rows]), d) for n, d in (("gram", "<u8"), ("around", "<u8"), ("id", "<i8"), ("key", "<u4"), ("pos", "<u4"), ("size", "<u2"))]
+            cols = [np.frombuffer(b"".join([r[n] for r in rows]), d) for n, d in (("gram", "<u8"), ("around", "<u8"), ("id", "<i8"), ("key", "<i8"), ("pos", "<u4"), ("size", "<u2"))]
             cols = [c.astype(np.int64) if c.dtype.itemsize < 8 else c for c in cols]
             rows = None
             _, n = np.unique(cols[0], return_counts=True)
@@ -401,7 +400,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = text_or_empty(text_col)
     extra = carry or ()
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).bitwiseAND(_KEY).alias("key"), text.alias("text"), F.struct(F.col(id_col).cast("long").alias("id"), *extra).alias("own"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), F.struct(F.col(id_col).cast("long").alias("id"), *extra).alias("own"))
     spans = repeats(keyed.select("id", "key", "text"), length)
     fields = [pa.field(id_col, pa.int64()), *(pa.field(n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.field("kept_sha256", pa.string())]
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

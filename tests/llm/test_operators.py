@@ -200,6 +200,25 @@ def test_suffix_dedup_of_repeated_rows(spark, monkeypatch, common):
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=repr)
 
 
+def test_suffix_dedup_of_texts_alike_in_part_of_a_hash(spark):
+    """Texts without an id whose hashes share 31 bits keep their own bytes."""
+    shared, seen, pairs = words(40), {}, []
+    for n in range(250_000):
+        t = ("%s %d" % (words(12), n)).ljust(60, ".")
+        whole = (t + shared if n % 2 else t + words(60))
+        k = xxhash.xxh64_intdigest(whole.encode(), 42) % 2**31
+        if k in seen and seen[k][0] != n % 2:
+            pairs.append((seen[k][1], whole))
+        seen[k] = (n % 2, whole)
+    assert pairs
+    texts = [(1, shared), *((None, t) for p in pairs for t in p)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    df.write.mode("overwrite").parquet(place := spark.conf.get("spark.checkpoint.dir") + "/alike")
+    got = {r.kept_text: r.n_removed for r in suffix_dedup.suffix_dedup(spark.read.parquet(place), carry=()).collect()}
+    plain = [t for p in pairs for t in p if shared not in t]
+    assert all(got.get(t) == 0 for t in plain) and sum(n > 0 for n in got.values()) == len(pairs)
+
+
 def test_column_construction():
     """Windows found repeated are those an earlier string has at the same column."""
     rng = np.random.default_rng(3)
