@@ -597,7 +597,7 @@ def near_miss_candidates(spark, d):
 @query()
 def near_miss_osa(spark, d):
     names = defs(spark, d).select("name").distinct().withColumn("rank", F.lit(0.0))
-    return Y.candidates(defs(spark, d).where("fid < 40").select(F.col("name").alias("target")).distinct(), names)
+    return Y.candidates(names.select(F.col("name").alias("target")), names)
 
 
 @query("""WITH r AS (SELECT source, CASE WHEN quality IS NULL THEN 'indeterminate' WHEN quality = 1 THEN 'exact' ELSE 'not_found' END AS res FROM documents LEFT JOIN labels USING (doc_id))
@@ -652,7 +652,7 @@ def lexical_context_budget(spark, d):
 
 @query()
 def semantic_score(spark, d):
-    names = defs(spark, d).where("fid < 400").groupBy("name").agg(F.min("kind").alias("kind"), F.min("parent").alias("file"))
+    names = defs(spark, d).groupBy("name").agg(F.min("kind").alias("kind"), F.min("parent").alias("file"))
     cand = names.select("name", "file", F.lit(0.0).alias("rank"), F.lit(None).cast("string").alias("doc"), "kind", F.lit("public").alias("visibility"))
     q = spark.createDataFrame([("q1", "where is the small widget handled"), ("q2", "red plates and rings")], "query string, text string")
     return V.top_k(V.score(q, cand), 10)
