@@ -23,23 +23,22 @@ def pair_clusters(pairs: DataFrame) -> DataFrame:
         F.md5("fragment").alias("cluster_id"), "mass_tokens", "sites", "spread_files", (F.col("mass_tokens") * F.col("spread_files")).alias("score"))
 
 
-def maximal_clones(candidates: DataFrame, rounds: int = 64) -> DataFrame:
+def maximal_clones(candidates: DataFrame) -> DataFrame:
     """Greedy maximal clusters of candidates (hash, mass, path, start, end), heaviest first, hash breaking ties.
 
     A site inside an accepted cluster's site of the same file is claimed; a cluster needs two sites
-    that aren't. Sequential by mass, so files that share a fragment hang together: connected groups of
-    them are independent, and each is settled in one task.
+    that aren't. Sequential by mass, but only fragments with a site inside another's depend on each
+    other: connected groups of those are settled in one task each. All others are accepted as they are.
     """
     shared = candidates.groupBy("hash").agg(F.countDistinct("path", "start").alias("n")).where("n >= 2").select("hash")
-    c = cut(candidates.join(shared, "hash", "left_semi"))
-    label = c.select(F.col("path").alias("node"), F.col("path").alias("group")).distinct()
-    for _ in range(rounds):
-        by_hash = c.select("hash", "path").distinct().join(label, F.col("path") == F.col("node")).groupBy("hash").agg(F.min("group").alias("g"))
-        new = cut(c.select("hash", "path").distinct().join(by_hash, "hash").groupBy(F.col("path").alias("node")).agg(F.min("g").alias("group")))
-        moved = new.join(label.withColumnRenamed("group", "old"), "node").where("group <> old").limit(1).count()
-        label = new
-        if not moved:
-            break
+    c = cut(candidates.join(shared, "hash", "left_semi").select("hash", F.col("mass").cast("long"), "path", F.col("start").cast("long"), F.col("end").cast("long")))
+    inner = c.select("path", F.col("hash").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"))
+    within = c.join(inner, "path").where("start <= s and e <= end and hash <> b").select(F.col("hash").alias("a"), "b").distinct()
+    label = _groups(cut(within))
+    nested = c.join(label, F.col("hash") == F.col("node")).drop("node")
+    alone = c.join(label, F.col("hash") == F.col("node"), "left_anti")
+    per = alone.groupBy("hash").agg(F.min_by("mass", F.struct("path", "start")).alias("mass"), F.countDistinct("path").alias("spread"))
+    whole = alone.drop("mass").join(per, "hash").select("hash", "mass", "path", "start", "end", "spread", (F.col("mass") * F.col("spread")).alias("score"))
 
     def settle(df: pd.DataFrame) -> pd.DataFrame:
         claimed: dict[str, list[tuple[int, int]]] = {}
@@ -55,10 +54,24 @@ def maximal_clones(candidates: DataFrame, rounds: int = 64) -> DataFrame:
                 out.append((hash_, mass, r.path, int(r.start), int(r.end), spread, mass * spread))
         return pd.DataFrame(out, columns=["hash", "mass", "path", "start", "end", "spread", "score"])
 
-    return (
-        c.select("hash", F.col("mass").cast("long"), "path", F.col("start").cast("long"), F.col("end").cast("long")).join(label, F.col("path") == F.col("node")).drop("node")
-        .groupBy("group").applyInPandas(settle, "hash string, mass long, path string, start long, end long, spread long, score long")
-    )
+    return whole.union(nested.groupBy("group").applyInPandas(settle, "hash string, mass long, path string, start long, end long, spread long, score long"))
+
+
+def _groups(edges: DataFrame) -> DataFrame:
+    """(node, group) of the nodes of `edges` (a, b: string): the least node that edges reach.
+
+    Each round takes the least label around a node and then that label's own, until none moves.
+    """
+    both = cut(edges.union(edges.select("b", "a")).distinct())
+    label = cut(both.select(F.col("a").alias("node"), F.col("a").alias("group")).distinct())
+    while True:
+        around = both.join(label, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("group").alias("least"))
+        least = cut(label.join(around, "node").select("node", F.col("group").alias("old"), F.least("group", "least").alias("g")))
+        up = least.select(F.col("node").alias("g"), F.col("g").alias("next"))
+        new = cut(least.join(up, "g").select("node", F.least("g", "next").alias("group"), "old"))
+        label = new.select("node", "group")
+        if new.where("group <> old").isEmpty():
+            return label
 
 
 def snapshot(files: DataFrame, defs: DataFrame, clusters: DataFrame, total_tokens: int, degrees: DataFrame) -> DataFrame:

@@ -155,3 +155,15 @@ def test_null_parents_meet(spark):
     old = spark.createDataFrame([(None, "f", 1), ("C", "m", 2)], "parent string, name string, arity int")
     new = spark.createDataFrame([(None, "f", 2)], "parent string, name string, arity int")
     assert {(r.name, r.change) for r in R.full_diff(old, new, ["parent", "name"], "arity").collect()} == {("f", "changed"), ("m", "removed")}
+
+
+def test_maximal_clones_of_a_long_chain(spark):
+    """Fragments that hang together over many files are judged as one group would be."""
+    rows = []
+    for k in range(200):
+        # h(k) lies in files k and k + 1; m(k) inside h(k) there, and once more in file k + 2.
+        for p in (k, k + 1):
+            rows += [("h%03d" % k, 50, "f%03d" % p, 10 * (p == k), 10 * (p == k) + 5), ("m%03d" % k, 9, "f%03d" % p, 10 * (p == k) + 1, 10 * (p == k) + 3)]
+        rows += [("m%03d" % k, 9, "f%03d" % (k + 2), 100, 102)]
+    got = {(r["hash"], r.path) for r in C.maximal_clones(spark.createDataFrame(rows, "hash string, mass int, path string, start int, end int")).collect()}
+    assert got == {(r[0], r[2]) for r in rows if r[0][0] == "h"}
