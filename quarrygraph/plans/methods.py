@@ -184,7 +184,7 @@ def verify_symbol(ix: Index, claims: DataFrame) -> DataFrame:
 
 
 def verify_impact(ix: Index, name: str, change: str, old_arity: int | None = None, new_arity: int | None = None) -> DataFrame:
-    return Y.would_break(find_callers(ix, name, limit=4096), change, old_arity, new_arity)
+    return Y.would_break(R.callers(ix.refs, ix.defs, ix.files, ix.ranks, name), change, old_arity, new_arity)
 
 
 def verify_edit(ix: Index, edits: DataFrame, most: int = Y.FILES_PER_EDIT) -> tuple[DataFrame, DataFrame]:

@@ -164,3 +164,10 @@ def test_late_references(spark, tmp_path):
     q = E.late_references(stream, None).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("late").collect()] == [("f", 1, 5)]
+
+
+def test_impact_counts_all_callers(spark):
+    calls = "\n".join(["def hub():", "    pass", "", "def user():", *["    hub()"] * 4200]) + "\n"
+    ix = M.Index.of(spark.createDataFrame([(1, "a.py", calls)], "fid long, path string, text string"))
+    n = ix.refs.where("callee = 'hub'").count()
+    assert n == 4200 == M.verify_impact(ix, "hub", "remove").first().callers
