@@ -8,6 +8,7 @@ most as many fingerprints around it as its ball has words, so no group grows wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, left_join_by_size, partitions, table
+from .words import batched
 
 SEED = 42
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -112,37 +114,26 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Similarity far from 1 puts more bits between two fingerprints than a ball can cover, so it takes
 # several short fingerprints: similar texts then come within the radius in one of them.
-TABLE_BITS = 32
-#: Nodes whose balls a task holds at once.
-_EMIT = 1024
-#: Texts of a crowd that are compared with as many at once.
-_TILE = 1024
-
-
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of lower-cased words."""
-    parts = text.encode("utf-8", "replace").translate(_UPPER).split()
-    n = len(parts) - words + 1
-    if n <= 1:
-        shingles = [b" ".join(parts)]
-    else:
-        joined, size = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        start = np.r_[0, np.cumsum(size[:-1] + 1)]
-        shingles = [joined[a:b] for a, b in zip(start.tolist(), (start + size)[words - 1 :].tolist())]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
-
-
-def signature(text: str, words: int, tables: int) -> bytes:
-    """SimHash of the set of shingles, 32 bits for each table."""
-    h = shingle_hashes(text, words)
-    out = []
-    for t in range((tables + 1) // 2):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), _STEP):
-            m = _mixed(h[at : at + _STEP], t)
-            ones += np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(h), bitorder="little").tobytes())
-    return b"".join(out)[: 4 * tables]
+MIN_BITS = 32
+#: Bits of a short fingerprint beyond the logarithm of the number of texts, so that strangers seldom meet.
+SPARE_BITS = 16
+#: Share of the pairs at the threshold that come within the radius in some table.
+RECALL = 0.96
+#: Variants that a task holds at once, and that a bucket gets on average.
+_EMIT = 1 << 20
+#: Texts of a block that are compared with as many at once, and bytes of their shingle hashes.
+_TILE = 4096
+_TILE_BYTES = 24 << 20
+#: Ids sent to every task for picking their texts from a scan; more go through a shuffle.
+_FEW_IDS = 1 << 18
+#: Words longer than this are hashed alone, blocks of words up to this many bytes together.
+_LONG_WORD = 1 << 16
+_WORD_BLOCK = 1 << 20
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTERS = np.random.default_rng(20240615).integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_LANES = np.array([sum((v >> j & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
 
 
 def _mixed(h: np.ndarray, t: int) -> np.ndarray:
@@ -154,225 +145,389 @@ def _mixed(h: np.ndarray, t: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start[i]:end[i]]: a polynomial in random numbers of its bytes, by running sums over blocks of words."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + _WORD_BLOCK, side="right")))
+            low, size = int(start[i]), int(end[j - 1] - start[i])
+            if j > i + 1 or size <= _LONG_WORD:
+                up, down = _powers(_BASE, size + 1), _powers(pow(_BASE, -1, 2**64), size + 1)
+                run = np.r_[np.uint64(0), np.cumsum(_LETTERS[data[low : low + size]] * up[:size])]
+                out[i:j] = (run[end[i:j] - low] - run[start[i:j] - low]) * down[start[i:j] - low]
+            i = j
+    for k in np.flatnonzero(end - start > _LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes(), SEED)
+    return _mixed(out, 0)
+
+
+def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): hashes[bounds[i]:bounds[i + 1]] are those of the distinct shingles of text i, sorted.
+
+    Words are lower-cased; a text of fewer than `words` words is one shingle, and so is an empty one.
+    """
+    raw = [t.encode("utf-8", "replace").translate(_UPPER) for t in texts]
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    space = _SPACE[data]
+    before = np.r_[True, space[:-1]] if len(space) else space
+    start, end = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
+    h, doc = word_hashes(data, start, end), np.searchsorted(begin, start, side="right") - 1
+    n = np.bincount(doc, minlength=len(texts))
+    place = _powers(_BASE, words + 1)[1:]
+    with np.errstate(over="ignore"):
+        whole = np.flatnonzero(doc[: max(0, len(doc) - words + 1)] == doc[words - 1 :])
+        out = np.zeros(len(whole), np.uint64)
+        for k in range(words):
+            out += h[whole + k] * place[k]
+        few = np.flatnonzero(n < words)
+        first = np.cumsum(n) - n
+        rest = np.array([int((h[first[d] : first[d] + n[d]] * place[: n[d]]).sum(dtype=np.uint64)) for d in few], np.uint64) + n[few].astype(np.uint64)
+    out, owner = _mixed(np.concatenate([out, rest]), 1), np.concatenate([doc[whole], few])
+    order = np.lexsort((out, owner))
+    out, owner = out[order], owner[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[new], np.r_[0, np.cumsum(np.bincount(owner[new], minlength=len(texts)))]
+
+
+def signatures(texts: list[str], words: int, bits: int) -> np.ndarray:
+    """SimHash of so many bits, rounded up to whole 64, of the set of shingles of each text: (texts, 64-bit words).
+
+    The eight bits of a hash byte are added as the eight lanes of an integer, over 255 hashes at most.
+    """
+    h, bounds = shingle_sets(texts, words)
+    size = np.diff(bounds)
+    blocks = -(-size // 255)
+    head = np.cumsum(blocks) - blocks
+    start = np.repeat(bounds[:-1] - 255 * head, blocks) + 255 * np.arange(int(blocks.sum()))
+    out = np.zeros((len(texts), -(-bits // 64)), np.uint64)
+    for t in range(out.shape[1]):
+        ones = np.empty((len(start), 64), np.uint8)
+        for at in range(0, len(start), 256):
+            some = start[at : at + 256]
+            z = int(start[at + 256]) if at + 256 < len(start) else len(h)
+            lanes = _LANES[_mixed(h[some[0] : z], t + 2).view(np.uint8).reshape(-1, 8)]
+            ones[at : at + 256] = np.add.reduceat(lanes, some - some[0], axis=0).view(np.uint8).reshape(-1, 64)
+        if len(texts):
+            total = np.add.reduceat(ones, head, axis=0, dtype=np.int64)
+            out[:, t] = np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def signature(text: str, words: int, tables: int, bits: int = MIN_BITS) -> bytes:
+    """The fingerprints of one text, `bits` for each table, one behind the other."""
+    return signatures([text], words, tables * bits).tobytes()[: -(-tables * bits // 8)]
+
+
+def bit_chance(similarity: float) -> float:
+    """The chance that a bit of the SimHash of two sets of one size and this Jaccard similarity differs."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def bits_apart(similarity: float, bits: int, deviations: float) -> int:
-    """Bits in which signatures of two sets of one size and this Jaccard similarity differ: what is expected and some deviations."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Bits in which signatures of such sets differ: what is expected and some deviations."""
+    p = bit_chance(similarity)
     return round(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 16) -> DataFrame:
-    """(id, group) of every row: the least id of the texts that links of `similarity` or more reach.
+def tables_for(texts: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(tables, bits of each) by which pairs at the threshold meet with the chance `recall`, and strangers seldom."""
+    bits = min(64, max(MIN_BITS, texts.bit_length() + SPARE_BITS))
+    p = bit_chance(similarity)
+    within = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return math.ceil(math.log(1 - recall) / math.log(1 - within)), bits
 
-    Each text has `tables` fingerprints of 32 bits. Texts equal in one of them are settled first and
-    form classes. Then every fingerprint emits its ball of radius 1, and texts of different classes
-    that meet on a variant of the same table are settled as well. All the bits together settle
-    pairs three deviations off the threshold; the others, unless linked already, are settled by
-    the similarity of their shingles itself.
-    Pairs of similarity 0.8 meet with a chance of 87 %, of 0.85 with 98 %, of 0.9 with over 99.9 %.
-    Texts that meet are compared to the least of them and to their neighbour in order first; where
-    four or more share a variant, all that these links leave in different classes are compared
-    after. A group of copies has become one class before the balls go out.
 
-    Null text counts as empty; texts of fewer than `words` words are one shingle. Ids must be unique
-    and not null; an empty table gives no rows; other columns are ignored.
-    """
+def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+    """(id, group, copies) of every row: the least id of the texts that links of `similarity` or more reach, and how many rows have equal fingerprints.
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(t.as_py() or "", words, tables) for t in b.column(1)], pa.binary())], names=["id", "sig"])
-
-    signed = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, sig binary"))
-    distinct = cut(signed.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("size")))
-    nodes = distinct.select("least", "sig")
-    bounds = [bits_apart(similarity, TABLE_BITS * tables, d) for d in (-3, 3)]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    equal = cut(_compared(_meeting(nodes.withColumn("label", F.col("least")), tables, [0], False).select("a", "b"), nodes, bounds))
-    stars = _settled(equal, None, texts, words, similarity)
-    labels = nodes.join(stars, F.col("least") == F.col("node"), "left").select("least", "sig", F.coalesce("root", "least").alias("label"))
-    met = cut(_meeting(labels, tables, [0, *(1 << i for i in range(TABLE_BITS))], True))
-    near = cut(_compared(met.where("crowd is null").select("a", "b"), nodes, bounds))
-    roots = _settled(near, stars, texts, words, similarity)
-    crowds = met.where("crowd is not null").select("crowd")
-    if not crowds.isEmpty():
-        labels = nodes.join(roots, F.col("least") == F.col("node"), "left").select("least", "sig", F.coalesce("root", "least").alias("label"))
-        roots = _settled(cut(_crowded(crowds, labels, bounds)), roots, texts, words, similarity)
-    classes = cut(distinct.join(roots, F.col("least") == F.col("node"), "left").select("sig", "size", F.coalesce("root", "least").alias("group")))
-    rows = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return left_join_by_size(signed, classes, "sig", "size", rows).select("id", "group")
+    Each text has several short fingerprints, whose length follows the number of texts and whose
+    number follows `recall` (tables_for). Texts equal in one of them that are far over the threshold
+    by all their bits form classes first, so that a group of copies is one class. Then every
+    fingerprint emits its ball of radius 1, and texts of different classes that share a variant
+    of the same table meet. Two or three that share one are pairs, kept if their bits allow the
+    similarity; four or more hang together as a crowd. What hangs together by either is a
+    block, and within a block all texts of different classes are compared, by bits and
+    then by their shingles themselves, in squares of _TILE by _TILE texts.
 
+    So pairs of the threshold link with the chance `recall`, more similar ones more often (0.85: over
+    99 %), and nothing below it links but in classes, where the bits are four deviations off.
 
-def _meeting(nodes: DataFrame, tables: int, masks: list[int], neighbours: bool) -> DataFrame:
-    """Pairs (a, b) of `nodes` (least, sig, label) of different labels that share a variant, by any of the masks, in a table.
+    id_col may have any type that has an order. Null text counts as empty; texts of fewer than
+    `words` words are one shingle; a very long text takes a task's memory of some 30 times its own
+    bytes while it is hashed. Rows of one id are taken to be of one text; ids must not be null. An
+    empty table gives no rows; other columns are ignored.
+    """
+    rows = docs.count()
+    tables, bits = tables_for(rows, similarity, recall)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    Each pairs with the least that shares it and, with `neighbours`, with the one before in order.
-    With `neighbours`, four or more of two labels or more also give a row whose `crowd` holds the
-    ids of all of them, as these pairs are not all there are.
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, some in batched(b.column(1).to_pylist(), _WORD_BLOCK):
+                sig = signatures(some, words, tables * bits)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(some)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "sig"])
+
+    signed = cut(texts.mapInArrow(sign, f"id {kind}, sig binary"))
+    distinct = cut(signed.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = distinct.select("node", "sig")
+    low, high = (bits_apart(similarity, signatures([], words, tables * bits).shape[1] * 64, d) for d in (-4, 4))
+    shape = (tables, bits)
+
+    equal = _meeting(nodes.withColumn("label", F.col("node")), rows, *shape, [0], True).where("not crowd")
+    partner = F.explode(F.array_distinct(F.array(F.min("a"), F.max("a"))))
+    sure = _within(equal.groupBy("b").agg(partner.alias("a")), nodes, low)
+    classes = cut(components(sure))
+    labelled = nodes.join(classes, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label"))
+    met = cut(_meeting(labelled, rows, *shape, [0, *(1 << i for i in range(bits))], False))
+    pairs = _within(met.where("not crowd").select("a", "b"), nodes, high)
+    roots = met.where("crowd").select("a", "b")
+    least = roots.groupBy("a").agg(F.collect_set("b").alias("of")).select("a", F.explode(F.array_append("of", F.col("a"))).alias("b"), F.array_min("of").alias("to"))
+    blocks = components(pairs.union(least.select(F.col("b").alias("a"), F.col("to").alias("b"))))
+    members = blocks.withColumnRenamed("root", "block").join(labelled, "node").join(distinct.select("node", "least"), "node")
+    links = _linked(members, texts, words, similarity, high)
+    found = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    of = cut(distinct.join(found, "node", "left").select("sig", "size", "least", F.coalesce("root", "node").alias("root")))
+    firsts = cut(of.groupBy("root").agg(F.min("least").alias("group"), F.count("*").alias("nodes")))
+    grouped = cut(left_join_by_size(of.select("sig", "size", "root"), firsts, "root", "nodes", rows).select("sig", "size", "group"))
+    return left_join_by_size(signed, grouped, "sig", "size", rows).select("id", "group", F.col("size").alias("copies"))
+
+
+def _variants(sig: np.ndarray, tables: int, bits: int, flips: np.ndarray) -> np.ndarray:
+    """Hashes of the fingerprints of each row of `sig` under each of `flips`, other ones for each table: (rows, tables * flips)."""
+    plain = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1, bitorder="little")[:, : tables * bits].reshape(len(sig), tables, bits)
+    fp = np.packbits(plain, axis=2, bitorder="little")
+    fp = np.concatenate([fp, np.zeros((*fp.shape[:2], 8 - fp.shape[2]), np.uint8)], axis=2).view("<u8")
+    out = (fp ^ flips).transpose(1, 0, 2)
+    return np.concatenate([_mixed(x, 1000 + t) for t, x in enumerate(out)], axis=1)
+
+
+def _meeting(nodes: DataFrame, rows: int, tables: int, bits: int, masks: list[int], stars: bool) -> DataFrame:
+    """(a, b, crowd) of `nodes` (node, sig, label) of different labels that share a variant, by any of the masks, in a table.
+
+    With `stars`, b pairs with the least node a that shares it. Else two or three that share a variant are
+    pairs (a < b); more are a crowd: b is the least of all that overlapping crowds of the bucket join to a.
+    A variant travels as 40 bits of its hash, so strangers meet by chance as well, some one pair in a bucket.
     """
-    buckets = partitions(nodes) * 4
     flips = np.array(masks, np.uint64)
+    each = tables * len(masks)
+    buckets = max(1, rows * each // _EMIT)
+    step = max(1, _EMIT // each)
+    kind = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(at, _EMIT) for b in batches for at in range(0, b.num_rows, _EMIT)):
-            ids, labels = b.column(0).to_numpy(), b.column(2).to_numpy()
-            fp = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(len(ids), tables).astype(np.uint64)
-            variant = (fp + (np.arange(tables, dtype=np.uint64) << np.uint64(TABLE_BITS)))[:, :, None] ^ flips
-            variant, row = variant.reshape(-1), np.repeat(np.arange(len(ids)), tables * len(flips))
-            bucket = (_mixed(variant, 7) % np.uint64(buckets)).astype(np.int32)
+        for b in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            node, label = b.column(0).to_numpy(), b.column(2).to_numpy()
+            h = _variants(np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(len(node), -1), tables, bits, flips).reshape(-1)
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(kind)
             order = np.argsort(bucket, kind="stable")
-            variant, row, bucket = variant[order], row[order], bucket[order]
-            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = [*first[1:].tolist(), len(bucket)]
+            bucket, row = bucket[order], order // each
+            key = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :5])
+            turn = np.r_[True, bucket[1:] != bucket[:-1]]
+            first = np.flatnonzero(turn)
+            run = np.flatnonzero(turn | np.r_[True, row[1:] != row[:-1]])
+            count = np.diff(np.r_[run, len(row)]).astype("<u2")
+            who = row[run]
+            a = [*first.tolist(), len(row)]
+            r = [*np.searchsorted(run, first).tolist(), len(run)]
             # Most nodes are their own class: the distance to the label is zeros, which compress away.
-            parts = (variant, ids[row], (ids - labels)[row])
+            runs = (count, node[who], (node - label)[who])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first]), *(pa.array([x[a:z].tobytes() for a, z in zip(first.tolist(), ends)], pa.binary()) for x in parts)],
-                names=["bucket", "variants", "owners", "offsets"])
+                [pa.array(bucket[first].astype(np.int64)), pa.array([key[x:z].tobytes() for x, z in zip(a, a[1:])], pa.binary()),
+                 *(pa.array([c[x:z].tobytes() for x, z in zip(r, r[1:])], pa.binary()) for c in runs)],
+                names=["bucket", "keys", "counts", "owners", "offsets"])
 
     def meet(t: pa.Table) -> pa.Table:
-        variant, owner, offset = (np.concatenate([np.frombuffer(x, "<i8") for x in t[c].to_pylist()]) for c in ("variants", "owners", "offsets"))
-        order = np.lexsort((owner, variant))
-        variant, owner, label = variant[order], owner[order], (owner - offset)[order]
-        new = np.r_[True, variant[1:] != variant[:-1]]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        rest = np.flatnonzero(~new)
-        apart = rest[label[head[rest]] != label[rest]]
-        beside = rest[label[rest - 1] != label[rest]] if neighbours else rest[:0]
-        pairs = np.unique(np.concatenate([np.stack([owner[head[apart]], owner[apart]]), np.stack([owner[beside - 1], owner[beside]])], axis=1), axis=1)
-        crowds = []
-        if neighbours:
-            first = np.flatnonzero(new)
-            mixed = np.zeros(len(first), bool)
-            mixed[np.cumsum(new)[apart] - 1] = True
-            ends = np.r_[first[1:], len(new)]
-            many = mixed & (ends - first >= 4)
-            crowds = list({owner[a:z].tobytes() for a, z in zip(first[many].tolist(), ends[many].tolist())})
-        return pa.table({
-            "a": pa.concat_arrays([pa.array(pairs[0]), pa.nulls(len(crowds), pa.int64())]),
-            "b": pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(crowds), pa.int64())]),
-            "crowd": pa.concat_arrays([pa.nulls(pairs.shape[1], pa.binary()), pa.array(crowds, pa.binary())]),
-        })
+        raw = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint8).reshape(-1, 5)
+        key = np.zeros((len(raw), 8), np.uint8)
+        key[:, :5] = raw
+        key, (count, owner, offset) = key.view("<u8")[:, 0], (np.frombuffer(b"".join(t[c].to_pylist()), d) for c, d in (("counts", "<u2"), ("owners", "<i8"), ("offsets", "<i8")))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        several = np.r_[False, same] | np.r_[same, False]
+        key, order = key[order][several], order[several]
+        who = np.searchsorted(np.cumsum(count), order, side="right")
+        owner, label = owner[who], (owner - offset)[who]
+        order = np.lexsort((owner, key))
+        key, owner, label = key[order], owner[order], label[order]
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner, label = key[keep], owner[keep], label[keep]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(key)])
+        mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first) if len(first) else np.zeros(0, bool)
+        a, b = [], []
+        if stars:
+            at = np.repeat(mixed, size) & ~new
+            a.append(np.repeat(owner[first], size)[at])
+            b.append(owner[at])
+        else:
+            small = first[mixed & (size <= 3)]
+            third = first[mixed & (size == 3)]
+            for x, y in ((small, small + 1), (third, third + 2), (third + 1, third + 2)):
+                apart = label[x] != label[y]
+                a.append(owner[x][apart])
+                b.append(owner[y][apart])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        crowd = np.zeros((2, 0), np.int64)
+        if not stars:
+            many = mixed & (size > 3)
+            crowd = _joined(owner[np.repeat(many, size)], size[many])
+        both = np.concatenate([pairs, crowd], axis=1)
+        return pa.table({"a": both[0], "b": both[1], "crowd": np.arange(both.shape[1]) >= pairs.shape[1]})
 
     return (
-        nodes.select("least", "sig", "label").mapInArrow(emit, "bucket int, variants binary, owners binary, offsets binary")
-        .groupBy("bucket").applyInArrow(meet, "a long, b long, crowd binary").distinct()
+        nodes.select("node", "sig", "label").repartition(max(partitions(nodes), buckets // 8), "node")
+        .mapInArrow(emit, "bucket long, keys binary, counts binary, owners binary, offsets binary")
+        .groupBy("bucket").applyInArrow(meet, "a long, b long, crowd boolean")
     )
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, bounds: list[int]) -> DataFrame:
-    """(a, b, sure) of the pairs whose signatures differ in at most the second bound of bits; sure, in at most the first."""
+def _joined(owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows (member, least member of what overlapping crowds join) for crowds of `size` that stand in `owner` one after the other."""
+    if not len(owner):
+        return np.zeros((2, 0), np.int64)
+    names, at = np.unique(owner, return_inverse=True)
+    crowd, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    root = np.arange(len(names))
+    while True:
+        least = np.minimum.reduceat(root[at], first)
+        now = root.copy()
+        np.minimum.at(now, at, least[crowd])
+        now = now[now]
+        if (now == root).all():
+            return np.stack([names, names[root]])
+        root = now
+
+
+def _within(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in at most `most` bits."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            bits = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            near = pa.array(bits <= bounds[1])
-            yield pa.RecordBatch.from_arrays([c.filter(near) for c in (b.column(0), b.column(1), pa.array(bits <= bounds[0]))], names=["a", "b", "sure"])
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (2, 3))
+                near = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
 
-    left = nodes.select(F.col("least").alias("a"), F.col("sig").alias("x"))
-    right = nodes.select(F.col("least").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sure boolean")
+    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("y"))
+    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _crowded(crowds: DataFrame, nodes: DataFrame, bounds: list[int]) -> DataFrame:
-    """(a, b, sure) as of _compared() for all pairs of different labels within a crowd, but for sure ones that other sure ones imply.
+def _linked(members: DataFrame, texts: DataFrame, words: int, similarity: float, most: int) -> DataFrame:
+    """Links (a, b) that join all nodes of a block whose texts have this Jaccard similarity or more, classes taken as joined.
 
-    nodes: (least, sig, label). A crowd is compared in squares of _TILE by _TILE texts, which are
-    dealt out one by one; each text is sent once for every square it takes part in.
+    members: (node, block, sig, label, least), `least` the id of the node's text in `texts`. A block is dealt
+    out in tiles of _TILE nodes and _TILE_BYTES of shingle hashes, and each two tiles are a square.
     """
-    buckets = partitions(nodes) * 4
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            for first, some in batched(b.column(at).to_pylist(), _WORD_BLOCK):
+                h, bounds = shingle_sets(some, words)
+                sets = pa.array([h[a:z].tobytes() for a, z in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([sets if i == at else c.slice(first, len(some)) for i, c in enumerate(b.columns)], names=[*b.schema.names[:at], "set"])
+
+    members = cut(members)
+    n = members.count()
+    wanted = members.select(F.col("least").alias("id"), "node", "block", "label", "sig")
+    chosen = texts.join(F.broadcast(wanted.select("id")) if n <= _FEW_IDS else wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = cut(wanted.join(chosen, "id").select("node", "block", "label", "sig", "text").mapInArrow(shingles, "node long, block long, label long, sig binary, set binary"))
+    tiles = F.greatest(F.ceil(F.count("*") / F.lit(_TILE)), F.ceil(F.sum(F.octet_length("set")) / F.lit(_TILE_BYTES))).cast("long")
+    sizes = cut(sets.groupBy("block").agg(F.count("*").alias("n"), tiles.alias("tiles"), F.sum(F.octet_length("set")).alias("bytes")))
+    load = sizes.agg(F.sum(F.col("n") * F.col("tiles")).alias("n"), F.sum(F.col("bytes") * F.col("tiles")).alias("bytes")).first()
+    buckets = max(1, (load["n"] or 0) // _TILE, (load["bytes"] or 0) // _TILE_BYTES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for crowd in b.column(0):
-                ids = np.frombuffer(crowd.as_py(), "<i8")
-                name, tiles = xxhash.xxh64_intdigest(crowd.as_py(), SEED), range(0, len(ids), _TILE)
-                for i in tiles:
-                    for j in tiles[i // _TILE :]:
-                        some = ids[i : i + _TILE] if i == j else np.concatenate([ids[i : i + _TILE], ids[j : j + _TILE]])
-                        square = xxhash.xxh64_intdigest(b"%d %d %d" % (name, i, j), SEED)
-                        side = np.arange(len(some)) >= min(_TILE, len(ids) - i)
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, square % buckets, np.int32)), pa.array(np.full(n, square, np.uint64).view(np.int64)), pa.array(side), pa.array(some)],
-                            names=["bucket", "square", "side", "id"])
+            node, block, tile = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("node", "block", "tiles"))
+            mine = (_mixed(node.astype(np.uint64), 3) % tile.astype(np.uint64)).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), tile)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(tile) - tile, tile)
+            i, j = np.minimum(mine[row], other), np.maximum(mine[row], other)
+            square = _mixed(_mixed(block[row].astype(np.uint64), 4) + i.astype(np.uint64), 5) ^ _mixed(j.astype(np.uint64), 6)
+            cols = {"bucket": pa.array((square % np.uint64(buckets)).astype(np.int64)), "square": pa.array(square.view(np.int64)), "side": pa.array((mine[row] == j) & (i != j))}
+            for at in range(0, len(row), 1024):
+                some = pa.array(row[at : at + 1024])
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(at, 1024) for c in cols.values()), *(b.column(b.schema.get_field_index(c)).take(some) for c in ("node", "label", "sig", "set"))],
+                    names=[*cols, "node", "label", "sig", "set"])
 
     def compare(t: pa.Table) -> pa.Table:
-        square, side, ids, label = (t[c].to_numpy() for c in ("square", "side", "id", "label"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        order = np.lexsort((ids, side, square))
-        square, side, ids, label, sig = square[order], side[order], ids[order], label[order], sig[order]
-        known: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := known.get(x, x)) != x:
-                known[x] = x = known.get(up, up)
-            return x
-
-        sure, unsure = [], []
+        square, side, node, label = (t[c].to_numpy() for c in ("square", "side", "node", "label"))
+        order = np.lexsort((node, side, square))
+        square, side, node, label = square[order], side[order], node[order], label[order]
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u8").reshape(len(node), -1)[order]
+        held = t["set"].take(pa.array(order))
         first = np.flatnonzero(np.r_[True, square[1:] != square[:-1]]).tolist()
-        for a, z in zip(first, [*first[1:], len(ids)]):
-            if (label[a:z] == label[a]).all():
-                continue
-            middle = a + int(np.count_nonzero(~side[a:z]))
-            low = middle if middle < z else a
-            for x in range(a, middle):
-                y = np.arange(max(low, x + 1), z)
-                y = y[label[y] != label[x]]
-                bits = np.bitwise_count(sig[y] ^ sig[x]).sum(1, dtype=np.int64)
-                for k in y[bits <= bounds[0]].tolist():
-                    u, v = find(int(label[x])), find(int(label[k]))
-                    if u != v:
-                        known[max(u, v)] = min(u, v)
-                        sure.append((int(ids[x]), int(ids[k])))
-                unsure += [(int(ids[x]), int(ids[k]), int(label[x]), int(label[k])) for k in y[(bits > bounds[0]) & (bits <= bounds[1])].tolist()]
-        left = {(min(a, b), max(a, b)) for a, b, u, v in unsure if find(u) != find(v)}
-        rows = [*((a, b, True) for a, b in sure), *((a, b, False) for a, b in left)]
-        columns = zip(*rows) if rows else ((), (), ())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
+        out = []
+        for a, z in zip(first, [*first[1:], len(node)]):
+            out += _square(label[a:z], side[a:z], sig[a:z], held.slice(a, z - a), similarity, most, node[a:z])
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), ()))], names=["a", "b"])
 
     return (
-        crowds.mapInArrow(deal, "bucket int, square long, side boolean, id long")
-        .join(nodes.withColumnRenamed("least", "id"), "id").select("bucket", "square", "side", "id", "label", "sig")
-        .groupBy("bucket").applyInArrow(compare, "a long, b long, sure boolean").distinct()
+        left_join_by_size(sets, sizes.drop("bytes"), "block", "n", n)
+        .mapInArrow(deal, "bucket long, square long, side boolean, node long, label long, sig binary, set binary")
+        .groupBy("bucket").applyInArrow(compare, "a long, b long")
     )
 
 
-def _settled(met: DataFrame, stars: DataFrame | None, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, root) of the components that compared pairs make, together with those known before.
+def _square(label: np.ndarray, side: np.ndarray, sig: np.ndarray, sets: pa.ChunkedArray, similarity: float, most: int, node: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) of nodes of different labels: of one side with the other, or of all with all if there is one side.
 
-    Sure pairs link at once; of the others only those that this leaves apart are compared by their shingles.
+    Pairs are taken from the most similar by bits on, and those that links before join are passed over.
     """
-    edges = lambda s: s.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    sure = met.where("sure").select("a", "b")
-    linked = cut(components(sure if stars is None else sure.union(edges(stars))))
-    of_a, of_b = (linked.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in ("a", "b"))
-    apart = cut(
-        met.where("not sure").select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    )
-    return cut(components(edges(linked).union(_exactly(apart, texts, words, similarity))))
-
-
-def _exactly(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts of `docs` (id, text) whose shingle sets have this Jaccard similarity or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py() or "", words).tobytes() for t in b.column(1)], pa.binary())], names=["id", "set"])
-
-    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            near = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
-
-    sets = cut(docs.join(ids, "id").mapInArrow(shingles, "id long, set binary"))
-    left, right = (sets.select(F.col("id").alias(n), F.col("set").alias(v)) for n, v in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(jaccard, "a long, b long")
+    middle = int(np.count_nonzero(~side))
+    low = middle if middle < len(side) else 0
+    found = []
+    for x in range(middle if len(side) > 1 else 0):
+        y = np.arange(max(low, x + 1), len(side))
+        y = y[label[y] != label[x]]
+        bits = np.bitwise_count(sig[y] ^ sig[x]).sum(1, dtype=np.int64)
+        near = bits <= most
+        if near.any():
+            found.append(np.stack([np.full(int(near.sum()), x), y[near], bits[near]]))
+    if not found:
+        return []
+    x, y, bits = np.concatenate(found, axis=1)
+    order = np.argsort(bits, kind="stable")
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = v = root.get(up, up)
+        return v
+
+    out, known = [], {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = np.frombuffer(sets[i].as_py(), np.uint64)
+        return known[i]
+
+    for i, j in zip(x[order].tolist(), y[order].tolist()):
+        u, v = find(int(label[i])), find(int(label[j]))
+        if u == v:
+            continue
+        p, q = shingles(i), shingles(j)
+        if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+            continue
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        if both >= similarity * (len(p) + len(q) - both):
+            root[max(u, v)] = min(u, v)
+            out.append((int(node[i]), int(node[j])))
+    return out

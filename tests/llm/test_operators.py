@@ -93,6 +93,11 @@ def test_prefix_counts(docs, none):
     c = token_counts.PrefixCounter(PATH)
     for x in ["it's 're  ok\n\n x", "<|endoftext|>a <|endo", "Unbelievable  things", "x" * 40, "日本語 é", " \t a"]:
         assert c.counts_at_characters(x).tolist() == [count(x[: k + 1]) for k in range(len(x))]
+    mixed = ["a", " ", "  ", "\n", "\t", "'s", "'re", "'", "1", "..", "é", "<|endoftext|>", "<|", "日本", "🙂", " the", "word", "it's", "end"]
+    for x in ["".join(random.choice(mixed) for _ in range(random.randint(1, 14))) for _ in range(500)] + [" ..\n\né 'rewordit'sit's"]:
+        counts = [0] + [count(x[: k + 1]) for k in range(len(x))]
+        for limit in (0, 1, 2, 5):
+            assert c.count([x], limit)[0] == (counts[-1], len(x[: max(k for k, n in enumerate(counts) if n <= limit)].encode()))
     pieces = [bytes(random.choice(b"etaonishr") for _ in range(random.randint(1, 20))) for _ in range(400)]
     for p in pieces:
         assert c._together([p])[0][-1] == count(p.decode()) and list(c._together([p])[0]) == c.prefixes(p)
@@ -321,6 +326,66 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(df.limit(0), "i").count() == 0
 
 
+def test_shingle_sets_and_signatures():
+    """Hashes stand for shingles one for one, and signature bits are majorities over them."""
+    vocabulary = ["w%d" % i for i in range(30)] + ["A", "é", "日本", "x" * 70_000]
+    rng = random.Random(6)
+    texts = ["", "a", " a \n b ", "x " * 70_000] + [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    h, bounds = simhash.shingle_sets(texts, 5)
+    plain = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        plain.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    got = [set(h[a:z].tolist()) for a, z in zip(bounds, bounds[1:])]
+    for a in range(len(texts)):
+        for b in range(0, a + 1):
+            assert len(got[a] & got[b]) == len(plain[a] & plain[b])
+    many = np.arange(70_000, dtype=np.uint64)
+    sig = simhash.signatures(texts, 5, 128)
+    for i in (1, 10, 50):
+        for t in range(2):
+            ones = np.unpackbits(simhash._mixed(h[bounds[i] : bounds[i + 1]], t + 2).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+            assert np.packbits(2 * ones > bounds[i + 1] - bounds[i], bitorder="little").view("<u8")[0] == sig[i, t]
+    text = " ".join("u%d" % i for i in many)
+    h, bounds = simhash.shingle_sets([text], 5)
+    ones = np.unpackbits(simhash._mixed(h, 2).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    assert bounds[1] == 69_996 and np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0] == simhash.signatures([text], 5, 64)[0, 0]
+
+
+def test_similar_groups_reach_all_pairs(spark):
+    """Of all pairs of similarity 0.8 and more, found by comparing all with all, at least 0.95 link; strangers and texts apart don't."""
+    rng, texts = random.Random(12), []
+    for k in [3, 5, 6, 7] * 60:
+        w = ["v%d" % rng.randint(0, 4000) for _ in range(300)]
+        at = set(range(11, 11 + 8 * k, 8))
+        texts += [" ".join(w), " ".join("q%d" % rng.randint(0, 10**9) if i in at else x for i, x in enumerate(w))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, len(texts), 2)]
+    group = {r.id: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3), "i").collect()}
+    linked = [group[2 * i + 1] == 2 * i for i in range(len(alike))]
+    assert sum(alike) > 150 and not any(x and not a for x, a in zip(linked, alike))
+    assert sum(x for x, a in zip(linked, alike) if a) >= 0.95 * sum(alike)
+
+
+def test_similar_groups_of_long_and_repeated_texts(spark, monkeypatch):
+    """A crowd of copies in several tiles by bytes, a text of a million bytes among them, equal rows and ids of another type."""
+    monkeypatch.setattr(simhash, "_TILE_BYTES", 1 << 14)
+    rng = random.Random(7)
+    base = ["c%d" % rng.randint(0, 10**6) for _ in range(400)]
+    change = lambda: " ".join("z%d" % rng.randint(0, 10**9) if i in (rng.randint(0, 399),) else x for i, x in enumerate(base))
+    long = words(180_000)
+    texts = [change() for _ in range(40)] + [long, long + " end", words(50)]
+    df = spark.createDataFrame([(("k", i), t) for i, t in enumerate([*texts, texts[0]])], "i struct<a:string,b:long>, text string").repartition(3)
+    group = {r.id.b: (r.group.b, r.copies) for r in simhash.similar_groups(df, "i").collect()}
+    assert {g for i, (g, _) in group.items() if i < 40 or i == 43} == {0} and group[0][1] == 2 == group[43][1]
+    assert group[41][0] == 40 and group[42][0] == 42
+
+
+def test_crowds_that_overlap_hang_together():
+    got = simhash._joined(np.array([5, 6, 7, 8, 8, 9, 10, 11, 1, 2, 3, 4]), np.array([4, 4, 4]))
+    assert dict(got.T.tolist()) == {5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 10: 5, 11: 5, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_similar_groups_at_the_threshold(spark):
     """What links is similar by its shingles themselves, however close to 0.8."""
     rng = random.Random(8)
