@@ -83,7 +83,8 @@ def exact_dedup(
     when identical without the characters [\\x20\\x09-\\x0D]; of equal texts the row with the most
     code points in its original text stays, then the least id, then any one of fully equal rows.
 
-    With row_col, a unique long of each row, that column comes too and settles ties of equal ids.
+    With row_col, which tells rows apart and has any type with an order, that column comes too and
+    settles ties of equal ids; rows equal in it as well stay or go together.
 
     Null text counts as empty; a null id ranks last; an empty table gives no rows; other columns
     are ignored, so their names cannot clash. The broadcast filter takes bits_per_row bits a row
@@ -114,10 +115,10 @@ def exact_dedup(
     )
     maybe = cut(tested.filter("hit").drop("hit"))
     sure = tested.filter("not hit")
-    best = F.max(F.struct("n", (-F.coalesce("id", F.lit(_LAST))).alias("i"), (-F.col("row")).alias("r"), "id"))
+    best = F.max(F.struct("n", (-F.coalesce("id", F.lit(_LAST))).alias("i"), "row", "id"))
     groups = cut(
         maybe.groupBy("sha").agg(F.count("*").alias("size"), best.alias("best")).filter("size > 1")
-        .select("sha", "size", F.col("best.id").alias("keep"), (-F.col("best.r")).alias("keep_row"))
+        .select("sha", "size", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row"))
     )
     met = left_join_by_size(maybe, groups, "sha", "size", rows)
     alone = F.col("size").isNull()
