@@ -129,6 +129,8 @@ def encode_decode(
         for b in batches:
             for r in b.to_pylist():
                 keys = _strings(r["data"], r["lens"])
+                if len(known) > coder.limit:
+                    known.clear()
                 known.update(coder.encode_new(k for k in keys if k not in known))
                 found = [known[k] for k in keys]
                 lens = np.array([len(f) // 4 for f in found], "<u4").tobytes()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .words import DEFAULT_VOCABULARY, RankWordCoder, batched
+from .words import DEFAULT_VOCABULARY, batched, coder_for
 
 END_ID = 2
 
@@ -102,13 +102,13 @@ def pack(
 
     Null text counts as empty (END_ID alone); null and repeated ids are packed like others, each row
     by itself; an empty table gives no rows; other columns are ignored. Equal lengths are
-    interchangeable, so ties need no rule.
+    interchangeable, so ties need no rule. A very long text is encoded whole, in its task's memory.
     """
     fields = [(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * keep_ids
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = RankWordCoder.at(path)
+        coder = coder_for(path)
         end = END_ID.to_bytes(4, "little")
         for b in batches:
             names = b.column(0).to_pylist()
@@ -121,6 +121,7 @@ def pack(
                         rows.append((i, k, start, n, zlib.crc32(part)) + (part,) * keep_ids)
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*rows), fields)], names=[f[0] for f in fields])
+        coder.forget()
 
     made = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema))
     patterns = plan({r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity)

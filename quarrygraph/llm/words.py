@@ -25,6 +25,9 @@ _OTHER_WIDE = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" +
 _PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
+#: Words that a coder remembers, and the longest of them in characters.
+LIMIT = 200_000
+_LONG = 64
 
 
 def keys_of(segment: str) -> list[str]:
@@ -54,23 +57,30 @@ def word_of(key: str) -> str:
 class WordCoder:
     """Encodes words with the tokenizers library, each once while it is remembered.
 
-    `limit` bounds the words remembered; beyond it the table starts anew, which costs time only.
-    One coder lives in each Python worker for each vocabulary.
+    Words of up to _LONG characters are remembered, `limit` of them; beyond it the table starts
+    anew, which costs time only. One coder lives in each Python worker for each vocabulary, and
+    forget() empties it, as tasks do at their end.
     """
 
     _made: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = LIMIT) -> None:
+        self.path, self.limit, self.table = path, limit, {}
+        self.specials = self._load()
+        self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+
+    def _load(self) -> dict[str, bytes]:
+        """Special tokens' ids; makes what encodes words."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path = path
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(self.path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = {t.content: i.to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.limit, self.table = limit, {}
+        return {t.content: i.to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+
+    def forget(self) -> None:
+        self.table.clear()
 
     @classmethod
     def at(cls, path: str) -> WordCoder:
@@ -94,48 +104,37 @@ class WordCoder:
         """The ids of each text, as bytes; what an encode of the whole text gives."""
         if len(self.table) > self.limit:
             self.table.clear()
-        get, per, missing = self.table.get, [], set()
-        for text in texts:
-            doc = []
-            for i, part in enumerate(self.segments(text)):
-                if i % 2:
-                    doc.append((None, [self.specials[part]]))
-                    continue
-                keys = keys_of(part)
-                found = list(map(get, keys))
-                if None in found:
-                    missing.update(k for k, f in zip(keys, found) if f is None)
-                    doc.append((keys, None))
-                else:
-                    doc.append((None, found))
-            per.append(doc)
-        if missing:
-            self.table.update(self.encode_new(missing))
-        take = self.table.__getitem__
-        return [b"".join([b"".join(found if keys is None else map(take, keys)) for keys, found in doc]) for doc in per]
+        table = self.table
+        split = [[(part, None if i % 2 else keys_of(part)) for i, part in enumerate(self.segments(t))] for t in texts]
+        new = self.encode_new({k for doc in split for _, keys in doc for k in keys or () if k not in table})
+        out = [b"".join([self.specials[part] if keys is None else b"".join([table.get(k) or new[k] for k in keys]) for part, keys in doc]) for doc in split]
+        table.update((k, v) for k, v in new.items() if len(k) <= _LONG)
+        return out
 
 
 class RankWordCoder(WordCoder):
     """The same ids from the same vocabulary through its merge ranks, several times as fast.
 
-    Holds for byte-level vocabularies whose ids are merge ranks; the tests hold it against the
-    tokenizers library.
+    Holds for byte-level vocabularies whose ids follow their merges, as follows_merges() tells; the
+    tests hold it against the tokenizers library.
     """
 
-    _made: dict[str, WordCoder] = {}
+    _made: dict[str, RankWordCoder] = {}
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
-        super().__init__(path, limit)
+    def _load(self) -> dict[str, bytes]:
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+        with open(self.path, encoding="utf-8") as f:
+            file = json.load(f)
+        if not follows_merges(file):
+            raise ValueError(f"{self.path}: not a byte-level vocabulary whose ids follow its merges")
         to_byte = {c: b for b, c in enumerate(byte_characters())}
-        ranks = {bytes(to_byte[c] for c in piece): i for piece, i in vocabulary.items()}
-        self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
-        self._core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.ranks = {bytes(to_byte[c] for c in piece): i for piece, i in file["model"]["vocab"].items()}
+        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self._core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
         self._encode = self._core.encode_ordinary
         self.table = _Filling(self.encode_key)
+        return {t["content"]: t["id"].to_bytes(4, "little") for t in file["added_tokens"]}
 
     def encode_new(self, keys: Iterable[str]) -> dict[str, bytes]:
         return {k: self.encode_key(k) for k in keys}
@@ -154,17 +153,35 @@ class RankWordCoder(WordCoder):
 
 
 class _Filling(dict):
-    """A table that makes a missing entry itself."""
+    """A table that makes a missing entry itself, and keeps it unless its key is long."""
 
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= _LONG:
+            self[key] = value
         return value
 
 
+def follows_merges(file: dict) -> bool:
+    """Whether a vocabulary file is byte-level BPE as RankWordCoder takes it: every id is the place of a byte or of its merge, special tokens apart."""
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    vocabulary = model.get("vocab", {})
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not file.get("normalizer")
+    if not (plain and split and all(c in vocabulary for c in byte_characters())):
+        return False
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file.get("added_tokens", [])):
+        return False
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    made = [vocabulary.get(a + b, -1) for a, b in merges]
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    return sorted(made) == made and sorted([*made, *(vocabulary[c] for c in byte_characters())]) == sorted(i for c, i in vocabulary.items() if c not in special)
+
+
 def byte_characters() -> list[str]:
     """The character by which byte-level vocabularies write each byte: printable Latin-1 as itself, the rest from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -184,3 +201,13 @@ def batched(texts: list[str | None], limit: int = 4 << 20) -> Iterable[tuple[int
         size += len(t)
     if run:
         yield start, run
+
+
+def coder_for(path: str) -> WordCoder:
+    """This worker's coder of the vocabulary: through merge ranks where its ids follow them, else the library's."""
+    if path in RankWordCoder._made or path in WordCoder._made:
+        return RankWordCoder._made.get(path) or WordCoder._made[path]
+    try:
+        return RankWordCoder.at(path)
+    except ValueError:
+        return WordCoder.at(path)
