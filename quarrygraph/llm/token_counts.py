@@ -10,7 +10,9 @@ budgets are answered from these tables without encoding anything again.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from operator import itemgetter
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import _PATTERN, DEFAULT_VOCABULARY, RankWordCoder, batched, keys_of, word_of
+from .words import _LONG, _PATTERN, DEFAULT_VOCABULARY, LIMIT, RankWordCoder, batched, keys_of, word_of
 
 
 #: Words of up to so many bytes take the pass together, one column of bytes at a time.
@@ -35,7 +37,7 @@ class PrefixCounter(RankWordCoder):
 
     _made: dict[str, PrefixCounter] = {}
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = LIMIT) -> None:
         super().__init__(path, limit)
         self.table, self._parts = {}, {}
         self._longest = max(map(len, self.ranks))
@@ -129,6 +131,10 @@ class PrefixCounter(RankWordCoder):
         joined = np.ascontiguousarray(count[:, 1:]).tobytes()
         return [joined[i : i + size] for i in range(0, n * size, size)]
 
+    def forget(self) -> None:
+        self.table.clear()
+        self._parts.clear()
+
     def prefixes(self, piece: bytes) -> list[int]:
         """Tokens in each prefix of a word that the split pattern leaves whole, from 1 byte to all."""
         known = self._parts.get(piece)
@@ -200,30 +206,38 @@ class PrefixCounter(RankWordCoder):
             for _, keys in doc:
                 if keys is not None:
                     new.update(keys)
-        table.update(self.encode_new([k for k in new if k not in table]))
-        return [self._cut(text, doc, limit) for text, doc in zip(texts, split)]
+        new.difference_update(table)
+        table.update(self.encode_new(new))
+        out = [self._cut(text, doc, limit) for text, doc in zip(texts, split)]
+        for k in new:
+            if len(k) > _LONG:
+                del table[k]
+        return out
 
     def _cut(self, text: str, doc: list[tuple[str, list[str] | None]], limit: int) -> tuple[int, int]:
+        """Up to the word that passes the limit, prefixes that end with a word fit; those after it are counted one by one.
+
+        A prefix that ends in a word has more tokens than the text up to the word before the last,
+        so two words further none fits any more.
+        """
         get = self.table.__getitem__
         total = int(sum([1 if keys is None else sum(map(_LAST_COUNT, map(get, keys))) for _, keys in doc]))
         if total <= limit:
             return total, len(text.encode())
-        left, at = limit, 0
-        for part, keys in doc:
-            if keys is None:
-                if not left:
-                    break
-                left, at = left - 1, at + len(part.encode())
-                continue
-            for w in map(get, keys):
-                if w[-1] > left:
-                    at += max((i for i in range(1, len(w) + 1) if w[i - 1] <= left), default=0)
-                    break
-                left, at = left - int(w[-1]), at + len(w)
-            else:
-                continue
-            break
-        return total, len(text.encode()[:at].decode("utf-8", "ignore").encode())
+        words = ((part, 1) if keys is None else (word_of(k), int(get(k)[-1])) for part, keys in doc for k in (keys if keys is not None else [part]))
+        near, done, at = deque(), 0, 0
+        for w, n in words:
+            if done + n > limit:
+                break
+            near.append((w, n))
+            done, at = done + n, at + len(w.encode())
+            if len(near) > 3:
+                near.popleft()
+        before = "".join([x for x, _ in near])
+        tail = "".join([before, w, *(x for x, _ in islice(words, 2))])
+        counts = self.counts_at_characters(tail)[len(before) :] + (done - sum(n for _, n in near))
+        fits = np.flatnonzero(counts <= limit)
+        return total, at + len(tail[len(before) : len(before) + (int(fits[-1]) + 1 if len(fits) else 0)].encode())
 
     def counts_at_characters(self, text: str) -> np.ndarray:
         """The token count of text[:i] for i from 1 to len(text), as an encode of each prefix gives it.
@@ -274,7 +288,9 @@ def token_counts(
     Counts are those of the tokenizers library without added special tokens.
 
     Null text counts as empty (0 tokens); null and repeated ids keep a row each; an empty table
-    gives no rows; other columns are ignored. No shuffle takes place.
+    gives no rows; other columns are ignored. A very long text is counted whole, in its task's
+    memory. `path` must hold a byte-level vocabulary whose ids follow its merges; any other is
+    refused. No shuffle takes place.
     """
     schema = f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long" + ", prefix_counts array<long>" * every_prefix
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
@@ -291,6 +307,7 @@ def token_counts(
                     row = (i, size, n, n > limit, fits)
                     rows.append((*row, coder.counts_at_characters(text).tolist()) if every_prefix else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        coder.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, schema)
 
