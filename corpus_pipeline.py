@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as
 the next stage's docs; all but the last return the columns of `documents`. Rows are told apart by
-their place in the table a stage reads, so null and repeated ids are documents like others.
+all their columns, so null and repeated ids are documents like others.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrygraph.llm.common import cut
 from quarrygraph.llm.exact_dedup import exact_dedup
 from quarrygraph.llm.packing import pack
 from quarrygraph.llm.quality import DEFAULT_POLICY, fails, ledger
@@ -29,18 +30,42 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return ledger(docs.select(*COLUMNS)).filter(~fails(DEFAULT_POLICY)).select(*COLUMNS)
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """`docs` with _row, 128 bits of hash over all columns: the same however a scan deals out the rows."""
+    parts = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
+    return docs.select(*COLUMNS, F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b")).alias("_row"))
+
+
+def _without(rows: DataFrame, dropped: DataFrame, kept: DataFrame) -> DataFrame:
+    """`rows` but for the _row of `dropped`, and one of each set of equal rows; `kept` has the _row of all rows that may have equals."""
+    rest = rows.join(dropped.select("_row"), "_row", "left_anti")
+    several = cut(kept.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"))
+    if several.isEmpty():
+        return rest.select(*COLUMNS)
+    alone = rest.join(several, "_row", "left_anti")
+    return alone.union(rest.join(several, "_row", "left_semi").select(*alone.columns).dropDuplicates(["_row"])).select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of texts that are equal but for white space: the longest, then the least id."""
-    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
-    dropped = exact_dedup(rows, row_col="_row").filter("not kept").select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
+    """One document of each set of texts that are equal but for white space: the longest, then the least id.
+
+    Null text counts as empty, so all empty texts are one set; a null id comes last; of rows equal in all
+    columns one stays; an empty table gives no rows.
+    """
+    rows = _told_apart(docs)
+    met = exact_dedup(rows, row_col="_row").filter("group_size > 1")
+    return _without(rows, met.filter("not kept"), met.filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similarity 0.8 or more in five-word shingles links: the first in the table."""
-    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
-    dropped = similar_groups(rows, "_row").filter("id <> group").select(F.col("id").alias("_row"))
-    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
+    """One document of each group that similarity 0.8 or more in five-word shingles links: the least by a hash of its columns.
+
+    Null text counts as empty, and texts without a word are one group; ids play no part; of rows equal in
+    all columns one stays; an empty table gives no rows.
+    """
+    rows = _told_apart(docs)
+    found = similar_groups(rows, "_row").withColumnRenamed("id", "_row")
+    return _without(rows, found.filter("_row <> group"), found.filter("copies > 1 and _row = group"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
