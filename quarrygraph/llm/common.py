@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, shared_folder  # noqa: F401
+
 #: A key with more than this share of the rows is joined by broadcast: at most 1 / share keys can have it.
 HEAVY_SHARE = 0.001
+#: A table of counted rows, each of some 200 bytes at most, is broadcast up to this many; beyond it joins shuffle.
+FEW = 1 << 16
+#: So many edges are joined up in one task; more go through rounds of joins.
+ALONE = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the copy.
-
-    The cluster names the folder in spark.checkpoint.dir. Where that is unset (tests),
-    a temporary folder of this machine stands in for it.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if rows <= FEW else df
 
 
 def partitions(df: DataFrame) -> int:
@@ -52,17 +52,20 @@ def left_join_by_size(left: DataFrame, groups: DataFrame, key: str, size: str, r
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b: long); returns (node, root), root the least node reachable.
 
-    Alternating star contraction: each round first hangs every larger neighbour of a node on
-    the least one, then every smaller neighbour. Edge counts never grow, paths shrink to stars
-    in O(log^2 n) rounds, and each round is one pair of aggregations and joins whose hot nodes
-    adaptive execution splits. Rounds end when the edges no longer change. Self-loops are kept
-    out; a node without an edge has no row.
+    Up to ALONE distinct edges are joined up in one task. More go through alternating star
+    contraction: each round first hangs every larger neighbour of a node on the least one, then
+    every smaller neighbour. Edge counts never grow, paths shrink to stars in O(log^2 n) rounds, and
+    each round is one pair of aggregations and joins whose hot nodes adaptive execution splits.
+    Rounds end when the edges no longer change. Self-loops are kept out; a node without an edge has
+    no row. The result is written to the checkpoint folder.
     """
     e = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .filter("u <> v")
         .distinct()
     )
+    if e.count() <= ALONE:
+        return cut(e.repartition(1).mapInArrow(_joined_up, "node long, root long"))
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -84,11 +87,32 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+            return cut(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            ))
         before = now
 
 
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the components of all edges (u, v) of a task: labels sink to the least until none moves."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    u, v = (np.concatenate(c) for c in zip(*got))
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        now = root.copy()
+        np.minimum.at(now, u, root[v])
+        np.minimum.at(now, v, root[u])
+        np.minimum.at(now, root, now.copy())
+        now = now[now]
+        if (now == root).all():
+            break
+        root = now
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "root"])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, left_join_by_size, partitions, table
+from .common import FEW, components, cut, few, left_join_by_size, partitions, table
 from .words import batched
 
 SEED = 42
@@ -124,8 +124,6 @@ _EMIT = 1 << 20
 #: Texts of a block that are compared with as many at once, and bytes of their shingle hashes.
 _TILE = 4096
 _TILE_BYTES = 24 << 20
-#: Ids sent to every task for picking their texts from a scan; more go through a shuffle.
-_FEW_IDS = 1 << 18
 #: Words longer than this are hashed alone, blocks of words up to this many bytes together.
 _LONG_WORD = 1 << 16
 _WORD_BLOCK = 1 << 20
@@ -280,27 +278,31 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words:
 
     signed = cut(texts.mapInArrow(sign, f"id {kind}, sig binary"))
     distinct = cut(signed.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()))
-    nodes = distinct.select("node", "sig")
     low, high = (bits_apart(similarity, signatures([], words, tables * bits).shape[1] * 64, d) for d in (-4, 4))
     shape = (tables, bits)
 
-    equal = _meeting(nodes.withColumn("label", F.col("node")), rows, *shape, [0], True).where("not crowd")
+    equal = _meeting(distinct.withColumn("label", F.col("node")), rows, *shape, [0], True).where("not crowd")
     partner = F.explode(F.array_distinct(F.array(F.min("a"), F.max("a"))))
-    sure = _within(equal.groupBy("b").agg(partner.alias("a")), nodes, low)
-    classes = cut(components(sure))
-    labelled = nodes.join(classes, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label"))
+    classes = components(_within(equal.groupBy("b").agg(partner.alias("a")).select("a", "b"), distinct, low))
+    labelled = distinct.join(few(classes, classes.count()), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     met = cut(_meeting(labelled, rows, *shape, [0, *(1 << i for i in range(bits))], False))
-    pairs = _within(met.where("not crowd").select("a", "b"), nodes, high)
-    roots = met.where("crowd").select("a", "b")
-    least = roots.groupBy("a").agg(F.collect_set("b").alias("of")).select("a", F.explode(F.array_append("of", F.col("a"))).alias("b"), F.array_min("of").alias("to"))
-    blocks = components(pairs.union(least.select(F.col("b").alias("a"), F.col("to").alias("b"))))
-    members = blocks.withColumnRenamed("root", "block").join(labelled, "node").join(distinct.select("node", "least"), "node")
-    links = _linked(members, texts, words, similarity, high)
+    pairs = _within(met.where("not crowd").select("a", "b").distinct(), distinct, high)
+    joined = met.where("crowd").groupBy("a").agg(F.collect_set("b").alias("of"))
+    crowds = joined.select(F.explode(F.array_append("of", F.col("a"))).alias("a"), F.array_min("of").alias("b"))
+    blocks = components(pairs.union(crowds))
+    links = _linked(labelled.join(few(blocks, blocks.count()).withColumnRenamed("root", "block"), "node"), texts, words, similarity, high)
     found = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
-    of = cut(distinct.join(found, "node", "left").select("sig", "size", "least", F.coalesce("root", "node").alias("root")))
+    n = found.count()
+    of = cut(distinct.join(few(found, n), "node").select("node", "least", "root"))
     firsts = cut(of.groupBy("root").agg(F.min("least").alias("group"), F.count("*").alias("nodes")))
-    grouped = cut(left_join_by_size(of.select("sig", "size", "root"), firsts, "root", "nodes", rows).select("sig", "size", "group"))
-    return left_join_by_size(signed, grouped, "sig", "size", rows).select("id", "group", F.col("size").alias("copies"))
+    named = of.join(F.broadcast(firsts), "root") if n <= FEW else left_join_by_size(of, firsts, "root", "nodes", n)
+    groups = cut(distinct.join(few(named.select("node", "group"), n), "node", "left").select("sig", "size", "least", F.coalesce("group", "least").alias("group")))
+    several = groups.where("size > 1 or group <> least")
+    if several.count() <= FEW:
+        out = signed.join(F.broadcast(several), "sig", "left")
+    else:
+        out = left_join_by_size(signed, groups, "sig", "size", rows)
+    return out.select("id", F.coalesce("group", "id").alias("group"), F.coalesce("size", F.lit(1)).cast("long").alias("copies"))
 
 
 def _variants(sig: np.ndarray, tables: int, bits: int, flips: np.ndarray) -> np.ndarray:
@@ -413,7 +415,7 @@ def _joined(owner: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _within(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most `most` bits."""
+    """The pairs (a, b), each given once, whose signatures differ in at most `most` bits."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -422,9 +424,12 @@ def _within(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
                 near = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
 
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("y"))
-    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    pairs = cut(pairs)
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    n = ends.count()
+    some = nodes.join(few(ends, n), "node", "left_semi")
+    left, right = (few(some.select(F.col("node").alias(k), F.col("sig").alias(v)), n) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def _linked(members: DataFrame, texts: DataFrame, words: int, similarity: float, most: int) -> DataFrame:
@@ -444,9 +449,9 @@ def _linked(members: DataFrame, texts: DataFrame, words: int, similarity: float,
 
     members = cut(members)
     n = members.count()
-    wanted = members.select(F.col("least").alias("id"), "node", "block", "label", "sig")
-    chosen = texts.join(F.broadcast(wanted.select("id")) if n <= _FEW_IDS else wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = cut(wanted.join(chosen, "id").select("node", "block", "label", "sig", "text").mapInArrow(shingles, "node long, block long, label long, sig binary, set binary"))
+    wanted = few(members.select(F.col("least").alias("id"), "node", "block", "label", "sig"), n)
+    chosen = texts.join(few(members.select(F.col("least").alias("id")), n), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    sets = cut(chosen.join(wanted, "id").select("node", "block", "label", "sig", "text").mapInArrow(shingles, "node long, block long, label long, sig binary, set binary"))
     tiles = F.greatest(F.ceil(F.count("*") / F.lit(_TILE)), F.ceil(F.sum(F.octet_length("set")) / F.lit(_TILE_BYTES))).cast("long")
     sizes = cut(sets.groupBy("block").agg(F.count("*").alias("n"), tiles.alias("tiles"), F.sum(F.octet_length("set")).alias("bytes")))
     load = sizes.agg(F.sum(F.col("n") * F.col("tiles")).alias("n"), F.sum(F.col("bytes") * F.col("tiles")).alias("bytes")).first()
