@@ -7,14 +7,13 @@ all their columns, so null and repeated ids are documents like others.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import cut
+from quarrygraph.llm.common import cut, few, shared_folder
 from quarrygraph.llm.exact_dedup import exact_dedup
 from quarrygraph.llm.packing import pack
 from quarrygraph.llm.quality import DEFAULT_POLICY, fails, ledger
@@ -38,12 +37,14 @@ def _told_apart(docs: DataFrame) -> DataFrame:
 
 def _without(rows: DataFrame, dropped: DataFrame, kept: DataFrame) -> DataFrame:
     """`rows` but for the _row of `dropped`, and one of each set of equal rows; `kept` has the _row of all rows that may have equals."""
-    rest = rows.join(dropped.select("_row"), "_row", "left_anti")
+    gone = cut(dropped.select("_row").distinct())
+    rest = rows.join(few(gone, gone.count()), "_row", "left_anti")
     several = cut(kept.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"))
-    if several.isEmpty():
+    n = several.count()
+    if not n:
         return rest.select(*COLUMNS)
-    alone = rest.join(several, "_row", "left_anti")
-    return alone.union(rest.join(several, "_row", "left_semi").select(*alone.columns).dropDuplicates(["_row"])).select(*COLUMNS)
+    alone = rest.join(few(several, n), "_row", "left_anti")
+    return alone.union(rest.join(few(several, n), "_row", "left_semi").select(*alone.columns).dropDuplicates(["_row"])).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,8 +95,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all of `documents`, each stage written to the shared folder and read again."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    place = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
