@@ -107,7 +107,7 @@ def format_conversations(
     Turns come in the order of turn_col, nulls first; turns of equal number come by role, then
     content, and repeated rows each count. Null text counts as empty, a null role as the empty
     role; rows of null conv_id make one conversation; an empty table gives no rows; other columns
-    are ignored. A conversation is one string, so its turns meet in one row.
+    are ignored. A conversation is one string, so its turns, however long, meet in one row.
     """
     grouped = turns.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(
         F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(content_col).alias("content")))).alias("turns"))
@@ -130,7 +130,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     Returns conv_id, n_turns, turns_sha256 (of role, line feed, text, line feed per turn), loss_chars,
     loss_sha256 (of the text under the mask, unescaped) and formatted_chars. An empty table gives no
-    rows; an empty mask has 0 characters and the digest of the empty string.
+    rows; a null string or mask counts as empty, and an empty mask has 0 characters and the digest of
+    the empty string; a null conv_id and repeated rows stay.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -139,7 +140,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for conv, text, mask in zip(*(b.column(i) for i in range(3))):
-                text, mask = text.as_py(), mask.as_py()
+                text, mask = text.as_py() or "", mask.as_py() or []
                 turns = read_turns(text)
                 loss = "".join(unescape(text[m["start"] : m["end"]]) for m in mask)
                 said = "".join(f"{r}\n{t}\n" for r, t in turns)

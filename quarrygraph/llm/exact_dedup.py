@@ -87,7 +87,8 @@ def exact_dedup(
     settles ties of equal ids; rows equal in it as well stay or go together.
 
     Null text counts as empty; a null id ranks last; an empty table gives no rows; other columns
-    are ignored, so their names cannot clash. The broadcast filter takes bits_per_row bits a row
+    are ignored, so their names cannot clash. A very long text is hashed where it is read and never
+    shuffles. The broadcast filter takes bits_per_row bits a row
     and never more than max_filter_bytes: with more rows than that holds, more of them shuffle
     (a digest of some 60 bytes, never the text) and the result stays exact.
     """

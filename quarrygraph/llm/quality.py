@@ -103,7 +103,8 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the struct _m of measurements and the long _bits of the rules that failed.
 
     Null and empty texts fail few_words. A column of `docs` named _m or _bits is replaced; any
-    other stays as it is. Rows are kept one for one, so repeated rows and ties need no rule.
+    other stays as it is. Rows are kept one for one, so repeated rows and ties need no rule, and an
+    empty table gives no rows. A very long text is one row of one task, with its words as an array.
     """
     m = lambda name: F.col(f"_m.{name}")
     bits = F.lit(0).cast("long")

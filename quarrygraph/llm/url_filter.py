@@ -120,8 +120,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     A null URL has empty host and path, no rule and score 0. Without examples of both kinds the
     models say nothing and URLs without a rule are allowed. Null and repeated ids keep a row each;
-    an empty table gives no rows; other columns are ignored. Of equally good thresholds the
-    lowest, which allows most, is taken.
+    an empty table gives no rows; other columns are ignored. A very long URL is a row a character.
+    Of equally good thresholds the lowest, which allows most, is taken.
     """
     spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))

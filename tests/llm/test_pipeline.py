@@ -54,6 +54,51 @@ def test_empty_and_null(spark):
         assert stage(spark, odd, "").count() <= 3
 
 
+def test_odd_rows_by_stage(spark):
+    """Rows that are equal in all columns leave one; a null text is an empty one; what no rule speaks against stays."""
+    clean = words(120)
+    rows = [(None, clean, None, None, None), (None, clean, None, None, None), (5, None, "en", None, None), (5, None, "en", None, None), (6, "", None, "s", 0), (7, words(100), None, None, None)]
+    odd = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    stage = dict(corpus_pipeline.STAGES)
+    got = lambda name: sorted(((r.doc_id, r.text) for r in stage[name](spark, odd, "").collect()), key=repr)
+    rest = rows[5][1]
+    assert got("quality_rules") == sorted([(None, clean), (None, clean), (7, rest)], key=repr)
+    assert got("exact_dedup") == sorted([(None, clean), (5, None), (7, rest)], key=repr)
+    near = got("simhash_near_dedup")
+    assert len(near) == 3 and (None, clean) in near and (7, rest) in near
+    assert got("suffix_array_dedup") == sorted([(None, clean), (None, clean), (5, ""), (5, ""), (6, ""), (7, rest)], key=repr)
+    assert stage["best_fit_packing"](spark, odd, "").count() == 6
+
+
+def test_rows_dropped_do_not_depend_on_splits(spark, folder, monkeypatch):
+    """Files are split anew between the jobs of a stage; each row is judged as before."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    docs.repartition(1).sortWithinPartitions("doc_id").write.option("parquet.block.size", 4096).mode("overwrite").parquet(f"{folder}/one")
+    want = {}
+    for name in ("exact_dedup", "simhash_near_dedup"):
+        want[name] = sorted(map(tuple, dict(corpus_pipeline.STAGES)[name](spark, docs, "").collect()), key=repr)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sizes = iter(["2k", "128m", "512", "64m", "1k"] * 200)
+    plain = corpus_pipeline.cut
+
+    def cut(df):
+        out = plain(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    from quarrygraph.llm import common, exact_dedup, simhash
+
+    for module in (corpus_pipeline, common, exact_dedup, simhash):
+        monkeypatch.setattr(module, "cut", cut)
+    try:
+        for name in want:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+            got = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{folder}/one"), "")
+            assert sorted(map(tuple, got.collect()), key=repr) == want[name]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "simhash_near_dedup", "suffix_array_dedup", "best_fit_packing"]
     assert corpus_pipeline.ORACLE_SQL is None
