@@ -3,9 +3,10 @@
 Documents are taken in chunks of about `chunk_bytes` of text. A first pass splits each chunk into
 words and sends the chunk's distinct words, packed, to buckets by word hash. A bucket sees all
 occurrences of its words and encodes each distinct word once, then returns their ids to the
-chunks. There ids join the words by position, and an id-to-piece table turns ids back to text.
-No stage holds more than a chunk or a bucket's distinct words, and only distinct words of a
-chunk, not occurrences, shuffle.
+chunks. There ids join the words by position. For decoding, the distinct ids of each chunk are
+joined to the table of pieces, and the chunk puts the pieces that come back in the order of its
+ids. No stage holds more than a chunk, the vocabulary and a bounded table of words, and only
+distinct words and ids of a chunk, not occurrences, shuffle.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
-from .words import DEFAULT_VOCABULARY, WordCoder, byte_characters, keys_of
+from .common import cut, partitions, table
+from .words import _LONG, DEFAULT_VOCABULARY, WordCoder, byte_characters, keys_of
 
 _LINK = "chunk string, bucket int, kind int, ids array<long>, lens binary, data binary"
+#: Bytes that a row counts for beside its text, so that empty texts fill a chunk, too.
+_ROW = 64
 _DIFFERS = "a chunk differs between two scans of the documents"
 _ARROW = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("data", pa.binary())])
 
@@ -38,14 +42,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str
     ids, texts, size = [], [], 0
     name = lambda: hashlib.blake2b(b"".join([repr((i, len(t))).encode() + t.encode() for i, t in zip(ids, texts)]), digest_size=16).hexdigest()
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            t = t.as_py() or ""
-            if texts and size + len(t) > limit:
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+        for i, t, n in zip(b.column(0).to_pylist(), b.column(1), sizes):
+            if texts and size + n + _ROW > limit:
                 yield name(), ids, texts
                 ids, texts, size = [], [], 0
             ids.append(i)
-            texts.append(t)
-            size += len(t)
+            texts.append(t.as_py() or "")
+            size += n + _ROW
     if texts:
         yield name(), ids, texts
 
@@ -90,9 +94,19 @@ def piece_table(path: str) -> list[bytes]:
     return out
 
 
-def decode(ids: bytes, pieces: list[bytes]) -> str:
-    """The text of little-endian 32-bit ids, special tokens kept; bytes that aren't UTF-8 are replaced."""
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+def pieces_of(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece: binary) of every id of the vocabulary."""
+    table = pa.table({"id": pa.array(range(len(pieces := piece_table(path))), pa.int32()), "piece": pa.array(pieces, pa.binary())})
+    return spark.createDataFrame(table)
+
+
+def joined_pieces(ids: DataFrame, path: str) -> DataFrame:
+    """`ids` (chunk, id: int, each once) joined to their pieces: (chunk, used: ids, pieces) in one order, a row a chunk.
+
+    The table of pieces is as large as the vocabulary, whatever the corpus, and so is a chunk's part of it.
+    """
+    met = ids.join(F.broadcast(pieces_of(ids.sparkSession, path)), "id")
+    return met.groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("p")).select("chunk", F.col("p.id").alias("used"), F.col("p.piece").alias("pieces"))
 
 
 def encode_decode(
@@ -110,7 +124,8 @@ def encode_decode(
     `path` without added special tokens; special strings inside a text are found as its default.
 
     Null text counts as empty (no tokens); null and repeated ids keep a row each; an empty table
-    gives no rows; other columns are ignored. A text longer than chunk_bytes is a chunk of its own.
+    gives no rows; other columns are ignored. A very long text, of more than chunk_bytes, is a chunk
+    of its own in one task.
     `docs` is scanned twice and must give the same partitions both times, as a table does;
     a chunk that differs between the scans raises an error.
     """
@@ -121,7 +136,7 @@ def encode_decode(
         coder = WordCoder.at(path)
         for name, _, texts in _chunks(batches, chunk_bytes):
             for bucket, keys in enumerate(_distinct(coder, texts, buckets)):
-                if keys:
+                if keys or not bucket:
                     yield _row(chunk=name, bucket=bucket, kind=1, **_packed(keys))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +146,12 @@ def encode_decode(
                 keys = _strings(r["data"], r["lens"])
                 if len(known) > coder.limit:
                     known.clear()
-                known.update(coder.encode_new(k for k in keys if k not in known))
-                found = [known[k] for k in keys]
+                new = coder.encode_new(k for k in keys if k not in known)
+                found = [known.get(k) or new[k] for k in keys]
+                known.update((k, v) for k, v in new.items() if len(k) <= _LONG)
+                joined = b"".join(found)
                 lens = np.array([len(f) // 4 for f in found], "<u4").tobytes()
-                yield _row(chunk=r["chunk"], bucket=r["bucket"], kind=2, lens=zstandard.compress(lens), data=zstandard.compress(b"".join(found)))
+                yield _row(chunk=r["chunk"], bucket=r["bucket"], kind=2, ids=np.unique(np.frombuffer(joined, "<u4")).tolist(), lens=zstandard.compress(lens), data=zstandard.compress(joined))
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, texts in _chunks(batches, chunk_bytes):
@@ -145,8 +162,11 @@ def encode_decode(
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def finish(t: pa.Table) -> pa.Table:
-        coder, pieces = WordCoder.at(path), _pieces(path)
-        rows = t.to_pylist()
+        coder, pieces = WordCoder.at(path), {}
+        for r in t.filter(pc.equal(t["kind"], 3)).to_pylist():
+            ends = np.cumsum(np.frombuffer(r["lens"], "<u4")).tolist()
+            pieces |= {i: r["data"][z - n : z] for i, n, z in zip(r["ids"], np.frombuffer(r["lens"], "<u4").tolist(), ends)}
+        rows = t.filter(pc.not_equal(t["kind"], 3)).to_pylist()
         doc = [r for r in rows if r["kind"] == 0]
         coded = {r["bucket"]: r for r in rows if r["kind"] == 2}
         if not doc:
@@ -160,26 +180,34 @@ def encode_decode(
             ids, at = zstandard.decompress(coded[bucket]["data"]), 0
             for k, n in zip(keys, np.frombuffer(zstandard.decompress(coded[bucket]["lens"]), "<u4").tolist(), strict=True):
                 known[k] = ids[at : (at := at + 4 * n)]
-        get, cols = known.__getitem__, [[] for _ in names]
+        get, piece, cols = known.__getitem__, pieces.__getitem__, [[] for _ in names]
         for i, text in zip(doc[0]["ids"] * len(doc), texts * len(doc)):
             ids = b"".join([b"".join(map(get, keys_of(p))) if n % 2 == 0 else coder.specials[p] for n, p in enumerate(coder.segments(text))])
-            back = decode(ids, pieces)
+            back = b"".join(map(piece, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
             for c, v in zip(cols, (i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), ids, back)):
                 c.append(v)
         return pa.table([pa.array(c, k) for c, k in zip(cols, types)], names=names)
 
-    coded = source.mapInArrow(words, _LINK).repartition(buckets, "bucket").mapInArrow(encode, _LINK)
-    both = coded.unionByName(source.mapInArrow(texts_of, _LINK))
+    coded = cut(source.mapInArrow(words, _LINK).repartition(buckets, "bucket").mapInArrow(encode, _LINK))
+    specials = F.array(*[F.lit(i) for i in special_ids(path)]).cast("array<int>")
+    used = coded.select("chunk", F.explode(F.col("ids").cast("array<int>")).alias("id")).union(coded.select("chunk", F.explode(specials).alias("id"))).distinct()
+    found = joined_pieces(used, path).select(
+        "chunk", F.lit(None).cast("int").alias("bucket"), F.lit(3).alias("kind"), F.col("used").cast("array<long>").alias("ids"),
+        F.col("pieces"),
+    )
+    both = coded.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(found.mapInArrow(_flat, _LINK)).unionByName(source.mapInArrow(texts_of, _LINK))
     return both.groupBy("chunk").applyInArrow(finish, out_schema)
 
 
-_PIECES: dict[str, list[bytes]] = {}
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (chunk, bucket, kind, ids, pieces) with the pieces one behind the other."""
+    for b in batches:
+        for r in b.to_pylist():
+            yield _row(chunk=r["chunk"], kind=r["kind"], ids=r["ids"], lens=np.array([len(p) for p in r["pieces"]], "<u4").tobytes(), data=b"".join(r["pieces"]))
 
 
-def _pieces(path: str) -> list[bytes]:
-    if path not in _PIECES:
-        _PIECES[path] = piece_table(path)
-    return _PIECES[path]
+def special_ids(path: str) -> list[int]:
+    return [int.from_bytes(i, "little") for i in WordCoder.at(path).specials.values()]
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
