@@ -44,6 +44,8 @@ GRAM = 32
 #: A gram with so many occurrences, and a thousandth of all, is common: its strings are dealt by their parts.
 COMMON = 4096
 COMMON_SHARE = 0.001
+#: Anchors that a bucket gets on average.
+BUCKET = 1 << 17
 _LAST = 2**63 - 1
 _RUN = 1 << 20
 _PLACE = 22
@@ -178,8 +180,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
         yield ids, keys, texts
 
 
-def common_grams(docs: DataFrame, length: int) -> np.ndarray:
-    """Hashes of grams that anchor COMMON windows or more and COMMON_SHARE of all, so 1 / COMMON_SHARE at most."""
+def common_grams(docs: DataFrame, length: int) -> tuple[np.ndarray, int]:
+    """Hashes of grams that anchor COMMON windows or more and half of COMMON_SHARE of all, so 2 / COMMON_SHARE at most, and how many anchors there are."""
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -194,8 +196,8 @@ def common_grams(docs: DataFrame, length: int) -> np.ndarray:
 
     found = cut(docs.mapInArrow(frequent, "gram long, n long, total long"))
     total = found.agg(F.sum("total")).first()[0] or 0
-    most = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(COMMON, total * COMMON_SHARE / 2)).orderBy(F.desc("n"), "gram").limit(int(1 / COMMON_SHARE))
-    return np.sort(np.array([r["gram"] for r in most.collect()], np.int64).view(np.uint64))
+    most = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(COMMON, total * COMMON_SHARE / 2)).select("gram")
+    return np.sort(np.array([r["gram"] for r in most.collect()], np.int64).view(np.uint64)), total
 
 
 def _parts(side: int, pieces: int) -> list[tuple[int, int]]:
@@ -207,8 +209,8 @@ def _parts(side: int, pieces: int) -> list[tuple[int, int]]:
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, key, starts, ends) of the bytes to remove from each text of `docs` (id, key, text) that loses any."""
     side = length - GRAM
-    buckets = partitions(docs) * 4
-    common = common_grams(docs, length)
+    common, total = common_grams(docs, length)
+    buckets = max(partitions(docs), total // BUCKET)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, settled = [], []
@@ -396,7 +398,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty, and a text shorter than `length` loses nothing; a null id comes last;
     documents of equal id come in the order of their texts' hashes, and rows equal in id and text
     count as one document, so each keeps what one would; an empty table gives no rows; other columns
-    are ignored.
+    are ignored. A very long text takes its task some 40 times its bytes while its grams are hashed.
     """
     text = text_or_empty(text_col)
     extra = carry or ()
