@@ -66,8 +66,9 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 
     `distinct` holds each fingerprint once. `radius` is even.
     """
-    variants = distinct.select(
-        "fp", F.explode(F.transform(F.array(*[F.lit(m) for m in ball(radius // 2)]), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant")
+    masks = ball(radius // 2)
+    variants = distinct.repartition(max(partitions(distinct), distinct.count() * len(masks) // _EMIT), "fp").select(
+        "fp", F.explode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant")
     )
     met = variants.groupBy("variant").agg(F.collect_list("fp").alias("near")).filter(F.size("near") > 1)
     pairs = met.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).filter("a <> b").distinct()
@@ -91,7 +92,8 @@ def near_duplicates(
     other; a text of fewer than `words` words is one shingle. Null ids stay and are never a
     component's id unless all its ids are null; repeated rows keep a row each; an empty table
     gives no rows; other columns are ignored. Copies meet in partial aggregates before the
-    shuffle, so a hot fingerprint costs a row a task.
+    shuffle, so a hot fingerprint costs a row a task. A very long text is hashed _STEP shingles at
+    a time in one task.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("size")))
