@@ -29,6 +29,8 @@ from .words import _LONG, DEFAULT_VOCABULARY, WordCoder, byte_characters, keys_o
 _LINK = "chunk string, bucket int, kind int, ids array<long>, lens binary, data binary"
 #: Bytes that a row counts for beside its text, so that empty texts fill a chunk, too.
 _ROW = 64
+#: Blocks of ids in which chunks and pieces are joined.
+BLOCKS = 16
 _DIFFERS = "a chunk differs between two scans of the documents"
 _ARROW = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("data", pa.binary())])
 
@@ -94,19 +96,19 @@ def piece_table(path: str) -> list[bytes]:
     return out
 
 
-def pieces_of(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece: binary) of every id of the vocabulary."""
-    table = pa.table({"id": pa.array(range(len(pieces := piece_table(path))), pa.int32()), "piece": pa.array(pieces, pa.binary())})
-    return spark.createDataFrame(table)
-
-
 def joined_pieces(ids: DataFrame, path: str) -> DataFrame:
-    """`ids` (chunk, id: int, each once) joined to their pieces: (chunk, used: ids, pieces) in one order, a row a chunk.
+    """`ids` (chunk, ids: distinct ints) joined to their pieces by blocks of ids: (chunk, ids, pieces: array<binary>), up to BLOCKS rows a chunk.
 
-    The table of pieces is as large as the vocabulary, whatever the corpus, and so is a chunk's part of it.
+    The blocks are as large as the vocabulary, whatever the corpus, and so is a chunk's part of them.
     """
-    met = ids.join(F.broadcast(pieces_of(ids.sparkSession, path)), "id")
-    return met.groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("p")).select("chunk", F.col("p.id").alias("used"), F.col("p.piece").alias("pieces"))
+    pieces = piece_table(path)
+    size = -(-len(pieces) // BLOCKS)
+    block = pa.table({"block": pa.array(range(BLOCKS), pa.int32()), "pieces": pa.array([pieces[i * size : (i + 1) * size] for i in range(BLOCKS)], pa.list_(pa.binary()))})
+    of = lambda i: F.floor(i / size).cast("int")
+    parts = F.transform(F.array(*[F.lit(i) for i in range(BLOCKS)]), lambda k: F.struct(k.alias("block"), F.filter("ids", lambda i: of(i) == k).alias("ids")))
+    asked = ids.select("chunk", F.explode(parts).alias("p")).select("chunk", "p.block", "p.ids").filter(F.size("ids") > 0)
+    met = asked.join(F.broadcast(ids.sparkSession.createDataFrame(block)), "block")
+    return met.select("chunk", "ids", F.transform("ids", lambda i: F.element_at("pieces", i - F.col("block") * size + 1)).alias("pieces"))
 
 
 def encode_decode(
@@ -190,20 +192,17 @@ def encode_decode(
 
     coded = cut(source.mapInArrow(words, _LINK).repartition(buckets, "bucket").mapInArrow(encode, _LINK))
     specials = F.array(*[F.lit(i) for i in special_ids(path)]).cast("array<int>")
-    used = coded.select("chunk", F.explode(F.col("ids").cast("array<int>")).alias("id")).union(coded.select("chunk", F.explode(specials).alias("id"))).distinct()
-    found = joined_pieces(used, path).select(
-        "chunk", F.lit(None).cast("int").alias("bucket"), F.lit(3).alias("kind"), F.col("used").cast("array<long>").alias("ids"),
-        F.col("pieces"),
-    )
-    both = coded.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(found.mapInArrow(_flat, _LINK)).unionByName(source.mapInArrow(texts_of, _LINK))
+    used = coded.groupBy("chunk").agg(F.array_union(F.flatten(F.collect_list(F.col("ids").cast("array<int>"))), specials).alias("ids"))
+    pieces = joined_pieces(used, path).mapInArrow(_flat, _LINK)
+    both = coded.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(pieces).unionByName(source.mapInArrow(texts_of, _LINK))
     return both.groupBy("chunk").applyInArrow(finish, out_schema)
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (chunk, bucket, kind, ids, pieces) with the pieces one behind the other."""
+    """Rows of (chunk, ids, pieces) with the pieces one behind the other."""
     for b in batches:
         for r in b.to_pylist():
-            yield _row(chunk=r["chunk"], kind=r["kind"], ids=r["ids"], lens=np.array([len(p) for p in r["pieces"]], "<u4").tobytes(), data=b"".join(r["pieces"]))
+            yield _row(chunk=r["chunk"], kind=3, ids=r["ids"], lens=np.array([len(p) for p in r["pieces"]], "<u4").tobytes(), data=b"".join(r["pieces"]))
 
 
 def special_ids(path: str) -> list[int]:
