@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy
 from .words import DEFAULT_VOCABULARY, batched, coder_for
 
 END_ID = 2
@@ -107,6 +107,7 @@ def pack(
     fields = [(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * keep_ids
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
+    @tidy
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(path)
         end = END_ID.to_bytes(4, "little")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW, components, cut, few, left_join_by_size, partitions, table
+from .common import FEW, components, cut, few, left_join_by_size, partitions, table, tidy
 from .words import batched
 
 SEED = 42
@@ -272,6 +272,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str = "text", words:
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, some in batched(b.column(1).to_pylist(), _WORD_BLOCK):
@@ -329,6 +330,7 @@ def _meeting(nodes: DataFrame, rows: int, tables: int, bits: int, masks: list[in
     step = max(1, _EMIT // each)
     kind = np.uint16 if buckets <= 1 << 16 else np.uint32
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             node, label = b.column(0).to_numpy(), b.column(2).to_numpy()
@@ -351,6 +353,7 @@ def _meeting(nodes: DataFrame, rows: int, tables: int, bits: int, masks: list[in
                  *(pa.array([c[x:z].tobytes() for x, z in zip(r, r[1:])], pa.binary()) for c in runs)],
                 names=["bucket", "keys", "counts", "owners", "offsets"])
 
+    @tidy
     def meet(t: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint8).reshape(-1, 5)
         key = np.zeros((len(raw), 8), np.uint8)
@@ -419,6 +422,7 @@ def _joined(owner: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _within(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """The pairs (a, b), each given once, whose signatures differ in at most `most` bits."""
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -441,6 +445,7 @@ def _linked(members: DataFrame, texts: DataFrame, words: int, similarity: float,
     out in tiles of _TILE nodes and _TILE_BYTES of shingle hashes, and each two tiles are a square.
     """
 
+    @tidy
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")
@@ -474,6 +479,7 @@ def _linked(members: DataFrame, texts: DataFrame, words: int, similarity: float,
                     [*(c.slice(at, 1024) for c in cols.values()), *(b.column(b.schema.get_field_index(c)).take(some) for c in ("node", "label", "sig", "set"))],
                     names=[*cols, "node", "label", "sig", "set"])
 
+    @tidy
     def compare(t: pa.Table) -> pa.Table:
         square, side, node, label = (t[c].to_numpy() for c in ("square", "side", "node", "label"))
         order = np.lexsort((node, side, square))

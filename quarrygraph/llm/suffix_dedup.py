@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table, text_or_empty
+from .common import cut, partitions, table, text_or_empty, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -183,6 +183,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
 def common_grams(docs: DataFrame, length: int) -> tuple[np.ndarray, int]:
     """Hashes of grams that anchor COMMON windows or more and half of COMMON_SHARE of all, so 2 / COMMON_SHARE at most, and how many anchors there are."""
 
+    @tidy
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for _, _, texts in _documents(batches):
@@ -212,6 +213,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     common, total = common_grams(docs, length)
     buckets = max(partitions(docs), total // BUCKET)
 
+    @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, settled = [], []
         for ids, keys, texts in _documents(batches):
@@ -251,6 +253,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [pa.array([where], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip((i, k, s, e), ("<i8", "<i8", "<u4", "<u4")))],
                 names=[n for n, _ in _ANCHORS])
 
+    @tidy
     def meet(t: pa.Table) -> pa.Table:
         out, rows = [], t.to_pylist()
         for r in rows:
@@ -293,6 +296,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     first = cut(by_text(docs.mapInArrow(gather, "bucket int, gram binary, around binary, id binary, key binary, pos binary, size binary").groupBy("bucket").applyInArrow(meet, "id long, key long, start long, end long, gram long")))
 
+    @tidy
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = {int(g) for g in common.view(np.int64)}
         whole, quarters = [(0, side)], _parts(side, 4)
@@ -323,6 +327,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*rows), _STRINGS)], names=[f[0] for f in _STRINGS])
 
+    @tidy
     def compare(t: pa.Table) -> pa.Table:
         out = []
         told = pa.compute.is_null(t["data"])
@@ -410,6 +415,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fields += [pa.field(n, pa.string()) for n in ("kept_text", *extra)]
         schema += "".join(f", `{n}` string" for n in ("kept_text", *extra))
 
+    @tidy
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
