@@ -408,7 +408,7 @@ def pagerank_personalized_k5(spark, d):
 @query(_pagerank_sql(3, "SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS p FROM nodes"))
 def pagerank_distributed_k3(spark, d):
     nodes = defs(spark, d).select(F.col("fid").alias("node"))
-    return G.pagerank(edges(spark, d), nodes, iterations=3, tolerance=0.0, driver_edges=0).select("node", F.round("rank", 7).alias("rank"))
+    return G.pagerank(edges(spark, d), nodes, iterations=3, tolerance=0.0, alone=0).select("node", F.round("rank", 7).alias("rank"))
 
 
 @query("""WITH x AS (SELECT l_suppkey AS src, l_partkey AS part, count(*) AS n FROM lineitem GROUP BY 1, 2), home AS (SELECT l_partkey AS part, min(l_suppkey) AS dst FROM lineitem GROUP BY 1)

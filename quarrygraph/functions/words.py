@@ -9,22 +9,24 @@ STOPWORDS = (
 ).split()
 
 # Words whose stem is not what the suffix rules give.
-LEMMAS = dict(
-    pair.split(":")
-    for pair in (
-        "analysis:analyz analyses:analyz analytic:analyz analytical:analyz synthesis:synthesiz syntheses:synthesiz "
-        "hypothesis:hypothesiz hypotheses:hypothesiz diagnosis:diagnos diagnoses:diagnos clean:clear cleans:clear "
-        "cleanup:clear cleaning:clear cleaned:clear delete:remov deletes:remov deleting:remov deleted:remov "
-        "deletion:remov begin:start begins:start beginning:start finish:end finishes:end finishing:end finished:end "
-        "complete:end completes:end completed:end completion:end query:queri queries:queri dependency:dependenci "
-        "dependencies:dependenci entity:entiti entities:entiti entry:entri entries:entri strategy:strategi "
-        "strategies:strategi category:categori categories:categori policy:polici policies:polici summary:summari "
-        "summaries:summari history:histori histories:histori library:librari libraries:librari registry:registri "
-        "registries:registri factory:factori factories:factori property:properti properties:properti logger:log "
-        "loggers:log runner:run runners:run mapper:map mappers:map zipper:zip zippers:zip stripper:strip strippers:strip "
-        "planner:plan planners:plan scanner:scan scanners:scan spinner:spin spinners:spin"
-    ).split()
-)
+LEMMAS = {
+    "analysis": "analyz", "analyses": "analyz", "analytic": "analyz", "analytical": "analyz",
+    "synthesis": "synthesiz", "syntheses": "synthesiz", "hypothesis": "hypothesiz", "hypotheses": "hypothesiz",
+    "diagnosis": "diagnos", "diagnoses": "diagnos", "clean": "clear", "cleans": "clear", "cleanup": "clear",
+    "cleaning": "clear", "cleaned": "clear", "delete": "remov", "deletes": "remov", "deleting": "remov",
+    "deleted": "remov", "deletion": "remov", "begin": "start", "begins": "start", "beginning": "start",
+    "finish": "end", "finishes": "end", "finishing": "end", "finished": "end", "complete": "end",
+    "completes": "end", "completed": "end", "completion": "end", "query": "queri", "queries": "queri",
+    "dependency": "dependenci", "dependencies": "dependenci", "entity": "entiti", "entities": "entiti",
+    "entry": "entri", "entries": "entri", "strategy": "strategi", "strategies": "strategi", "category": "categori",
+    "categories": "categori", "policy": "polici", "policies": "polici", "summary": "summari",
+    "summaries": "summari", "history": "histori", "histories": "histori", "library": "librari",
+    "libraries": "librari", "registry": "registri", "registries": "registri", "factory": "factori",
+    "factories": "factori", "property": "properti", "properties": "properti", "logger": "log", "loggers": "log",
+    "runner": "run", "runners": "run", "mapper": "map", "mappers": "map", "zipper": "zip", "zippers": "zip",
+    "stripper": "strip", "strippers": "strip", "planner": "plan", "planners": "plan", "scanner": "scan",
+    "scanners": "scan", "spinner": "spin", "spinners": "spin",
+}
 
 # Suffixes in the order in which they are tried.
 SUFFIXES = "ations ization tions sions ation tion sion ings ers ies ing ed er es ly s".split()

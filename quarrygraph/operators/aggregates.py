@@ -84,8 +84,13 @@ def rolling_lower_median(df: DataFrame, value: str, order: list[str], by: list[s
 
 
 def upper_median(value: str) -> Column:
-    """The value at place n // 2 of the sorted values."""
-    return F.element_at(F.sort_array(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
+    """The value at place n // 2 of the sorted values: the lower median from the top, by counts of values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
+
+
+def upper_rank(value: str, share: float) -> Column:
+    """The value at place floor((1 - share) * n) of the sorted values: the nearest rank of `share` from the top."""
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def call_counters(calls: DataFrame, method: str) -> DataFrame:

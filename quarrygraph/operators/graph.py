@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +15,8 @@ from ..lineage import cut
 DAMPING = 0.85
 MAX_ITERATIONS = 100
 TOLERANCE = 1e-6
-#: Up to so many edges the iteration runs in memory on the driver, beyond as joins on the cluster.
-DRIVER_EDGES = 1_000_000
+#: Up to so many edges and nodes the iteration runs in one task, beyond as joins.
+ALONE = 1_000_000
 
 
 def collapse(edges: DataFrame) -> DataFrame:
@@ -27,7 +30,7 @@ def pagerank(
     personalization: DataFrame | None = None,
     iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
-    driver_edges: int = DRIVER_EDGES,
+    alone: int = ALONE,
 ) -> DataFrame:
     """(node, rank): weighted PageRank of `nodes` (node) over `edges` (src, dst, weight); ranks sum to 1.
 
@@ -36,40 +39,44 @@ def pagerank(
     ranks move by less than `tolerance` in all; a tolerance of 0 runs them all.
     """
     e = collapse(edges)
-    few = e.limit(driver_edges + 1).count() <= driver_edges and nodes.limit(driver_edges + 1).count() <= driver_edges
-    rank = _local if few else _distributed
+    few = e.limit(alone + 1).count() <= alone and nodes.limit(alone + 1).count() <= alone
+    rank = _alone if few else _distributed
     return rank(e, nodes.select("node").distinct(), personalization, iterations, tolerance)
 
 
-def _local(e: DataFrame, nodes: DataFrame, personalization: DataFrame | None, iterations: int, tolerance: float) -> DataFrame:
-    spark = e.sparkSession
-    names = np.array(sorted(r[0] for r in nodes.collect()))
-    if not len(names):
-        return nodes.withColumn("rank", F.lit(0.0))
-    rows = e.toPandas()
-    rows = rows[rows["src"].isin(names) & rows["dst"].isin(names)]
-    src, dst = np.searchsorted(names, rows["src"].to_numpy()), np.searchsorted(names, rows["dst"].to_numpy())
-    w = rows["weight"].to_numpy(float)
-    n = len(names)
-    teleport = np.full(n, 1 / n)
+def _alone(e: DataFrame, nodes: DataFrame, personalization: DataFrame | None, iterations: int, tolerance: float) -> DataFrame:
+    """The iteration over a graph of bounded size as a whole, in one task."""
+    kind = nodes.schema["node"].dataType.simpleString()
+    none = F.lit(None).cast(kind)
+    rows = nodes.select("node", none.alias("dst"), F.lit(0.0).alias("w"), F.lit(0).alias("kind"))
+    rows = rows.union(e.select("src", "dst", F.col("weight").cast("double"), F.lit(1)))
     if personalization is not None:
-        p = np.zeros(n)
-        for r in personalization.collect():
-            at = np.searchsorted(names, r["node"])
-            if at < n and names[at] == r["node"]:
-                p[at] += r["weight"]
-        if p.sum() > 0:
-            teleport = p / p.sum()
-    out = np.bincount(src, w, n)
-    rank = np.full(n, 1 / n)
-    for _ in range(iterations):
-        share = np.divide(rank, out, out=np.zeros(n), where=out > 0)
-        new = (1 - DAMPING + DAMPING * rank[out <= 0].sum()) * teleport + DAMPING * np.bincount(dst, share[src] * w, n)
-        moved = np.abs(new - rank).sum()
-        rank = new
-        if moved < tolerance:
-            break
-    return spark.createDataFrame(list(zip(names.tolist(), rank.tolist())), nodes.schema.add("rank", "double"))
+        rows = rows.union(personalization.select("node", none, F.col("weight").cast("double"), F.lit(2)))
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([*batches, pd.DataFrame({"node": [], "dst": [], "w": [], "kind": []})])
+        part = [got[got["kind"] == k] for k in range(3)]
+        names = np.sort(part[0]["node"].to_numpy())
+        n = len(names)
+        if not n:
+            return
+        known = part[1][part[1]["node"].isin(names) & part[1]["dst"].isin(names)]
+        src, dst, w = np.searchsorted(names, known["node"].to_numpy()), np.searchsorted(names, known["dst"].to_numpy().astype(names.dtype)), known["w"].to_numpy(float)
+        liked = part[2][part[2]["node"].isin(names)]
+        p = np.bincount(np.searchsorted(names, liked["node"].to_numpy()), liked["w"].to_numpy(float), n) if len(liked) else np.zeros(n)
+        teleport = p / p.sum() if p.sum() > 0 else np.full(n, 1 / n)
+        out = np.bincount(src, w, n)
+        ranks = np.full(n, 1 / n)
+        for _ in range(iterations):
+            share = np.divide(ranks, out, out=np.zeros(n), where=out > 0)
+            new = (1 - DAMPING + DAMPING * ranks[out <= 0].sum()) * teleport + DAMPING * np.bincount(dst, share[src] * w, n)
+            moved = np.abs(new - ranks).sum()
+            ranks = new
+            if moved < tolerance:
+                break
+        yield pd.DataFrame({"node": names, "rank": ranks})
+
+    return rows.repartition(1).mapInPandas(rank, f"node {kind}, rank double")
 
 
 def _distributed(e: DataFrame, nodes: DataFrame, personalization: DataFrame | None, iterations: int, tolerance: float) -> DataFrame:

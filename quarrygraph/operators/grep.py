@@ -62,22 +62,31 @@ def matches(docs: DataFrame, pattern: str, key: list[str], text: str = "text", m
     """One row per non-empty match: key, ordinal, match, start and end (bytes), line (from 1), line_text.
 
     Text without a match leaves before anything is exploded. Byte places follow from the pieces
-    between matches: the n-th match starts after the first n pieces and n - 1 matches.
+    between matches: the n-th match starts after the first n pieces and n - 1 matches, which are
+    added up once per text. The pattern is used as it is, so its groups keep their numbers.
     """
     p = f"(?sm){pattern}" if multiline else pattern
     hit = docs.where(F.col(text).rlike(p))
-    found = F.filter(F.regexp_extract_all(F.col(text), F.lit(f"({p})"), F.lit(1)), lambda m: m != "")
-    rows = hit.select(*key, F.col(text).alias("_text"), found.alias("_found")).where(F.size("_found") > 0)
-    # Each match gets a mark before it, so the pieces between marks place the matches.
-    pieces = F.split(F.regexp_replace(F.translate("_text", "\x00", "\x01"), F.lit(f"({p})"), F.lit("\x00$1")), "\x00")
-    rows = rows.withColumn("_pieces", pieces)
-    at = rows.select(*key, "_text", "_found", "_pieces", F.explode(F.sequence(F.lit(1), F.size("_found"))).alias("ordinal"))
-    before = F.array_join(F.slice("_pieces", 1, F.col("ordinal")), "")
-    m = F.element_at("_found", F.col("ordinal"))
-    line = F.size(F.split(before, "\n"))
-    return at.select(
-        *key, "ordinal", m.alias("match"), F.octet_length(before).alias("start"), (F.octet_length(before) + F.octet_length(m)).alias("end"),
-        line.alias("line"), T.truncate_utf8(F.element_at(F.split("_text", "\n"), line), LINE_BYTES, "…").alias("line_text"))
+    found = F.filter(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda m: m != "")
+    rows = hit.select(*key, F.translate(F.col(text), "\x00", "\x01").alias("_text"), found.alias("_found")).where(F.size("_found") > 0)
+    # Each match gets a mark on either side, so every second piece lies between matches; empty matches leave no piece.
+    marked = F.split(F.regexp_replace("_text", F.lit(p), F.lit("\x00$0\x00")), "\x00")
+    between = F.filter(F.transform(marked, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
+    whole = F.filter(F.transform(marked, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (s["i"] % 2 == 1) & (s["x"] != ""))
+    count = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit("")))
+    rows = rows.select(*key, F.split("_text", "\n").alias("_lines"), "_found", between.alias("_between"), whole.alias("_whole"))
+    sizes = F.transform(F.concat("_between", "_whole"), lambda s: F.struct(s["i"].alias("i"), F.octet_length(s["x"]).alias("b"), count(s["x"]).alias("n")))
+    rows = rows.withColumn("_sizes", F.array_sort(sizes))
+    step = lambda a, s: F.struct(
+        (a["b"] + s["b"]).alias("b"), (a["n"] + s["n"]).alias("n"),
+        F.when(s["i"] % 2 == 1, F.concat(a["at"], F.array(F.struct(a["b"].alias("b"), a["n"].alias("n"))))).otherwise(a["at"]).alias("at"))
+    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.array().cast("array<struct<b:int,n:int>>").alias("at"))
+    places = F.aggregate("_sizes", zero, step, lambda a: a["at"])
+    each = rows.select(*key, "_lines", F.posexplode(F.arrays_zip(F.col("_found").alias("m"), places.alias("at"))).alias("_i", "_x"))
+    line = F.col("_x.at.n") + 1
+    return each.select(
+        *key, (F.col("_i") + 1).alias("ordinal"), F.col("_x.m").alias("match"), F.col("_x.at.b").alias("start"), (F.col("_x.at.b") + F.octet_length("_x.m")).alias("end"),
+        line.alias("line"), T.truncate_utf8(F.element_at("_lines", line), LINE_BYTES, "…").alias("line_text"))
 
 
 def line_matches(docs: DataFrame, pattern: str, key: list[str], text: str = "text") -> DataFrame:

@@ -26,11 +26,16 @@ def idf_table(features: DataFrame, column: str) -> DataFrame:
     return features.select(F.explode(F.array_distinct(column)).alias("stem")).groupBy("stem").agg((F.log(F.lit(n + 1.0) / (F.count("*") + 1)) + 1).alias("w"))
 
 
+def _grams(c: Column) -> Column:
+    """The distinct runs of one to three characters."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))), lambda i: F.array(*[F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]))))
+
+
 def score(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query, name, score) of every candidate that a query token touches.
 
-    `queries` has query (key) and text. Tokens meet candidates through their stems; substrings of
-    names and paths are looked for with the questions' tokens, a stated set, at hand in every task.
+    `queries` has query (key) and text. Tokens meet candidates through their stems, and substrings of
+    names and paths through the three characters that a token begins with (two, if it has no more).
     """
     f = candidate_features(candidates)
     n = f.count()
@@ -41,8 +46,10 @@ def score(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     tok = q.select("query", "_tokens", multi.alias("_multi"), F.posexplode("_tokens").alias("pos", "tok")).withColumn("stem", T.stem(F.col("tok")))
     tok = tok.join(name_idf, "stem", "left").join(doc_idf, "stem", "left").withColumns({"w": F.coalesce("w", default), "dw": F.coalesce("dw", default)})
     keys = f.select("name", F.explode(F.array_distinct(F.concat(F.array("_name_stem"), "_parts", "_doc"))).alias("stem"))
+    grams = f.select("name", "_name", "_file", F.explode(F.array_union(_grams(F.col("_name")), _grams(F.col("_file")))).alias("gram"))
+    inside_of = grams.join(tok.select("query", "tok", F.left("tok", F.lit(3)).alias("gram")).distinct(), "gram")
     touched = tok.select("query", "pos", "stem").join(keys, "stem").select("query", "name").union(
-        f.select("name", "_name", "_file").join(F.broadcast(tok.select("query", "tok").distinct()), F.col("_name").contains(F.col("tok")) | F.col("_file").contains(F.col("tok"))).select("query", "name")).distinct()
+        inside_of.where(F.col("_name").contains(F.col("tok")) | F.col("_file").contains(F.col("tok"))).select("query", "name")).distinct()
     pair = touched.join(f, "name").join(tok, "query")
     exact = (F.col("_name") == F.col("tok")) | (F.col("_name_stem") == F.col("stem"))
     part = ~exact & F.array_contains("_parts", F.col("stem"))

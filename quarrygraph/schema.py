@@ -13,6 +13,7 @@ def _ddl(text: str) -> t.StructType:
     return t.StructType([t.StructField(n, _TYPES[k]) for n, k in (c.split(" ", 1) for c in text.split(", "))])
 
 
+# Column names, types and order of the tables, as other tools read and write them.
 FILES = _ddl("fid BIGINT, path STRING, content_hash STRING, mtime_ns BIGINT, lang STRING, parse_status STRING, oversize BOOLEAN")
 DEFS = _ddl("name STRING, fid BIGINT, start INT, end INT, start_line INT, end_line INT, visibility STRING, kind STRING, parent STRING, signature STRING")
 REFS = _ddl("callee STRING, fid BIGINT, start INT, end INT, start_line INT, end_line INT, caller STRING, kind STRING, arity INT")

@@ -119,7 +119,7 @@ def test_ledger(spark, tmp_path):
     lines = records.event_lines(spark, str(tmp_path))
     tasks, snaps = L.read_events(lines, "task"), L.read_events(lines, "snapshot")
     assert tasks.schema.names == LEDGER["task"][0].names and tasks.count() == 2
-    got = [tuple(r) for r in L.monthly_report(spark, tasks, snaps).select("m", "tokens_per_diff_line", "sessions", "loc").collect()]
+    got = [tuple(r) for r in L.monthly_report(tasks, snaps).select("m", "tokens_per_diff_line", "sessions", "loc").collect()]
     assert [(m, None if t is None else float(t), s, loc) for m, t, s, loc in got] == [("2024-01", 7.5, 1, 100.0), ("2024-02", None, 1, None)]
 
 
