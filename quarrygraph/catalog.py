@@ -119,9 +119,9 @@ def find_symbol_ranked(spark, d):
     return R.top(found, 25, F.desc("rank"), F.col("name"), F.col("fid"))
 
 
-@query("SELECT p_partkey AS fid, p_brand || '::' || p_name AS qualified, p_name AS segment, CAST(ceil(strlen(p_name) / 3.0) AS BIGINT) AS cost FROM part WHERE p_partkey < 500")
+@query("SELECT p_partkey AS fid, p_brand || '::' || p_name AS qualified, p_name AS segment, CAST(ceil(strlen(p_name) / 3.0) AS BIGINT) AS cost FROM part")
 def qualified_names(spark, d):
-    x = defs(spark, d).where("fid < 500").withColumn("qualified", T.qualified_name(F.col("name"), F.col("parent")))
+    x = defs(spark, d).withColumn("qualified", T.qualified_name(F.col("name"), F.col("parent")))
     return x.select("fid", "qualified", T.final_segment(F.col("qualified")).alias("segment"), T.token_cost(F.col("name")).alias("cost"))
 
 
@@ -180,11 +180,12 @@ def dependency_closure_budgeted(spark, d):
     return A.budget_prefix(deps, F.col("cost"), 40, [F.col("cost"), F.col("node")], ["anchor"]).select("anchor", "node", "cost", "running_cost", F.col("position").cast("long").alias("position"))
 
 
-@query("""WITH a AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY lang) AS any_id FROM documents WHERE doc_id < 300)
-SELECT doc_id, coalesce((SELECT min(text) FROM documents x WHERE x.doc_id = a.doc_id AND x.n_chars < 400), (SELECT min(text) FROM documents x WHERE x.doc_id = (SELECT min(y.doc_id) FROM documents y WHERE y.lang = a.lang AND y.n_chars < 400))) AS doc FROM a""")
+@query("""WITH h AS (SELECT doc_id, lang, text FROM documents WHERE n_chars < 400), own AS (SELECT doc_id, lang, min(text) AS text FROM h GROUP BY 1, 2),
+f AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id, text) AS n FROM h)
+SELECT d.doc_id, coalesce(own.text, f.text) AS doc FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id AND own.lang = d.lang LEFT JOIN f ON f.lang = d.lang AND f.n = 1""")
 def docs_preferred(spark, d):
     docs = read(spark, d, "documents")
-    wanted = docs.where("doc_id < 300").select(F.col("lang").alias("name"), F.col("doc_id").alias("fid"))
+    wanted = docs.select(F.col("lang").alias("name"), F.col("doc_id").alias("fid"))
     have = docs.where("n_chars < 400").select(F.col("lang").alias("name"), F.col("doc_id").alias("fid"), "text")
     return R.docs_preferred(wanted, have).select(F.col("fid").alias("doc_id"), "doc")
 
@@ -192,20 +193,20 @@ def docs_preferred(spark, d):
 # --- set operations ------------------------------------------------------------------------------
 
 
-@query("""WITH o AS (SELECT l_partkey AS name, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey < 3000 GROUP BY 1), w AS (SELECT l_partkey AS name, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey < 3000 GROUP BY 1)
+@query("""WITH o AS (SELECT l_partkey AS name, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), w AS (SELECT l_partkey AS name, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT coalesce(o.name, w.name) AS name, o.n AS old_value, w.n AS new_value, CASE WHEN w.n IS NULL THEN 'removed' WHEN o.n IS NULL THEN 'added' WHEN o.n <> w.n THEN 'changed' ELSE 'same' END AS change
 FROM o FULL OUTER JOIN w ON o.name = w.name""")
 def edit_diff_full_outer(spark, d):
-    by = lambda f: read(spark, d, "lineitem").where(f"l_returnflag = '{f}' and l_orderkey < 3000").groupBy(F.col("l_partkey").alias("name")).agg(F.count("*").alias("n"))
+    by = lambda f: read(spark, d, "lineitem").where(f"l_returnflag = '{f}'").groupBy(F.col("l_partkey").alias("name")).agg(F.count("*").alias("n"))
     return R.full_diff(by("A"), by("R"), ["name"], "n")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 7 <> 0), x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 5 <> 0)
+@query("""WITH i AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders), x AS (SELECT l_orderkey AS k, min(l_linestatus) AS v FROM lineitem GROUP BY 1)
 SELECT coalesce(i.k, x.k) AS path, CASE WHEN x.k IS NULL THEN 'removed' ELSE 'touched' END AS op FROM i FULL OUTER JOIN x ON i.k = x.k WHERE i.k IS NULL OR x.k IS NULL OR i.v <> x.v""")
 def reconcile_rescan(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("content_hash"))
-    disk = o.where("path % 5 <> 0").withColumn("content_hash", F.when(F.col("path") % 11 == 0, "X").otherwise(F.col("content_hash")))
-    return R.reconcile(o.where("path % 7 <> 0"), disk)
+    disk = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.min("l_linestatus").alias("content_hash"))
+    return R.reconcile(o, disk)
 
 
 @query("""WITH u AS (SELECT p_name AS name, 0 AS pool, p_partkey AS fid FROM part WHERE p_type = 'SMALL' UNION ALL SELECT p_name, 1, p_partkey FROM part WHERE p_type = 'PROMO'),
@@ -249,11 +250,11 @@ def size_bucket(spark, d):
     return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), T.size_bucket(F.sum("n_chars")).alias("bucket"))
 
 
-@query("""SELECT o_custkey AS file, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS defs FROM orders WHERE o_custkey < 200 GROUP BY 1
-UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey < 200 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT o_custkey AS file, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS defs FROM orders GROUP BY 1
+UNION ALL SELECT c_custkey, NULL FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
 def files_with_defs(spark, d):
     got = read(spark, d, "orders").select(F.col("o_custkey").alias("file"), "o_orderpriority").dropDuplicates().groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("o_orderpriority")), ",").alias("defs"))
-    return read(spark, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("file")).join(got, "file", "left")
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("file")).join(got, "file", "full_outer")
 
 
 LAT = "SELECT event_type AS method, CAST(round(value * 1000) AS BIGINT) AS us, user_id % 10 <> 0 AS ok, event_id FROM events"
@@ -304,12 +305,12 @@ def cache_hit_rate(spark, d):
     return read(spark, d, "events").agg(F.round(A.hit_rate(hit, 1 - hit), 6).alias("hit_rate"))
 
 
-@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, sum(o_totalprice) AS toks, count(*) AS sessions FROM orders GROUP BY 1), s AS (SELECT strftime(l_shipdate, '%Y-%m') AS m, avg(l_quantity) AS loc, sum(l_quantity) AS diff_lines FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1)
-SELECT m.m, round(toks * 1.0 / nullif(diff_lines, 0), 1) AS tokens_per_diff_line, sessions, round(loc, 4) AS loc FROM m LEFT JOIN s ON m.m = s.m""")
+@query("""WITH spent AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, sum(o_totalprice) AS price, count(*) AS sessions FROM orders GROUP BY 1), shape AS (SELECT strftime(l_shipdate, '%Y-%m') AS period, avg(l_quantity) AS mean, sum(l_quantity) AS total FROM lineitem GROUP BY 1)
+SELECT spent.period AS m, CASE WHEN total <> 0 THEN round(price / total, 1) END AS tokens_per_diff_line, sessions, round(mean, 4) AS loc FROM spent LEFT JOIN shape ON spent.period = shape.period""")
 def monthly_ledger(spark, d):
-    monthly = read(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.sum("o_totalprice").alias("toks"), F.count("*").alias("sessions"))
-    entropy = read(spark, d, "lineitem").where("l_shipdate < timestamp_ntz'2000-01-01'").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("m")).agg(F.avg("l_quantity").alias("loc"), F.sum("l_quantity").alias("diff_lines"))
-    return monthly.join(entropy, "m", "left").select("m", F.round(F.try_divide("toks", F.nullif("diff_lines", F.lit(0.0))), 1).alias("tokens_per_diff_line"), "sessions", F.round("loc", 4).alias("loc"))
+    spent = read(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.sum("o_totalprice").alias("toks"), F.count("*").alias("sessions"))
+    shape = read(spark, d, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("m")).agg(F.avg("l_quantity").alias("loc"), F.sum("l_quantity").alias("diff_lines"))
+    return L.tokens_per_line(spent, shape, "m", "toks", "diff_lines").select("m", "tokens_per_diff_line", "sessions", F.round("loc", 4).alias("loc"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, event_id, value FROM r WHERE n = 1""")
@@ -506,9 +507,9 @@ def secrets_filter(spark, d):
     return x.where(T.classify_path(F.col("path")) == "skip:secrets").select("doc_id")
 
 
-@query("""SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents WHERE doc_id < 400""")
+@query("""SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents""")
 def read_range(spark, d):
-    return read(spark, d, "documents").where("doc_id < 400").select("doc_id", grep.read_range(F.col("text"), 2, 3).alias("lines"))
+    return read(spark, d, "documents").select("doc_id", grep.read_range(F.col("text"), 2, 3).alias("lines"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), g AS (SELECT line, count(*) AS sites, count(DISTINCT doc_id) AS spread, length(line) AS mass FROM l WHERE length(line) >= 40 GROUP BY line HAVING count(*) >= 2)
@@ -577,20 +578,17 @@ p AS (SELECT b.item_id, f, hits, b.item_id IN (SELECT item_id FROM rel) AS ans F
 SELECT round(avg(CASE WHEN f IS NULL THEN 0 ELSE 1.0 / f END), 6) AS mrr, round(avg(CASE WHEN f IS NULL THEN 0.0 ELSE 1.0 END), 6) AS coverage, round(avg(CASE WHEN f IS NULL THEN 0.0 ELSE 1.0 END) FILTER (WHERE ans), 6) AS answerable_coverage, round(avg(coalesce(hits, 0) / 10.0), 6) AS precision_at_k FROM p""")
 def mrr_coverage(spark, d):
     bench = read(spark, d, "benchmark").select("item_id", "text")
-    # Texts meet only where they share their first five-letter-or-longer words, then are compared whole.
-    key = lambda c: F.element_at(F.regexp_extract_all(c, F.lit("[A-Za-z]{5,}"), F.lit(0)), 2)
-    b = bench.withColumn("w", key(F.col("text"))).withColumnRenamed("text", "needle")
-    words = read(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0)))).alias("w"))
-    relevant = words.join(b, "w").where(F.contains("text", "needle")).select("item_id", "doc_id").distinct()
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    relevant = V.containing(docs, bench, "doc_id", "item_id")
     got = V.quality(_topk(spark, d, 10), relevant, bench, 10, "item_id", "doc_id")
     return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
 
 
-@query("""WITH t AS (SELECT DISTINCT p_name FROM part WHERE p_partkey < 40), n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT p_name AS target, name, levenshtein(p_name, name) AS distance FROM t, n WHERE p_name <> name),
+@query("""WITH t AS (SELECT DISTINCT p_name FROM part), n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT p_name AS target, name, levenshtein(p_name, name) AS distance FROM t, n WHERE p_name <> name),
 r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, name) AS position FROM d WHERE distance <= 4) SELECT target, name, distance, position FROM r WHERE position <= 5""")
 def near_miss_candidates(spark, d):
     names = defs(spark, d).select("name").distinct()
-    x = Y.candidates(defs(spark, d).where("fid < 40").select(F.col("name").alias("target")).distinct(), names.withColumn("rank", F.lit(0.0)), distance=F.levenshtein("target", "name"), most=4, limit=5)
+    x = Y.candidates(names.select(F.col("name").alias("target")), names.withColumn("rank", F.lit(0.0)), distance=F.levenshtein("target", "name"), most=4, limit=5)
     return x.select("target", "name", F.col("distance").cast("long").alias("distance"), F.col("position").cast("long").alias("position"))
 
 
@@ -610,17 +608,17 @@ def grounding_rate(spark, d):
 
 
 @query("""WITH i AS (SELECT DISTINCT url AS path FROM pages), s AS (SELECT path, list_filter(regexp_split_to_array(path, '[:.]'), lambda x: x <> '') AS seg FROM i)
-SELECT path, CASE WHEN seg[-1] IN (SELECT url_tail FROM (SELECT DISTINCT regexp_extract(url, '[^.]*$') AS url_tail FROM pages WHERE page_id % 3 = 0)) THEN 'exact' WHEN len(seg) > 1 THEN 'indeterminate' ELSE 'not_found' END AS resolution FROM s""")
+SELECT path, CASE WHEN seg[-1] IN (SELECT url_tail FROM (SELECT DISTINCT regexp_extract(url, '[^.]*$') AS url_tail FROM pages WHERE contains(html, '<h1'))) THEN 'exact' WHEN len(seg) > 1 THEN 'indeterminate' ELSE 'not_found' END AS resolution FROM s""")
 def verify_imports(spark, d):
     pages = read(spark, d, "pages")
-    names = pages.where("page_id % 3 = 0").select(F.regexp_extract("url", "[^.]*$", 0).alias("name"))
+    names = pages.where(F.col("html").contains("<h1")).select(F.regexp_extract("url", "[^.]*$", 0).alias("name"))
     return R.resolve_imports(pages.select(F.col("url").alias("path")).distinct(), names)
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND n IS NULL THEN 'critical' WHEN o_orderstatus = 'P' THEN 'warning' ELSE 'info' END AS severity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey < 2000""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND n IS NULL THEN 'critical' WHEN o_orderstatus = 'P' THEN 'warning' ELSE 'info' END AS severity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def finding_severity(spark, d):
     n = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    x = read(spark, d, "orders").where("o_orderkey < 2000").join(n, "o_orderkey", "left")
+    x = read(spark, d, "orders").join(n, "o_orderkey", "left")
     sev = F.when((F.col("o_orderstatus") == "F") & F.col("n").isNull(), "critical").when(F.col("o_orderstatus") == "P", "warning").otherwise("info")
     return x.select(F.col("o_orderkey").alias("id"), sev.alias("severity"))
 
@@ -738,9 +736,9 @@ def arm_aggregate(spark, d):
     return arm_report(tasks).select("arm", "tasks", "successes", "median_s", "p95_s", "input_tokens")
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN '/tests/x' ELSE '/src/y' END AS path FROM lineitem WHERE l_orderkey < 1500)
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 THEN '/tests/x' ELSE '/src/y' END AS path FROM lineitem)
 SELECT l_partkey AS name, count(*) AS calls, count(*) FILTER (WHERE path = '/tests/x') AS from_tests, count(*) > 0 AS would_break FROM f GROUP BY 1""")
 def would_break(spark, d):
     path = F.when(F.col("l_partkey") % 3 == 0, "/tests/x").otherwise("/src/y")
-    x = read(spark, d, "lineitem").where("l_orderkey < 1500").select(F.col("l_partkey").alias("name"), path.alias("path"))
+    x = read(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), path.alias("path"))
     return x.groupBy("name").agg(F.count("*").alias("calls"), F.count_if(T.is_test_path(F.col("path"))).alias("from_tests"), (F.count("*") > 0).alias("would_break"))

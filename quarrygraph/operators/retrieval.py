@@ -101,3 +101,22 @@ def lexical_score(query_tokens: Column, name: Column, doc: Column, path: Column)
     hit = lambda t: F.when(F.array_contains(n, t), 1.0).when(F.array_contains(d, t), 0.6).when(F.array_contains(p, t), 0.3).otherwise(0.0)
     total = F.aggregate(F.transform(query_tokens, hit), F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(query_tokens) == 0, 0.0).otherwise(total / F.size(query_tokens))
+
+
+def containing(texts: DataFrame, needles: DataFrame, by: str, item: str) -> DataFrame:
+    """(item, by) of the texts (by, text) that contain a needle (item, text) whole.
+
+    Texts meet needles by the longest word inside a needle, which has other characters on both sides, so
+    that a text that contains the needle has the same word; ids alone meet, and the texts of those that met
+    are compared. Needles without such a word are held against every text, and null contains nothing.
+    """
+    word = "(?<=[^A-Za-z])[A-Za-z]+(?=[^A-Za-z])"
+    inside = F.array_sort(F.transform(F.regexp_extract_all("text", F.lit(word), F.lit(0)), lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w"))))
+    n = needles.where("text is not null").select(item, F.col("text").alias("_needle"), F.try_element_at(inside, F.lit(1))["w"].alias("_w"))
+    keyed, rest = n.where("_w is not null"), n.where("_w is null")
+    words = texts.select(by, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("_w"))
+    met = words.join(keyed.select("_w").distinct(), "_w", "left_semi").join(keyed, "_w").select(by, item, "_needle")
+    found = met.join(texts, by).where(F.contains("text", "_needle")).select(item, by)
+    if not rest.isEmpty():
+        found = found.union(texts.join(rest, F.contains("text", "_needle")).select(item, by))
+    return found.distinct()

@@ -69,7 +69,7 @@ def signature_diff(claims: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def verify_locations(claims: DataFrame, defs: DataFrame) -> DataFrame:
-    """Claims (claim_id, name, file, line): grounded if a definition of the name spans the line."""
+    """Claims (claim_id, name, file, line): grounded if a definition of the name in that file spans the line; a name that isn't defined at all is not found."""
     d = defs.select(F.col("name").alias("_n"), F.col("path").alias("_p"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
     hit = claims.join(d, (F.col("name") == F.col("_n")) & (F.col("file") == F.col("_p")), "left")
     inside = (F.col("_s") <= F.col("line")) & (F.col("line") <= F.col("_e"))

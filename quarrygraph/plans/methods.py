@@ -153,16 +153,29 @@ def outline(ix: Index, token_budget: int = 2000, glob: str | None = None, mentio
     return A.budget_prefix(x.withColumn("entry", entry), T.token_cost(F.col("entry")), token_budget, [F.desc("rank"), F.col("path")], at_least=1)
 
 
-def grep(ix: Index, text: str | None = None, regex: str | None = None, ignore_case: bool = True, multiline: bool = False, glob: str | None = None, language: str | None = None, within_symbol: str | None = None, many_defs: bool = False, limit: int = 256) -> DataFrame:
-    """Matches with the innermost definition around each, ranked, then cut."""
-    X.validate(text, regex, multiline=multiline, limit=limit)
+def grep(ix: Index, text: str | None = None, regex: str | None = None, ignore_case: bool = True, multiline: bool = False, glob: str | None = None, language: str | None = None, within_symbol: str | None = None, many_defs: bool = False, limit: int = 256, structural: str | None = None, combine: str | None = None) -> DataFrame:
+    """Matches with the innermost definition around each, ranked, then cut.
+
+    A structural query (operators.grep.parse_structural) alone gives the nodes it describes, by file and
+    place; with combine="intersect" a text's matches stay where they lie inside such a node.
+    """
+    mode = X.validate(text, regex, structural, language, combine, multiline, limit)
     files = ix.files
     if glob:
         files = files.where(F.col("path").rlike(T.path_glob_regex(glob)))
     if language:
         files = files.where(F.col("lang") == language)
+    nodes = None
+    if structural:
+        every = ix.defs.withColumn("caller", F.lit(None).cast("string")).unionByName(
+            ix.refs.select(F.col("callee").alias("name"), "fid", "start", "end", "start_line", "kind", "caller"), allowMissingColumns=True)
+        nodes = X.structural_nodes(every.join(files.select("fid", "path"), "fid"), structural, ["fid", "path"])
+    if mode == "structural":
+        return R.top(nodes, limit, F.col("path"), F.col("start"), F.col("end"))
     p = X.literal_regex(text, ignore_case) if text else ("(?i)" + regex if ignore_case and not multiline else regex)
     hits = X.matches(files.select("fid", "path").join(ix.texts, "fid"), p, ["fid", "path"], multiline=multiline)
+    if mode == "intersect":
+        hits = R.within(hits, nodes, "fid", ("start", "end"), ("start", "end"))
     if within_symbol:
         spans = ix.defs.where(F.col("name") == within_symbol)
         n = spans.limit(17).count()
@@ -183,6 +196,50 @@ def verify_symbol(ix: Index, claims: DataFrame) -> DataFrame:
     return got.join(near, T.final_segment(F.col("name")) == F.col("target"), "left").drop("target")
 
 
+# Kinds of claims.
+CLAIMS = ("symbol", "signature", "import", "location")
+MOST_CLAIMS = 256
+
+
+def verify_claims(ix: Index, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(results, verdict) of a batch of claims of any kind.
+
+    `claims` has claim_id and type (of CLAIMS), and what the type uses of name, kind, file, parent, line and
+    claimed (struct of arity, params, returns); an import's path is its name. Results are claim_id, type,
+    resolution, grounded: null if the claim can't be decided, else whether it holds. The verdict counts those
+    grounded and those decided, with their rate, null without any.
+    """
+    if claims.limit(MOST_CLAIMS + 1).count() > MOST_CLAIMS:
+        raise ValueError(f"at most {MOST_CLAIMS} claims")
+    odd = claims.where(~F.coalesce(F.col("type").isin(list(CLAIMS)), F.lit(False))).select("type").first()
+    if odd:
+        raise ValueError(f"unknown claim type {odd[0]!r}")
+    for c, kind in (("kind", "string"), ("file", "string"), ("parent", "string"), ("line", "int"), ("claimed", "struct<arity:int,params:array<string>,returns:string>")):
+        if c not in claims.columns:
+            claims = claims.withColumn(c, F.lit(None).cast(kind))
+    defs = ix.placed(ix.defs)
+    of = lambda t: claims.where(F.col("type") == t)
+    result = lambda df, t, held: df.select("claim_id", F.lit(t).alias("type"), "resolution", F.when(F.col("resolution") != "indeterminate", held).alias("grounded"))
+    exact = F.col("resolution") == "exact"
+    symbols = Y.verify_symbols(of("symbol"), defs)
+    from ..sources.extract import extract
+
+    wanted = of("signature").select(T.final_segment(F.col("name")).alias("name")).distinct()
+    homes = ix.defs.join(wanted, "name", "left_semi").select("fid").distinct()
+    shaped = extract(ix.files.join(homes, "fid", "left_semi").join(ix.texts, "fid").select("fid", "path", "text")).where("record = 'def'")
+    decided = F.when(F.col("arity").isNotNull(), F.struct("arity", "params", "returns"))
+    shapes = shaped.join(wanted, "name", "left_semi").select("name", decided.alias("shape"))
+    signatures = Y.signature_diff(of("signature").withColumn("name", T.final_segment(F.col("name"))), shapes)
+    imports = R.resolve_imports(of("import"), ix.defs, path="name")
+    locations = Y.verify_locations(of("location"), defs)
+    results = (
+        result(symbols, "symbol", exact).union(result(signatures, "signature", exact & F.coalesce("match", F.lit(False))))
+        .union(result(imports, "import", exact)).union(result(locations, "location", F.col("grounded")))
+    )
+    counts = results.agg(F.count_if("grounded").alias("grounded"), F.count("grounded").alias("total"))
+    return results, counts.withColumn("grounding_rate", F.try_divide(F.col("grounded").cast("double"), F.col("total").cast("double")))
+
+
 def verify_impact(ix: Index, name: str, change: str, old_arity: int | None = None, new_arity: int | None = None) -> DataFrame:
     return Y.would_break(R.callers(ix.refs, ix.defs, ix.files, ix.ranks, name), change, old_arity, new_arity)
 

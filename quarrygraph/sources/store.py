@@ -4,47 +4,71 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import cut
 from ..operators import relational as R
 from ..schema import DEFS, DOCS, FILES, REFS
 from .extract import OVERSIZE, extract
 
+#: Layout of the tables; another one means a rebuild.
+VERSION = 1
 TABLES = {"files": FILES, "defs": DEFS, "refs": REFS, "docs": DOCS}
 #: Folders that are never indexed.
 IGNORED_FOLDERS = ".git node_modules target dist build .venv venv __pycache__ .idea".split()
 
 
-def ignore_regex(lines: list[str]) -> str | None:
-    """One expression for ignore-file lines; a match of any parent folder counts. Negations are not supported."""
-    out = []
+def _ignore_line(p: str) -> str:
+    rooted, folder = p.startswith("/") or "/" in p.rstrip("/")[:-1], p.endswith("/")
+    body = T.path_glob_regex(p.strip("/"))[1:-1]
+    return ("^" if rooted else "(?:^|/)") + body + ("/" if folder else "(?:/|$)")
+
+
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether ignore-file lines leave a path out: the last line that fits it or any parent folder decides, `!` takes it in again.
+
+    Folders that are never indexed stay out.
+    """
+    out = F.lit(False)
     for line in lines:
         p = line.strip()
-        if not p or p[0] in "#!":
-            continue
-        rooted, folder = p.startswith("/") or "/" in p.rstrip("/")[:-1], p.endswith("/")
-        body = T.path_glob_regex(p.strip("/"))[1:-1]
-        out.append(("^" if rooted else "(?:^|/)") + body + ("/" if folder else "(?:/|$)"))
-    out += [f"(?:^|/){re.escape(f)}/" for f in IGNORED_FOLDERS]
-    return "|".join(out) or None
+        if p and p[0] != "#":
+            out = F.when(path.rlike(_ignore_line(p.removeprefix("!"))), F.lit(p[0] != "!")).otherwise(out)
+    return out | path.rlike("|".join(f"(?:^|/){re.escape(f)}/" for f in IGNORED_FOLDERS))
 
 
 def scan_tree(spark: SparkSession, root: str, ignore_lines: list[str] = ()) -> DataFrame:
-    """(fid, path, text, size, mtime) of the files to index under `root`; paths are judged before content is used."""
+    """(fid, path, text, size, mtime, content_hash, whole) of the files to index under `root`; paths are judged before content is used.
+
+    A file over OVERSIZE bytes has no text, and bytes that are no UTF-8 are replaced; neither is `whole`. The hash is of the content.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace(F.col("path"), "^(file:)?/*" + re.escape(root.strip("/")) + "/*", "")
-    ignored = rel.rlike(ignore_regex(list(ignore_lines)))
-    kept = raw.select(rel.alias("path"), "length", "modificationTime", "content").where(T.classify_path(F.col("path"), ignored) == "index_full")
-    return kept.select(F.xxhash64("path").alias("fid"), "path", F.when(F.col("length") <= OVERSIZE, F.decode("content", "UTF-8")).otherwise(F.lit("")).alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    kept = raw.select(rel.alias("path"), "length", "modificationTime", "content")
+    kept = kept.where(T.classify_path(F.col("path"), ignored(F.col("path"), list(ignore_lines))) == "index_full")
+    said = F.col("content").cast("string")
+    return kept.select(
+        F.xxhash64("path").alias("fid"), "path", F.when(F.col("length") <= OVERSIZE, F.make_valid_utf8(said)).otherwise(F.lit("")).alias("text"),
+        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("content_hash"),
+        ((F.col("length") <= OVERSIZE) & F.is_valid_utf8(said)).alias("whole"))
 
 
 def build(files: DataFrame) -> dict[str, DataFrame]:
-    """Index tables of `files` (fid, path, text)."""
-    rec = extract(files).persist()
-    info = files.select("fid", "path", F.sha2("text", 256).alias("content_hash"), F.lit(None).cast("bigint").alias("mtime_ns"), T.language(F.col("path")).alias("lang"), (F.octet_length("text") > OVERSIZE).alias("oversize"))
-    status = rec.where("record = 'file'").select("fid", F.col("status").alias("parse_status"))
+    """Index tables of `files` (fid, path, text), with size, mtime, content_hash and whole where a scan gave them.
+
+    A file that isn't whole is partial; an oversize one has no definitions.
+    """
+    has = set(files.columns)
+    rec = cut(extract(files.select("fid", "path", "text")))
+    info = files.select(
+        "fid", "path", F.col("content_hash") if "content_hash" in has else F.sha2("text", 256).alias("content_hash"),
+        (F.unix_micros("mtime") * 1000 if "mtime" in has else F.lit(None).cast("bigint")).alias("mtime_ns"), T.language(F.col("path")).alias("lang"),
+        ((F.col("size") if "size" in has else F.octet_length("text")) > OVERSIZE).alias("oversize"), (F.col("whole") if "whole" in has else F.lit(True)).alias("_whole"))
+    said = rec.where("record = 'file'").select("fid", "status")
+    status = info.select("fid", "_whole").join(said, "fid").select("fid", F.when(F.col("_whole") | (F.col("status") == "failed"), F.col("status")).otherwise("partial").alias("parse_status"))
     return {
         "files": info.join(status, "fid").select(*FILES.names),
         "defs": rec.where("record = 'def'").select(*DEFS.names),
@@ -54,12 +78,21 @@ def build(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def write(tables: dict[str, DataFrame], folder: str, generation: int) -> None:
-    """A snapshot generation: all tables under one folder, readers switch by its number."""
+    """A snapshot generation: all tables under one folder, then a marker of layout VERSION; readers switch by its number."""
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/generation={generation}/{name}")
+    spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/generation={generation}/_ready_")
 
 
 def load(spark: SparkSession, folder: str, generation: int) -> dict[str, DataFrame]:
+    """The tables of a generation that was written as a whole, in the layout that this version reads."""
+    try:
+        version = spark.read.schema("version int").parquet(f"{folder}/generation={generation}/_ready_").first()[0]
+    except AnalysisException as e:
+        raise ValueError(f"generation {generation} is not complete") from e
+    if version != VERSION:
+        raise ValueError(f"generation {generation} has layout {version}, not {VERSION}: build it anew")
     return {n: spark.read.schema(s).parquet(f"{folder}/generation={generation}/{n}") for n, s in TABLES.items()}
 
 

@@ -63,8 +63,9 @@ def test_paths(spark):
     assert column(spark, paths, T.is_test_path) == [False, False, True, True, True, False, False, False, False, False, False]
     assert column(spark, paths, T.classify_path) == ["index_full", "skip:secrets", "index_full", "index_full", "index_full", "index_full", "skip:unsupported_extension", "skip:editor_swap", "skip:secrets", "skip:unsupported_extension", "skip:secrets"]
     assert column(spark, ["a.rs", "b.hxx", "c", ".py"], T.language) == ["rust", "cpp", None, None]
-    ignored = re.compile(store.ignore_regex(["*.log", "/out", "gen/", "# no"]))
-    assert [bool(ignored.search(p)) for p in ("a/b.log", "out/x", "a/out/x", "a/gen/x.py", "node_modules/x.js", "src/x.py")] == [True, True, False, True, True, False]
+    places = ["a/b.log", "out/x", "a/out/x", "a/gen/x.py", "node_modules/x.js", "src/x.py"]
+    assert column(spark, places, lambda c: store.ignored(c, ["*.log", "/out", "gen/", "# no"])) == [True, True, False, True, True, False]
+    assert column(spark, [*places, "a/c.log"], lambda c: store.ignored(c, ["*.log", "!b.log", "!node_modules/"])) == [False, False, False, False, True, False, True]
 
 
 def test_commands(spark):
