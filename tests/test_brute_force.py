@@ -5,7 +5,6 @@ import os
 import random
 import re
 
-import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
