@@ -156,6 +156,8 @@ class PrefixCounter(RankWordCoder):
                 count.append(count[j] + 1)
                 last.append(t)
                 break
+        if len(piece) <= _WIDE:
+            self._parts[piece] = bytes(count[1:])
         return count[1:]
 
     def encode_new(self, keys: Iterable[str]) -> dict:
@@ -256,7 +258,8 @@ class PrefixCounter(RankWordCoder):
                 continue
             before = _PATTERN.findall(part)
             for n, w in enumerate(before):
-                counts, at = self.prefixes(w.encode()), 0
+                known = self.table.get(w[1:] if w[0] == " " and len(w) > 1 and w[1] != " " else " " + w)
+                counts, at = self.prefixes(w.encode()) if known is None else known, 0
                 prior = before[n - 1] if n and before[n - 1].isspace() else ""
                 for m, c in enumerate(w, 1):
                     at += len(c.encode())
@@ -266,7 +269,7 @@ class PrefixCounter(RankWordCoder):
                         out.append(done - self._plain(prior) + self._plain(prior + c))
                     else:
                         out.append(done + counts[at - 1])
-                done += counts[-1]
+                done += int(counts[-1])
         return np.array(out, np.int64)
 
     def _plain(self, text: str) -> int:
