@@ -7,11 +7,10 @@ follow each other in an order are call edges, events are a call log, documents a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import catalog_methods  # noqa: F401
 from .functions import stats as S
 from .functions import text as T
 from .operators import aggregates as A
@@ -22,32 +21,7 @@ from .operators import ledger as L
 from .operators import relational as R
 from .operators import retrieval as V
 from .operators import verify as Y
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import oracle_sql, queries, query, read  # noqa: F401
 
 # --- the test tables as code tables -------------------------------------------------------------
 
