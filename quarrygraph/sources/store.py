@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,10 @@ from ..schema import DEFS, DOCS, FILES, REFS
 from .extract import OVERSIZE, extract
 
 #: Layout of the tables; another one means a rebuild.
-VERSION = 1
+VERSION = 2
+MARKER = "version int, base bigint"
+#: So many generations in a row are written as differences before one is whole again.
+COMPACT_AFTER = 16
 TABLES = {"files": FILES, "defs": DEFS, "refs": REFS, "docs": DOCS}
 #: Folders that are never indexed.
 IGNORED_FOLDERS = ".git node_modules target dist build .venv venv __pycache__ .idea".split()
@@ -78,22 +82,56 @@ def build(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def write(tables: dict[str, DataFrame], folder: str, generation: int) -> None:
-    """A snapshot generation: all tables under one folder, then a marker of layout VERSION; readers switch by its number."""
+    """A snapshot generation as a whole: all tables under one folder, then its marker; readers switch by its number."""
+    _write(tables, folder, generation, generation)
+
+
+def write_delta(fresh: dict[str, DataFrame], touched: DataFrame, folder: str, generation: int) -> None:
+    """A generation as what differs from the one before it: `fresh` rows of changed files, and `touched` (fid), all changed or removed.
+
+    It costs what the batch holds, not what the index does. Readers unite it with its predecessors back to
+    the last whole generation; after COMPACT_AFTER of them the generation is written as a whole.
+    """
+    spark = touched.sparkSession
+    base = _marker(spark, folder, generation - 1)
+    if generation - base > COMPACT_AFTER:
+        kept = delete_files(load(spark, folder, generation - 1), touched)
+        return write({n: kept[n].unionByName(fresh[n]) for n in TABLES}, folder, generation)
+    _write(fresh | {"touched": touched.select(F.col("fid").cast("bigint")).distinct()}, folder, generation, base)
+
+
+def _write(tables: dict[str, DataFrame], folder: str, generation: int, base: int) -> None:
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/generation={generation}/{name}")
-    spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/generation={generation}/_ready_")
+    marker = spark.createDataFrame([(VERSION, base)], MARKER)
+    marker.coalesce(1).write.mode("overwrite").parquet(f"{folder}/generation={generation}/_ready_")
 
 
-def load(spark: SparkSession, folder: str, generation: int) -> dict[str, DataFrame]:
-    """The tables of a generation that was written as a whole, in the layout that this version reads."""
+def _marker(spark: SparkSession, folder: str, generation: int) -> int:
+    """The last whole generation that a generation builds on, itself if it is one."""
     try:
-        version = spark.read.schema("version int").parquet(f"{folder}/generation={generation}/_ready_").first()[0]
+        version, base = spark.read.schema(MARKER).parquet(f"{folder}/generation={generation}/_ready_").first()
     except AnalysisException as e:
         raise ValueError(f"generation {generation} is not complete") from e
     if version != VERSION:
         raise ValueError(f"generation {generation} has layout {version}, not {VERSION}: build it anew")
-    return {n: spark.read.schema(s).parquet(f"{folder}/generation={generation}/{n}") for n, s in TABLES.items()}
+    return base
+
+
+def load(spark: SparkSession, folder: str, generation: int) -> dict[str, DataFrame]:
+    """The tables of a generation that was written completely, in the layout that this version reads."""
+    base = _marker(spark, folder, generation)
+    at = lambda g, name, schema: spark.read.schema(schema).parquet(f"{folder}/generation={g}/{name}").withColumn("_at", F.lit(g))
+    if base == generation:
+        return {n: at(base, n, s).drop("_at") for n, s in TABLES.items()}
+    deltas = range(base + 1, generation + 1)
+    for g in deltas[:-1]:
+        _marker(spark, folder, g)
+    # Of each file the rows of the last generation that touched it count, and of the others those of the base.
+    last = reduce(DataFrame.union, [at(g, "touched", "fid bigint") for g in deltas]).groupBy("fid").agg(F.max("_at").alias("_last"))
+    united = {n: reduce(DataFrame.union, [at(g, n, s) for g in (base, *deltas)]) for n, s in TABLES.items()}
+    return {n: df.join(last, "fid", "left").where(F.col("_at") == F.coalesce("_last", F.lit(base))).select(*TABLES[n].names) for n, df in united.items()}
 
 
 def delete_files(tables: dict[str, DataFrame], fids: DataFrame) -> dict[str, DataFrame]:

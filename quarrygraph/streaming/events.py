@@ -32,22 +32,19 @@ def last_operations(batch: DataFrame) -> DataFrame:
     return R.keep_last(batch, ["path"], ["seq"])
 
 
-def apply_batch(tables: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
-    """The snapshot after a batch of events."""
-    last = last_operations(batch).select(F.xxhash64("path").alias("fid"), "path", "op", F.coalesce("text", F.lit("")).alias("text"))
-    return store.upsert(tables, last.where("op = 'touched'").select("fid", "path", "text"), last.where("op = 'removed'").select("fid"))
-
-
 def maintain(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keeps the snapshots under `folder` current: each batch with events writes the generation after its predecessor's.
 
-    A batch that is replayed writes its own generation again from the one before, so nothing counts twice.
+    A generation holds what the batch changed, so a batch costs what it touches. A batch that is replayed
+    writes its own generation again from the one before, so nothing counts twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = store.load(spark, folder, number)
-        store.write(apply_batch(before, batch), folder, number + 1)
+        last = last_operations(batch).select(F.xxhash64("path").alias("fid"), "path", "op", F.coalesce("text", F.lit("")).alias("text")).persist()
+        try:
+            store.write_delta(store.build(last.where("op = 'touched'").select("fid", "path", "text")), last.select("fid"), folder, number + 1)
+        finally:
+            last.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": DEBOUNCE})).start()
 

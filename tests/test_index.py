@@ -151,6 +151,35 @@ def test_snapshots_and_stream(ix, spark, tmp_path):
     assert [r.path for r in again["files"].collect()] == ["a.py"]
 
 
+def test_deltas_are_what_a_rewrite_gives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "COMPACT_AFTER", 3)
+    folder, files = str(tmp_path / "index"), {f"{c}.py": f"def {c}():\n    later()\n" for c in "abcd"}
+    table = lambda d: spark.createDataFrame([*d.items()], "path string, text string").select(F.xxhash64("path").alias("fid"), "path", "text")
+    store.write(store.build(table(files)), folder, 0)
+    steps = [({"a.py": "def a1(): pass\n"}, ["b.py"]), ({"b.py": "def b2(): pass\n", "e.py": "def e(): a1()\n"}, []), ({"a.py": ""}, ["c.py", "no.py"]), ({"c.py": "def c4(): e()\n"}, ["d.py"]), ({}, ["a.py"])]
+    for g, (changed, removed) in enumerate(steps, 1):
+        files = {p: t for p, t in (files | changed).items() if p not in removed}
+        gone = spark.createDataFrame([(p,) for p in [*changed, *removed]], "path string").select(F.xxhash64("path").alias("fid"))
+        for _ in range(2 if g == 2 else 1):  # a replayed batch writes its generation again
+            store.write_delta(store.build(table(changed)), gone, folder, g)
+        got, want = store.load(spark, folder, g), store.build(table(files))
+        for n in store.TABLES:
+            assert sorted(map(repr, got[n].collect())) == sorted(map(repr, want[n].collect())), (g, n)
+    assert [store._marker(spark, folder, g) for g in range(6)] == [0, 0, 0, 0, 4, 4]
+    with pytest.raises(ValueError, match="not complete"):
+        store.load(spark, folder, 9)
+
+
+def test_stream_counters(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"method":"grep","micros":3}\n{"method":"grep","micros":900,"error":"late"}\n{"method":"find","micros":0}\n{"micros":5}\n')
+    calls = spark.readStream.schema("method STRING, micros BIGINT, error STRING").json(str(tmp_path / "in"))
+    for name, df in (("counters", E.rolling_counters(calls)), ("buckets", E.rolling_histogram(calls))):
+        df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in spark.table("counters").collect()} == {("grep", 2, 1), ("find", 1, 0), (None, 1, 0)}
+    assert {tuple(r) for r in spark.table("buckets").collect()} == {("grep", 1, 1), ("grep", 9, 1), ("find", 0, 1), (None, 2, 1)}
+
+
 def test_late_references(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
