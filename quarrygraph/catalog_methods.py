@@ -14,6 +14,7 @@ from .functions import text as T
 from .functions import words as W
 from .operators import aggregates as A
 from .operators import graph as G
+from .operators import ledger as L
 from .operators import relational as R
 from .operators import verify as Y
 from .plans import methods as M
@@ -230,6 +231,53 @@ def edit_report(spark, d):
     return x.select("n", *[F.round(c, 6).alias(c) for c in ("edit_valid_rate", "broken_caller_rate")])
 
 
+@query("""WITH p AS (SELECT doc_id, source AS arm, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'fail' ELSE 'pass' END AS verdict FROM documents),
+f AS (SELECT DISTINCT o_custkey AS doc_id FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'P'),
+e AS (SELECT arm, count(verdict) AS scored, count(*) - count(verdict) AS skipped, count(*) FILTER (WHERE verdict = 'pass') AS valid, count(*) FILTER (WHERE verdict IS NOT NULL AND doc_id IN (SELECT doc_id FROM f)) AS breaking FROM p GROUP BY 1),
+r AS (SELECT arm, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0) AS im, count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_orderkey % 3 = 0) AS i, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS ia,
+  count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 3 > 0) AS sm, count(*) FILTER (WHERE o_orderstatus <> 'P' AND o_orderkey % 3 > 0) AS s, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS sa FROM orders JOIN p ON o_custkey = doc_id AND verdict IS NOT NULL GROUP BY 1)
+SELECT e.*, coalesce(im, 0) AS imports_missing, coalesce(i, 0) AS imports_decided, coalesce(ia - i, 0) AS imports_undecided, coalesce(sm, 0) AS symbols_missing, coalesce(s, 0) AS symbols_decided, coalesce(sa - s, 0) AS symbols_undecided,
+round(valid * 1.0 / nullif(scored, 0), 6) AS edit_valid_rate, round(breaking * 1.0 / nullif(scored, 0), 6) AS broken_caller_rate, round(im * 1.0 / nullif(i, 0), 6) AS import_rate, round(sm * 1.0 / nullif(s, 0), 6) AS symbol_rate FROM e LEFT JOIN r USING (arm)""")
+def verify_by_arm(spark, d):
+    verdict = F.when(F.col("doc_id") % 5 == 1, "fail").when(F.col("doc_id") % 5 > 1, "pass")
+    patches = read(spark, d, "documents").select(F.col("doc_id").alias("patch_id"), F.col("source").alias("arm"), verdict.alias("verdict"))
+    o = read(spark, d, "orders").withColumnRenamed("o_custkey", "patch_id")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "broken_caller").when(F.col("o_orderpriority") == "2-HIGH", "signature_break").otherwise("new_symbol")
+    resolution = F.when(F.col("o_orderstatus") == "F", "not_found").when(F.col("o_orderstatus") == "O", "exact").otherwise("indeterminate")
+    refs = o.select("patch_id", F.when(F.col("o_orderkey") % 3 == 0, "import").otherwise("call").alias("kind"), resolution.alias("resolution"))
+    x = Y.evaluate_arms(patches, o.where("o_orderstatus = 'P'").select("patch_id", kind.alias("kind")), refs)
+    return x.select(*[F.round(c, 6).alias(c) if c.endswith("_rate") else c for c in x.columns])
+
+
+#: Shell commands with the class that each must get.
+COMMANDS = [("grep -rn foo src", "grep"), ("FOO=1 rg bar", "grep"), ("git grep x", None), ("find . -name '*.py'", "find"), ("find /tmp -name x", None), ("cat src/a.py", "cat"), ("cat > out.txt", None), ("ls src", "ls"), ("ls -la", None), ("make test", None)]
+_PICK = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(COMMANDS) if c) + " END"
+_USES = f"""u AS (SELECT user_id AS session, event_id AS place, epoch_ms(ts) AS ms, CASE event_type WHEN 'click' THEN 'Bash' WHEN 'view' THEN 'kg__find' WHEN 'signup' THEN 'kg__grep' ELSE event_type END AS name, CASE WHEN event_type = 'click' THEN {_PICK} END AS class FROM events)"""
+
+
+def _uses(spark, d):
+    command = F.element_at(F.array(*[F.lit(c) for c, _ in COMMANDS]), (F.col("event_id") % 10 + 1).cast("int"))
+    name = F.when(F.col("event_type") == "click", "Bash").when(F.col("event_type") == "view", "kg__find").when(F.col("event_type") == "signup", "kg__grep").otherwise(F.col("event_type"))
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return read(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("place"), at.alias("timestamp"), name.alias("name"), command.alias("command"))
+
+
+@query(f"""WITH {_USES} SELECT session, count(*) AS calls, count(*) FILTER (WHERE name LIKE 'kg%') AS own_calls, count(*) FILTER (WHERE class = 'grep') AS grep_commands, count(*) FILTER (WHERE class = 'find') AS find_commands, count(*) FILTER (WHERE class = 'cat') AS cat_commands,
+count(*) FILTER (WHERE class = 'ls') AS ls_commands, count(class) AS commands, round(count(*) FILTER (WHERE name LIKE 'kg%') * 1.0 / nullif(count(*) FILTER (WHERE name LIKE 'kg%') + count(class), 0), 6) AS ratio, max(ms) - min(ms) AS duration_ms FROM u GROUP BY 1""")
+def tool_sessions(spark, d):
+    return L.tool_report(_uses(spark, d), "kg__")[0].withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"WITH {_USES} SELECT session, CASE WHEN name LIKE 'kg%' THEN 'kg__*' ELSE name END AS tool, count(*) AS calls FROM u GROUP BY 1, 2")
+def tool_buckets(spark, d):
+    return L.tool_report(_uses(spark, d), "kg__")[1]
+
+
+@query(f"WITH {_USES}, r AS (SELECT session, place, class, row_number() OVER (PARTITION BY session ORDER BY place) AS n FROM u WHERE class IS NOT NULL) SELECT session, place, class FROM r WHERE n <= 500")
+def tool_details(spark, d):
+    return L.tool_report(_uses(spark, d), "kg__")[2].select("session", "place", "class")
+
+
 @query("""SELECT doc_id, CASE WHEN strlen(text) <= 60 THEN text ELSE left(text, list_max(list_filter(range(0, 61), lambda k: strlen(left(text, k)) <= 60))) || '…' END AS head FROM documents""")
 def truncated_text(spark, d):
     return read(spark, d, "documents").select("doc_id", T.truncate_utf8(F.col("text"), 60, "…").alias("head"))

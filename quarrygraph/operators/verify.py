@@ -130,3 +130,29 @@ def hallucination_report(refs: DataFrame) -> DataFrame:
 def edit_report(edits: DataFrame) -> DataFrame:
     """Share of edit sets with the expected verdict that pass, and of those that break a caller: (name, verdict, breaks)."""
     return edits.agg(F.count("*").alias("n"), S.rate(F.count_if(F.col("verdict") != "fail"), F.count("*")).alias("edit_valid_rate"), S.rate(F.count_if(F.col("breaks")), F.count("*")).alias("broken_caller_rate"))
+
+
+# Findings that mean a broken caller.
+CALLER_BREAKS = ("broken_caller", "signature_break")
+
+
+def evaluate_arms(patches: DataFrame, findings: DataFrame, refs: DataFrame) -> DataFrame:
+    """Verification of each arm's patches: scored and skipped ones, and four rates with their counts.
+
+    `patches` has arm, patch_id and verdict, null for an empty patch, which is skipped; `findings` has patch_id
+    and kind; `refs` has patch_id, kind and resolution. Rates are valid edits (verdict pass), edits that break
+    a caller, and references not found among those decided, for imports and for all other kinds.
+    """
+    kinds = findings.groupBy("patch_id").agg(F.collect_set("kind").alias("_kinds"))
+    breaks = F.coalesce(F.arrays_overlap("_kinds", F.array(*map(F.lit, CALLER_BREAKS))), F.lit(False))
+    scored = F.col("verdict").isNotNull()
+    edits = patches.join(kinds, "patch_id", "left").groupBy("arm").agg(
+        F.count_if(scored).alias("scored"), F.count_if(~scored).alias("skipped"), F.count_if(F.col("verdict") == "pass").alias("valid"), F.count_if(scored & breaks).alias("breaking"))
+    is_import, missing, found = F.col("kind") == "import", F.col("resolution") == "not_found", F.col("resolution") == "exact"
+    counts = [F.count_if(of & what).alias(f"{name}_{part}") for name, of in (("imports", is_import), ("symbols", ~is_import)) for part, what in (("missing", missing), ("decided", missing | found), ("undecided", ~(missing | found)))]
+    said = refs.join(patches.where(scored).select("patch_id", "arm"), "patch_id").groupBy("arm").agg(*counts)
+    both = edits.join(said, "arm", "left").na.fill(0)
+    part = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    return both.withColumns({
+        "edit_valid_rate": part("valid", "scored"), "broken_caller_rate": part("breaking", "scored"),
+        "import_rate": part("imports_missing", "imports_decided"), "symbol_rate": part("symbols_missing", "symbols_decided")})
