@@ -252,7 +252,7 @@ def verify_by_arm(spark, d):
 #: Shell commands with the class that each must get.
 COMMANDS = [("grep -rn foo src", "grep"), ("FOO=1 rg bar", "grep"), ("git grep x", None), ("find . -name '*.py'", "find"), ("find /tmp -name x", None), ("cat src/a.py", "cat"), ("cat > out.txt", None), ("ls src", "ls"), ("ls -la", None), ("make test", None)]
 _PICK = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(COMMANDS) if c) + " END"
-_USES = f"""u AS (SELECT user_id AS session, event_id AS place, epoch_ms(ts) AS ms, CASE event_type WHEN 'click' THEN 'Bash' WHEN 'view' THEN 'kg__find' WHEN 'signup' THEN 'kg__grep' ELSE event_type END AS name, CASE WHEN event_type = 'click' THEN {_PICK} END AS class FROM events)"""
+_USES = f"""u AS (SELECT user_id AS session, event_id AS place, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'click' THEN 'Bash' WHEN 'view' THEN 'kg__find' WHEN 'signup' THEN 'kg__grep' ELSE event_type END AS name, CASE WHEN event_type = 'click' THEN {_PICK} END AS class FROM events)"""
 
 
 def _uses(spark, d):
