@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import catalog_methods  # noqa: F401
 from .functions import stats as S
 from .functions import text as T
+from .lineage import cut
 from .operators import aggregates as A
 from .operators import clones as C
 from .operators import graph as G
@@ -537,8 +538,8 @@ def semantic_topk(spark, d):
 def _topk(spark, d, k):
     q = read(spark, d, "benchmark").select("item_id", F.explode(_words("text")).alias("t"))
     docs = read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    # Only words that some question has can score, so the others leave before they are counted.
-    words = docs.select("doc_id", F.explode(_words("text")).alias("t")).join(q.select("t").distinct(), "t", "left_semi")
+    # Only words that some question has can score, so the others leave before they are counted; texts are taken apart once.
+    words = cut(docs.select("doc_id", F.explode(_words("text")).alias("t")).join(q.select("t").distinct(), "t", "left_semi"))
     idf = A.idf(words, "doc_id", "t", docs.count())
     scored = q.join(idf, "t").join(words, "t").groupBy("item_id", "doc_id").agg(F.round(F.sum("idf"), 4).alias("score"))
     return V.top_k(scored, k, "item_id", "doc_id").select("item_id", "doc_id", "score", F.col("position").cast("long").alias("position"))

@@ -97,10 +97,14 @@ def quality(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k: int,
 
 def lexical_score(query_tokens: Column, name: Column, doc: Column, path: Column) -> Column:
     """Share of query tokens found: in the name 1, else in the doc 0.6, else in the path 0.3."""
-    n, d, p = T.lexical_tokens(name), T.lexical_tokens(doc), T.lexical_tokens(path)
-    hit = lambda t: F.when(F.array_contains(n, t), 1.0).when(F.array_contains(d, t), 0.6).when(F.array_contains(p, t), 0.3).otherwise(0.0)
-    total = F.aggregate(F.transform(query_tokens, hit), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(query_tokens) == 0, 0.0).otherwise(total / F.size(query_tokens))
+    # An array of one row holds the words, so that they are taken apart once and not for every query token.
+    row = F.array(F.struct(query_tokens.alias("q"), *[T.lexical_tokens(c).alias(k) for k, c in (("n", name), ("d", doc), ("p", path))]))
+
+    def share(r: Column) -> Column:
+        hit = lambda t: F.when(F.array_contains(r["n"], t), 1.0).when(F.array_contains(r["d"], t), 0.6).when(F.array_contains(r["p"], t), 0.3).otherwise(0.0)
+        return F.aggregate(r["q"], F.lit(0.0), lambda a, t: a + hit(t)) / F.size(r["q"])
+
+    return F.element_at(F.transform(row, lambda r: F.when(F.size(r["q"]) == 0, 0.0).otherwise(share(r))), 1)
 
 
 def containing(texts: DataFrame, needles: DataFrame, by: str, item: str) -> DataFrame:
