@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..lineage import cut
+from ..lineage import cut, written
 
 DAMPING = 0.85
 MAX_ITERATIONS = 100
 TOLERANCE = 1e-6
 #: Up to so many edges and nodes the iteration runs in one task, beyond as joins.
 ALONE = 1_000_000
+#: Up to so many edges through names are written out, beyond the rounds pass by the names.
+MULTIPLIED = 10_000_000
+#: Counted rows of a key and a number are broadcast up to this many; beyond it joins shuffle.
+FEW = 1 << 18
 
 
 def collapse(edges: DataFrame) -> DataFrame:
@@ -80,31 +84,83 @@ def _alone(e: DataFrame, nodes: DataFrame, personalization: DataFrame | None, it
 
 
 def _distributed(e: DataFrame, nodes: DataFrame, personalization: DataFrame | None, iterations: int, tolerance: float) -> DataFrame:
-    """The same with one job a round: each round's aggregation also carries the loose mass and the movement."""
-    n = nodes.count()
-    base = nodes.withColumn("teleport", F.lit(1.0 / max(1, n)))
-    if personalization is not None:
-        p = personalization.join(nodes, "node", "left_semi").groupBy("node").agg(F.sum("weight").alias("p"))
-        total = p.agg(F.sum("p")).first()[0] or 0
-        if total > 0:
-            base = nodes.join(p, "node", "left").select("node", (F.coalesce("p", F.lit(0.0)) / total).alias("teleport"))
+    """The same with one job a round."""
+    base = _teleport(nodes, personalization)
     e = e.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     out = e.groupBy("src").agg(F.sum("weight").alias("out"))
     base = cut(base.join(out.withColumnRenamed("src", "node"), "node", "left"))
     shares = cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    ranks = cut(base.select("node", "teleport", "out", F.lit(1.0 / max(1, n)).alias("rank"), F.lit(0.0).alias("moved")))
+    return _rounds(base, lambda ranks: ranks.select("node", "rank").join(shares, F.col("node") == F.col("src")).select("dst", (F.col("rank") * F.col("share")).alias("into")), iterations, tolerance)
+
+
+def _teleport(nodes: DataFrame, personalization: DataFrame | None) -> DataFrame:
+    """(node, teleport): where teleport goes, in shares of 1."""
+    if personalization is not None:
+        p = personalization.join(nodes, "node", "left_semi").groupBy("node").agg(F.sum("weight").alias("p"))
+        total = p.agg(F.sum("p")).first()[0] or 0
+        if total > 0:
+            return nodes.join(p, "node", "left").select("node", (F.coalesce("p", F.lit(0.0)) / total).alias("teleport"))
+    return nodes.withColumn("teleport", F.lit(1.0 / max(1, nodes.count())))
+
+
+def _rounds(base: DataFrame, incoming: Callable[[DataFrame], DataFrame], iterations: int, tolerance: float) -> DataFrame:
+    """(node, rank) from `base` (node, teleport, out: null without edges), with one job a round.
+
+    `incoming` gives what nodes receive (dst, into), in any number of rows, from (node, rank) and the columns
+    of `base`. Each round's aggregation also carries the loose mass and the movement.
+    """
+    n = base.count()
+    ranks = cut(base.select("*", F.lit(1.0 / max(1, n)).alias("rank"), F.lit(0.0).alias("moved")))
     loose = ranks.where("out is null").agg(F.sum("rank")).first()[0] or 0.0
     for _ in range(iterations):
-        incoming = ranks.select("node", "rank").join(shares, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("into"))
+        into = incoming(ranks).groupBy("dst").agg(F.sum("into").alias("into"))
         new = (1 - DAMPING + DAMPING * loose) * F.col("teleport") + DAMPING * F.coalesce("into", F.lit(0.0))
-        ranks = cut(ranks.join(incoming, F.col("node") == F.col("dst"), "left").select("node", "teleport", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        ranks = cut(ranks.join(into, F.col("node") == F.col("dst"), "left").select(*base.columns, new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
         seen = ranks.agg(F.sum(F.when(F.col("out").isNull(), F.col("rank"))).alias("loose"), F.sum("moved").alias("moved")).first()
         loose = seen["loose"] or 0.0
-        if seen["moved"] < tolerance:
+        if (seen["moved"] or 0.0) < tolerance:
             break
     return ranks.select("node", "rank")
 
 
+def pagerank_through(
+    uses: DataFrame,
+    homes: DataFrame,
+    nodes: DataFrame,
+    personalization: DataFrame | None = None,
+    iterations: int = MAX_ITERATIONS,
+    tolerance: float = TOLERANCE,
+    most: int = MULTIPLIED,
+) -> DataFrame:
+    """(node, rank): `pagerank` over the edges from each user of a name to all other homes of the name.
+
+    `uses` has one row (src, via, weight) for each node and name, `homes` distinct rows (via, dst). The edges
+    number their product, which grows with the square of a name's copies. Beyond `most` edges none is
+    written out: a round adds up what reaches each name and hands that to all its homes, less what a
+    home sent itself. So it costs the rows of `uses` and `homes`.
+    """
+    nodes = nodes.select("node").distinct()
+    homes = cut(homes.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("via", "dst"))
+    names = cut(homes.groupBy("via").agg(F.count("*").alias("homes")))
+    small = lambda df, rows: F.broadcast(df) if rows <= FEW else df
+    n, n_names = nodes.count(), names.count()
+    at_home = homes.select("via", F.col("dst").alias("src"), F.lit(1).alias("own"))
+    pairs = uses.join(at_home, ["src", "via"], "left").join(small(names, n_names), "via")
+    with written(pairs.select("src", "via", "weight", (F.col("homes") - F.coalesce("own", F.lit(0))).alias("others"), F.col("own").isNotNull().alias("own"))) as u:
+        if (u.agg(F.sum("others")).first()[0] or 0) <= most:
+            return cut(pagerank(u.join(homes, "via").select("src", "dst", "weight"), nodes, personalization, iterations, tolerance))
+        sums = u.groupBy("src").agg(F.nullif(F.sum(F.col("weight") * F.col("others")), F.lit(0.0)).alias("out"), F.sum(F.when(F.col("own"), F.col("weight")).otherwise(0.0)).alias("own"))
+        base = cut(_teleport(nodes, personalization).join(sums.withColumnRenamed("src", "node"), "node", "left"))
+
+        def incoming(ranks: DataFrame) -> DataFrame:
+            share = ranks.where("out is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("share"), "own")
+            mass = u.join(small(share.drop("own"), n), "src").groupBy("via").agg(F.sum(F.col("weight") * F.col("share")).alias("into"))
+            back = share.where("own > 0").select(F.col("src").alias("dst"), (-F.col("share") * F.col("own")).alias("into"))
+            return homes.join(small(mass, n_names), "via").select("dst", "into").union(back)
+
+        return _rounds(base, incoming, iterations, tolerance)
+
+
 def rank_symbols(refs: DataFrame, defs: DataFrame, weight: Column, iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """(node, rank) of every defined name: edges from caller to callee, headings damped to a tenth afterwards."""
     names = defs.groupBy(F.col("name").alias("node")).agg(F.count("*").alias("def_count"), F.min_by("kind", F.struct("fid", "start")).alias("kind"))

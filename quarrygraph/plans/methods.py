@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import cut
 from ..operators import aggregates as A
 from ..operators import graph as G
 from ..operators import grep as X
@@ -125,24 +126,28 @@ def dependencies(ix: Index, name: str) -> DataFrame:
 
 
 def outline(ix: Index, token_budget: int = 2000, glob: str | None = None, mentioned: list[str] = (), mentioned_files: list[str] = (), kinds: list[str] | None = None) -> DataFrame:
-    """Files by rank with their definitions, as far as the budget goes; the first file is always there."""
+    """Files by rank with their definitions, as far as the budget goes; the first file is always there.
+
+    Ranks are compared to 12 places, so that files of equal rank stand by path whatever order their sums had.
+    """
     files = ix.files.select("fid", "path")
-    homes = ix.defs.select("name", F.col("fid").alias("dst")).distinct()
-    ubiquitous = ix.defs.groupBy("name").agg((F.count("*") > 5).alias("ubiquitous"))
+    homes = cut(ix.defs.groupBy("name", "fid").agg(F.count("*").alias("n")))
+    names = homes.groupBy("name").agg((F.sum("n") > 5).alias("ubiquitous"))
+    names = F.broadcast(names) if homes.select("name").distinct().count() <= G.FEW else names
     uses = ix.refs.groupBy(F.col("fid").alias("src"), F.col("callee").alias("name")).agg(F.count("*").alias("n"))
     liked = F.col("name").isin(list(mentioned)) if mentioned else F.lit(False)
     near = files.where(F.col("path").isin(list(mentioned_files))).select(F.col("fid").alias("src"), F.lit(True).alias("near")) if mentioned_files else None
-    e = uses.join(homes, "name").join(ubiquitous, "name").where("src <> dst")
-    e = e.join(near, "src", "left") if near is not None else e.withColumn("near", F.lit(False))
+    e = uses.join(names, "name")
+    e = e.join(F.broadcast(near), "src", "left") if near is not None else e.withColumn("near", F.lit(False))
     w = T.edge_weight(F.col("name"), F.col("n"), liked, F.col("ubiquitous"), F.coalesce("near", F.lit(False)))
-    edges = e.select("src", "dst", w.alias("weight"))
+    uses = e.select("src", F.col("name").alias("via"), w.alias("weight"))
     want = None
     if mentioned or mentioned_files:
         by_name = ix.defs.where(liked).select(F.col("fid").alias("node")) if mentioned else None
         by_file = files.where(F.col("path").isin(list(mentioned_files))).select(F.col("fid").alias("node")) if mentioned_files else None
         both = by_name.union(by_file) if by_name is not None and by_file is not None else by_name if by_name is not None else by_file
         want = both.distinct().withColumn("weight", F.lit(100.0))
-    rank = G.pagerank(edges, files.select(F.col("fid").alias("node")), want).withColumnRenamed("node", "fid")
+    rank = G.pagerank_through(uses, homes.select(F.col("name").alias("via"), F.col("fid").alias("dst")), files.select(F.col("fid").alias("node")), want).withColumnRenamed("node", "fid")
     d = ix.defs if kinds is None else ix.defs.where(F.col("kind").isin(kinds))
     order = F.when(F.col("visibility") == "public", 0).when(F.col("visibility") == "private", 1).otherwise(2).alias("o")
     listed = d.groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "start_line", "kind", "name", "signature"))), lambda s: F.struct(s["kind"], s["name"], s["start_line"], s["signature"])).alias("symbols"))
@@ -150,7 +155,7 @@ def outline(ix: Index, token_budget: int = 2000, glob: str | None = None, mentio
     if glob:
         x = x.where(T.outline_glob(F.col("path"), glob))
     entry = F.concat(F.col("path"), F.lit("\n"), F.array_join(F.transform("symbols", lambda s: F.concat(F.lit("  "), s["kind"], F.lit(" "), s["name"])), "\n"))
-    return A.budget_prefix(x.withColumn("entry", entry), T.token_cost(F.col("entry")), token_budget, [F.desc("rank"), F.col("path")], at_least=1)
+    return A.budget_prefix(x.withColumn("entry", entry), T.token_cost(F.col("entry")), token_budget, [F.desc(F.round("rank", 12)), F.col("path")], at_least=1)
 
 
 def grep(ix: Index, text: str | None = None, regex: str | None = None, ignore_case: bool = True, multiline: bool = False, glob: str | None = None, language: str | None = None, within_symbol: str | None = None, many_defs: bool = False, limit: int = 256, structural: str | None = None, combine: str | None = None) -> DataFrame:
