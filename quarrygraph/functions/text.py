@@ -142,13 +142,17 @@ def language(path: Column) -> Column:
     return F.element_at(by, F.nullif(ascii_lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1)), F.lit("")))
 
 
-def classify_path(path: Column, ignored: Column | None = None) -> Column:
-    """What to do with a file, by the first rule that applies; decided before its content is read."""
-    ext = ascii_lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1))
+def classify_path(path: Column, ignored: Column | None = None, editor: str = W.EDITOR_FILES, secrets: str = W.SECRETS, indexed: Column | None = None) -> Column:
+    """What to do with a file, by the first rule that applies; decided before its content is read.
+
+    `editor`, `secrets` and `indexed` are the rules for editors' files, secrets and what has an indexed extension.
+    """
+    if indexed is None:
+        indexed = ascii_lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1)).isin(W.INDEXED_EXTENSIONS)
     return (
-        F.when(path.rlike(W.EDITOR_FILES), "skip:editor_swap")
-        .when(path.rlike(W.SECRETS), "skip:secrets")
-        .when(~ext.isin(W.INDEXED_EXTENSIONS), "skip:unsupported_extension")
+        F.when(path.rlike(editor), "skip:editor_swap")
+        .when(path.rlike(secrets), "skip:secrets")
+        .when(~indexed, "skip:unsupported_extension")
         .when(F.lit(False) if ignored is None else ignored, "skip:ignored")
         .otherwise("index_full")
     )

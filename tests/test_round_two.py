@@ -61,3 +61,10 @@ def test_words_of_the_lexical_query_end_at_accents(same_as_sql):
     rows = [(i, t, "en", len(t or "")) for i, t in enumerate(texts)]
     got = same_as_sql("lexical_context_budget", "documents", rows, "doc_id long, text string, lang string, n_chars long")
     assert {r[0] for r in got} >= {1, 2, 7, 8, 9, 12}
+
+
+def test_paths_are_classified_by_the_rules_of_the_sql(same_as_sql):
+    paths = ["en/4913", "en/4913?page=2", "en/4913/", "a.py", "a.MD?x#y", "a.html5", "A.Json", ".x.md", ".md", "a.pem", "a.PEM", "a.key#top", "b.tmp", "b.tmp.1", "b~", "b.swp", ".env", "a.md\n", "a.pem\n", "a.md?x\ny", "a.md#x\ny?z", "a.md?x\ry", "a.md?x\u2028y", "a.md/", "\u00e9.xml"]
+    rows = [(i, f"http://h.example.com/{p}") for i, p in enumerate(paths)] + [(100, None), (101, ""), (102, "a.md"), (103, "http://h.md")]
+    got = dict(same_as_sql("classify_path", "pages", rows, "page_id long, url string"))
+    assert got[0] == got[1] == "skip:unsupported_extension" and got[4] == "index_full" and got[9] == "skip:secrets" and got[12] == "skip:editor_swap"
